@@ -26,3 +26,16 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
 def lookup(facts: DataFrame, reference: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a large table to a reference table, broadcasting the reference only when it is small."""
     return facts.join(small_side(reference), on, how)
+
+
+def settle(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Evaluate a side derived from reference tables once and keep it as a local relation.
+
+    Catalyst multiplies size estimates through joins, so a derived reference side looks huge though
+    it has a few rows. Up to ``max_rows`` rows are fetched and become a relation of known size; a
+    larger side is returned as it is and joined by a shuffle.
+    """
+    probe = df.limit(max_rows + 1).toArrow()
+    if probe.num_rows > max_rows:
+        return df
+    return df.sparkSession.createDataFrame(probe, schema=df.schema)

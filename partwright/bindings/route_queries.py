@@ -148,15 +148,6 @@ def _(spark, d):
     return all_parts.unionByName(own)
 
 
-@add(
-    "u7_distinct_operation_ids",
-    "SELECT DISTINCT part_id, operation_type_id FROM part_group JOIN group_route USING (material_group_id) WHERE operation_type_id IS NOT NULL",
-)
-def _(spark, d):
-    ops = route.route_operations(spark, facts.drawings(spark, d))
-    return ops.where("operation_type_id IS NOT NULL").select("part_id", "operation_type_id").distinct()
-
-
 @add("p3_route_card", """SELECT part_id, sequence_no, concat_ws('|', sequence_no::VARCHAR, op_code || ' ' || op_name, '', '', '', '',
     coalesce(model_name, 'не подобрано'), '', '') AS cells FROM route_ops""")
 def _(spark, d):
@@ -215,6 +206,10 @@ per_part("j4_first_model", """SELECT part_id, g.equipment_code, m.model_name FRO
          lambda s: (route.compatible_equipment(s).join(route.first_models(s), "equipment_type_id", "left"), ["equipment_code", "model_name"]))
 per_part("w1_first_equipment_per_operation", "SELECT part_id, op_code, equipment_type_id FROM part_group JOIN group_operation USING (material_group_id)",
          lambda s: (route.chosen_equipment(s), ["op_code", "equipment_type_id"]))
+per_part("u7_distinct_operation_ids",
+         "SELECT DISTINCT part_id, operation_type_id FROM part_group JOIN group_route USING (material_group_id) WHERE operation_type_id IS NOT NULL",
+         lambda s: (route.route_template(s).where("operation_type_id IS NOT NULL").select("material_group_id", "operation_type_id").distinct(),
+                    ["operation_type_id"]))
 per_part("w2_operation_sequence", "SELECT part_id, op_code, sequence_no FROM part_group JOIN group_route USING (material_group_id)",
          lambda s: (route.route_template(s).withColumn("sequence_no", F.col("sequence_no").cast("bigint")), ["op_code", "sequence_no"]))
 per_part("a11_tooling_names", "SELECT part_id, op_code, coalesce(tooling, 'не подобрана') AS tooling FROM part_group JOIN group_route USING (material_group_id)",

@@ -27,10 +27,15 @@ def exact_round(c: Column, digits: int) -> Column:
 
 
 def short(c: Column) -> Column:
-    """Six significant digits without trailing zeros."""
-    text = F.format_string("%g", c.cast("double"))
-    text = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+($|e)", "$1$2"), r"\.($|e)", "$1")
-    return F.when(c.isNotNull(), text)
+    """Six significant digits without trailing zeros, exponents below 1e-4 and from 1e6 on (C's ``%g``)."""
+    x = c.cast("double")
+    size = F.abs(x)
+    digits = (5 - F.floor(F.log10(size))).cast("int")
+    plain = F.regexp_replace(F.call_function("format_number", x, digits), ",", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    power = F.call_function("format_number", x, F.lit("0.#####E00"))
+    power = F.regexp_replace(F.regexp_replace(power, "E(?=[0-9])", "e+"), "E", "e")
+    return F.when(size == 0, "0").when((size >= 1e-4) & (size < 999999.5), plain).when(x.isNotNull(), power)
 
 
 def span(low: Column, high: Column, prefix: str = "") -> Column:

@@ -33,8 +33,16 @@ def short(c: Column) -> Column:
     digits = (5 - F.floor(F.log10(size))).cast("int")
     plain = F.regexp_replace(F.call_function("format_number", x, digits), ",", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    power = F.call_function("format_number", x, F.lit("0.#####E00"))
-    power = F.regexp_replace(F.regexp_replace(power, "E(?=[0-9])", "e+"), "E", "e")
+    exponent = F.floor(F.log10(size))
+    large = F.format_number(size / F.pow(F.lit(10.0), exponent - 5), 0)
+    small = F.regexp_replace(F.call_function("format_number", size, digits), r"^0\.0*", "")
+    six = F.regexp_replace(F.when(exponent > 0, large).otherwise(small), ",", "")
+    carried = F.when(F.length(six) > 6, exponent + 1).otherwise(exponent)  # 9999995 became 1000000
+    mantissa = F.concat(F.substring(six, 1, 1), F.lit("."), F.substring(six, 2, 5))
+    power = F.concat(
+        F.when(x < 0, "-").otherwise(""), F.regexp_replace(mantissa, r"\.?0*$", ""),
+        F.when(carried < 0, "e-").otherwise("e+"), F.lpad(F.abs(carried).cast("string"), 2, "0"),
+    )
     return F.when(size == 0, "0").when((size >= 1e-4) & (size < 999999.5), plain).when(x.isNotNull(), power)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from partwright.functions import numbers as nx
 from partwright.plans.route import first_per
-from partwright.sources.joins import lookup, settle, small_side
+from partwright.sources.joins import lookup, settled, small_side
 from partwright.sources.reference import load
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -99,6 +99,7 @@ def quality_standard(spark: SparkSession) -> DataFrame:
     )
 
 
+@settled
 def print_template(spark: SparkSession) -> DataFrame:
     """All that a (technology, material group) pair determines, one row per pair."""
     out = material_groups(spark).join(technologies(spark), "am_technology_id")
@@ -108,7 +109,7 @@ def print_template(spark: SparkSession) -> DataFrame:
         (load(spark, "print_speed_reference"), "am_technology_id"),
     ):
         out = out.join(extra, on, "left")
-    return settle(out)
+    return out
 
 
 def print_plans(spark: SparkSession, requests: DataFrame) -> DataFrame:
@@ -161,9 +162,14 @@ def process_card(plans: DataFrame) -> DataFrame:
     return plans.select("part_id", cells.alias("cells"))
 
 
+@settled
+def step_template(spark: SparkSession) -> DataFrame:
+    return postprocessing_steps(spark).select("am_material_group_id", "place", "step_no", "step_name", "is_required", "effect")
+
+
 def postprocessing_card(spark: SparkSession, plans: DataFrame) -> DataFrame:
     empty = F.lit("")
-    steps = settle(postprocessing_steps(spark).select("am_material_group_id", "place", "step_no", "step_name", "is_required", "effect"))
+    steps = step_template(spark)
     rows = lookup(plans.where("am_material_group_id IS NOT NULL"), steps, "am_material_group_id", "inner")
     cells = F.array(
         F.col("step_no").cast("string"), F.concat("step_name", F.when(F.col("is_required"), "").otherwise(OPTIONAL_TEXT)),
@@ -172,6 +178,7 @@ def postprocessing_card(spark: SparkSession, plans: DataFrame) -> DataFrame:
     return rows.select("part_id", "place", cells.alias("cells"))
 
 
+@settled
 def recommendation_rules(spark: SparkSession) -> DataFrame:
     sources = load(spark, "recommendation_source").select(F.col("id").alias("source_id"), "source_type", "reliability")
     return (
@@ -207,7 +214,7 @@ def recommend(spark: SparkSession, requests: DataFrame) -> DataFrame:
     did name known conditions.
     """
     classes = load(spark, "part_application_class").select(F.col("id").alias("class_id"), F.col("code").alias("class_code"))
-    rules = settle(recommendation_rules(spark))
+    rules = recommendation_rules(spark)
     has_rules = rules.where("condition_id IS NOT NULL").groupBy("class_id").agg(F.collect_set("condition_id").alias("rule_conditions"))
     out = lookup(condition_ids(spark, requests), classes, "class_code")
     out = lookup(out, has_rules, "class_id")
@@ -220,23 +227,29 @@ def recommend(spark: SparkSession, requests: DataFrame) -> DataFrame:
     return lookup(out, keyed, ["class_id", "rule_condition"])
 
 
-def printer_fit(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """Printers whose build volume holds the part and meets the class minimum; ``choice`` ranks them."""
+@settled
+def printer_options(spark: SparkSession) -> DataFrame:
+    """Models of the recommended types that meet the class minimum."""
     models = load(spark, "printer_model").withColumnRenamed("id", "printer_model_id")
     rules = load(spark, "application_printer_recommendation").drop("id")
     classes = load(spark, "part_application_class").select(F.col("id").alias("class_id"), F.col("code").alias("class_code"))
-    options = settle(
+    return (
         rules.join(classes, "class_id").join(models, "printer_type_id")
         .where("build_x >= min_x AND build_y >= min_y AND build_z >= min_z")
         .select("class_code", "printer_model_id", "model_name", "build_x", "build_y", "build_z", "priority")
     )
-    held = lookup(parts, options, "class_code", "inner").where(
+
+
+def printer_fit(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """Printers whose build volume holds the part and meets the class minimum; ``choice`` ranks them."""
+    held = lookup(parts, printer_options(spark), "class_code", "inner").where(
         "length_x <= build_x AND length_y <= build_y AND length_z <= build_z"
     )
     best = F.min(F.struct("priority", "printer_model_id", "model_name")).alias("best")
     return held.groupBy("part_id").agg(best).select("part_id", "best.printer_model_id", "best.model_name", "best.priority")
 
 
+@settled
 def model_material_allowed(spark: SparkSession) -> DataFrame:
     """Printer model × material of its types' groups; a model-level exception wins over the type rule."""
     models = load(spark, "printer_model").select(F.col("id").alias("printer_model_id"), "printer_type_id")
@@ -244,9 +257,8 @@ def model_material_allowed(spark: SparkSession) -> DataFrame:
         load(spark, "am_material").select(F.col("id").alias("am_material_id"), "am_material_group_id"), "am_material_group_id"
     ).select("printer_model_id", "am_material_id", F.lit(True).alias("by_rule"))
     closed = load(spark, "printer_material_override")
-    return settle(
-        rule.join(closed, ["printer_model_id", "am_material_id"], "full")
-        .select("printer_model_id", "am_material_id", F.coalesce("is_allowed", "by_rule").alias("is_allowed"))
+    return rule.join(closed, ["printer_model_id", "am_material_id"], "full").select(
+        "printer_model_id", "am_material_id", F.coalesce("is_allowed", "by_rule").alias("is_allowed")
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from partwright.functions import numbers as nx
 from partwright.functions import text as tx
 from partwright.operators.matching import match_material_group
-from partwright.sources.joins import lookup, settle
+from partwright.sources.joins import lookup, settled
 from partwright.sources.reference import load
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -89,6 +89,7 @@ def chosen_equipment(spark: SparkSession) -> DataFrame:
     return first_per(offered, ["material_group_id", "op_code"], "equipment_type_id")
 
 
+@settled
 def route_template(spark: SparkSession) -> DataFrame:
     """Planned operations per material group in technological order, numbered 5, 10, 15…"""
     planned = chosen_equipment(spark).join(load(spark, "operation_order"), "op_code")
@@ -102,7 +103,7 @@ def route_template(spark: SparkSession) -> DataFrame:
         (machinability(spark), ["material_group_id"]),
     ):
         planned = planned.join(extra, on, "left")
-    return settle(planned)
+    return planned
 
 
 def drawings_with_group(spark: SparkSession, drawings: DataFrame) -> DataFrame:
@@ -140,38 +141,54 @@ def route_operations(spark: SparkSession, drawings: DataFrame) -> DataFrame:
     return with_cutting_mode(lookup(grouped, route_template(spark), "material_group_id", "inner"))
 
 
-def route_warnings(spark: SparkSession, drawings: DataFrame) -> DataFrame:
-    """Warning codes of each drawing, in the order the route is planned."""
+@settled
+def group_summary(spark: SparkSession) -> DataFrame:
+    """Per material group: whether any equipment fits, number of operations, operations without a model."""
+    equipped = compatible_equipment(spark).groupBy("material_group_id").agg(F.lit(True).alias("equipped"))
+    modelless = F.array_sort(F.collect_list(F.when(F.col("model_name").isNull(), F.col("op_code"))))
+    planned = route_template(spark).groupBy("material_group_id").agg(F.count(F.lit(1)).alias("op_count"), modelless.alias("modelless"))
+    return equipped.join(planned, "material_group_id", "full")
+
+
+WARNINGS_TYPE = "array<struct<warning_code:string,arg:string>>"
+
+
+def with_warnings(spark: SparkSession, drawings: DataFrame) -> DataFrame:
+    """Adds ``op_count`` and the ``warnings`` array of each drawing, in the order the route is planned."""
     grouped = drawings_with_group(spark, drawings)
-    equipped = settle(compatible_equipment(spark).groupBy("material_group_id").agg(F.lit(True).alias("equipped")))
-    template = route_template(spark)
-    planned = settle(template.groupBy("material_group_id").agg(
-        F.lit(True).alias("planned"), F.array_sort(F.collect_list(F.when(F.col("model_name").isNull(), F.col("op_code")))).alias("modelless")
-    ))
-    out = lookup(lookup(grouped, equipped, "material_group_id"), planned, "material_group_id")
+    out = lookup(grouped, group_summary(spark), "material_group_id")
     material = F.when(F.col("material") != "", F.col("material"))
     blank = F.when(F.col("blank_designation") != "", F.col("blank_designation"))
-    reach_equipment = F.col("material_group_id").isNotNull()
-    reach_operations = reach_equipment & F.col("equipped").isNotNull()
+    has_group = F.col("material_group_id").isNotNull()
+    has_machine = has_group & F.col("equipped").isNotNull()
+    nothing = F.lit(None).cast("string")
 
-    def code(condition, name, arg=None):
-        return F.when(condition, F.struct(F.lit(name).alias("warning_code"), (arg if arg is not None else F.lit(None)).cast("string").alias("arg")))
+    def code(condition, name, arg=nothing):
+        return F.when(condition, F.struct(F.lit(name).alias("warning_code"), arg.alias("arg")))
 
-    singles = F.array_compact(F.array(
+    before = F.array_compact(F.array(
         code(material.isNull(), "no_material"),
-        code(material.isNotNull() & ~reach_equipment, "unknown_material", material),
-        code(reach_equipment & F.col("equipped").isNull(), "no_machine", material),
-        code(reach_operations & blank.isNotNull() & F.col("blank_diameter").isNull(), "no_diameter", blank),
+        code(material.isNotNull() & ~has_group, "unknown_material", material),
+        code(has_group & F.col("equipped").isNull(), "no_machine", material),
+        code(has_machine & blank.isNotNull() & F.col("blank_diameter").isNull(), "no_diameter", blank),
     ))
-    models = F.when(reach_operations, F.transform(F.coalesce("modelless", F.array().cast("array<string>")), lambda o: F.struct(
-        F.lit("no_model").alias("warning_code"), o.alias("arg"))))
-    last = F.array_compact(F.array(code(reach_operations & F.col("planned").isNull(), "no_operation")))
-    every = F.concat(singles, F.coalesce(models, F.array().cast("array<struct<warning_code:string,arg:string>>")), last)
-    return out.select("part_id", F.posexplode(every).alias("pos", "w")).select(
+    models = F.transform(
+        F.when(has_machine, F.col("modelless")), lambda o: F.struct(F.lit("no_model").alias("warning_code"), o.alias("arg"))
+    )
+    after = F.array_compact(F.array(code(has_machine & F.col("op_count").isNull(), "no_operation")))
+    every = F.concat(before, F.coalesce(models, F.array().cast(WARNINGS_TYPE)), after)
+    return out.withColumn("warnings", every).withColumn("op_count", F.coalesce("op_count", F.lit(0).cast("bigint"))).drop(
+        "equipped", "modelless"
+    )
+
+
+def route_warnings(spark: SparkSession, drawings: DataFrame) -> DataFrame:
+    return with_warnings(spark, drawings).select("part_id", F.posexplode("warnings").alias("pos", "w")).select(
         "part_id", (F.col("pos") + 1).alias("warning_no"), "w.warning_code", "w.arg"
     )
 
 
+@settled
 def requirement_template(spark: SparkSession) -> DataFrame:
     """Requirement lines per material group: machining lines, then hardening lines.
 
@@ -196,16 +213,17 @@ def requirement_template(spark: SparkSession) -> DataFrame:
         "material_group_id", F.lit(2).alias("part"), "id", method.alias("text"), F.col("reference_instruction").alias("reference_standard")
     )
     line_no = F.row_number().over(Window.partitionBy("material_group_id").orderBy("part", "id"))
-    return settle(machining.unionByName(methods).withColumn("line_no", line_no))
+    return machining.unionByName(methods).withColumn("line_no", line_no)
 
 
 def route_requirements(spark: SparkSession, drawings: DataFrame) -> DataFrame:
     return lookup(drawings_with_group(spark, drawings), requirement_template(spark), "material_group_id", "inner")
 
 
+@settled
 def template_columns(spark: SparkSession, code: str):
     row = load(spark, "document_template").where(F.col("code") == code)
-    return settle(row.select(F.size(tx.layout_columns(F.col("layout_schema"))).alias("n_columns"), "gost_form"))
+    return row.select(F.size(tx.layout_columns(F.col("layout_schema"))).alias("n_columns"), "gost_form")
 
 
 def route_card(spark: SparkSession, operations: DataFrame) -> DataFrame:

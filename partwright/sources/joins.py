@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def settle(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if probe.num_rows > max_rows:
         return df
     return df.sparkSession.createDataFrame(probe, schema=df.schema)
+
+
+def settled(build):
+    """Decorator for reference-only builders ``build(spark, *args)``: evaluated once per application.
+
+    The reference tables are fixed values, so the result cannot go stale within a session.
+    """
+    kept: dict[tuple, DataFrame] = {}
+
+    @functools.wraps(build)
+    def once(spark, *args):
+        key = (spark.sparkContext.applicationId, id(spark), args)
+        if key not in kept:
+            kept[key] = settle(build(spark, *args))
+        return kept[key]
+
+    return once

@@ -18,10 +18,21 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_sh
 TOOL_DIAMETER_MM = 1.0
 
 
+SPLIT: dict[tuple, bool] = {}
+
+
+def split(spark, d):
+    """Measured once per table: does any order hold too many line items for one task?"""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in SPLIT:
+        SPLIT[key] = seq.needs_split(facts.read(spark, d, "lineitem").select("l_orderkey"), ["l_orderkey"])
+    return SPLIT[key]
+
+
 def moves(spark, d):
     """One move per line item: x quantity, y and z from the percentages, rapid where returned."""
     lines = facts.read(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "move_no")
+    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "move_no", split(spark, d))
     return placed.select(
         F.col("l_orderkey").alias("plan_id"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("op_no"), "move_no",
         F.when(F.col("l_returnflag") == "R", "rapid").otherwise("linear").alias("kind"), F.col("l_quantity").alias("x"),
@@ -55,24 +66,24 @@ FACT_SQL["swept"] = """SELECT plan_id, cx + dx AS vx, cy + dy AS vy, cz + dz AS
 
 @add("w9_path_length", "SELECT plan_id, op_no, round(coalesce(sum(len), 0), 6) AS length_mm FROM segs GROUP BY ALL")
 def _(spark, d):
-    return tp.path_lengths(moves(spark, d)).withColumn("length_mm", F.round("length_mm", 6))
+    return tp.path_lengths(moves(spark, d), split(spark, d)).withColumn("length_mm", F.round("length_mm", 6))
 
 
 @add("w10_step_ranges", "SELECT plan_id, op_no, start_step, end_step FROM op_ranges")
 def _(spark, d):
-    return tp.step_ranges(moves(spark, d))
+    return tp.step_ranges(moves(spark, d), split(spark, d))
 
 
 @add("w11_time_boundaries", """SELECT plan_id, op_no, start_step / (CASE WHEN total = 0 THEN 1 ELSE total END) * 15000 AS start_ms,
     end_step / (CASE WHEN total = 0 THEN 1 ELSE total END) * 15000 AS end_ms FROM (SELECT *, sum(own) OVER (PARTITION BY plan_id) AS total FROM op_ranges)""")
 def _(spark, d):
     weights = moves(spark, d).groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("weight"))
-    return tp.time_boundaries(weights)
+    return tp.time_boundaries(weights, split(spark, d))
 
 
 @add("w12_global_steps", "SELECT plan_id, move_no, cuts, step FROM steps")
 def _(spark, d):
-    return tp.cutting_steps(moves(spark, d)).select("plan_id", "move_no", "cuts", "step")
+    return tp.cutting_steps(moves(spark, d), split(spark, d)).select("plan_id", "move_no", "cuts", "step")
 
 
 @add("w15_active_operation", """SELECT p.plan_id, p.step, coalesce((SELECT min(op_no) FROM op_ranges r WHERE r.plan_id = p.plan_id AND p.step >= r.start_step
@@ -80,7 +91,7 @@ def _(spark, d):
     FROM (SELECT o_orderkey AS plan_id, o_custkey % 6 AS step FROM orders) p WHERE p.plan_id IN (SELECT plan_id FROM op_ranges)""")
 def _(spark, d):
     probes = facts.read(spark, d, "orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_custkey") % 6).alias("step"))
-    return tp.active_operation(probes, tp.step_ranges(moves(spark, d)))
+    return tp.active_operation(probes, tp.step_ranges(moves(spark, d), split(spark, d)))
 
 
 def grids(spark, d):
@@ -101,7 +112,7 @@ def _(spark, d):
 
 
 def swept(spark, d):
-    return tp.swept_cells(moves(spark, d), grids(spark, d))
+    return tp.swept_cells(moves(spark, d), grids(spark, d), split(spark, d))
 
 
 @add("a20_swept_cells", "SELECT plan_id, count(*) AS cells, sum(vx)::BIGINT AS sx, sum(vy)::BIGINT AS sy, sum(vz)::BIGINT AS sz, sum(first_step)::BIGINT AS steps FROM swept GROUP BY plan_id")
@@ -132,7 +143,7 @@ NORMALS = [(0.0, 0.0, 1.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0), (0.0, 0.3, 0.95)]
 def faces(spark, d):
     """Lines 1-4 are cylinders, 5-6 planes, 7 other faces; the face id is the place in the order."""
     lines = facts.read(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, "l_quantity", "l_returnflag")
-    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "face_id")
+    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "face_id", split(spark, d))
     cyl = F.col("l_linenumber") <= 4
 
     def component(i):
@@ -294,8 +305,8 @@ def _(spark, d):
     FROM op_ranges JOIN (SELECT plan_id, op_no, coalesce(sum(len), 0) AS length_mm FROM segs GROUP BY ALL) USING (plan_id, op_no)""")
 def _(spark, d):
     table = moves(spark, d)
-    lengths = tp.path_lengths(table)
-    return tp.step_ranges(table).join(lengths, ["plan_id", "op_no"]).select(
+    lengths = tp.path_lengths(table, split(spark, d))
+    return tp.step_ranges(table, split(spark, d)).join(lengths, ["plan_id", "op_no"]).select(
         "plan_id", "op_no", "start_step", "end_step", nx.exact_round(F.col("length_mm"), 6).alias("length_mm"),
         nx.exact_round(F.col("length_mm") / 120, 2).alias("time_min"),
     )

@@ -48,6 +48,8 @@ STOPWORDS = [
     "мне", "нам", "можно", "есть", "нет", "чем", "где", "почему", "нужно", "нужен", "нужна", "подойдет",
     "подходит", "подойдёт", "используется", "какой-то", "про", "расскажи", "скажи", "хочу", "могу", "должен",
 ]
+# Characters that count as white space in texts.
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # ---------------------------------------------------------------------------------------------
 
 
@@ -56,12 +58,16 @@ def blank_to_null(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim all whitespace, not only spaces."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all white space, not only spaces."""
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
+def without_space(c: Column) -> Column:
+    return F.translate(c, WHITESPACE, "")
 
 
 def normalize_grade(c: Column) -> Column:
-    return F.upper(F.regexp_replace(F.regexp_replace(c, STEEL_PREFIX, ""), r"(?U)\s+", ""))
+    return F.upper(without_space(F.regexp_replace(c, STEEL_PREFIX, "")))
 
 
 def standard_number(c: Column) -> Column:
@@ -96,7 +102,7 @@ def blank_diameter(c: Column) -> Column:
 
 
 def normalize_scale(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.upper(strip(c)), SCALE_PREFIX, ""), r"(?U)\s+", "")
+    return without_space(F.regexp_replace(F.upper(strip(c)), SCALE_PREFIX, ""))
 
 
 def is_filled(c: Column) -> Column:

@@ -26,9 +26,12 @@ SCHEDULE_MS = 15000
 POINT = ["x", "y", "z"]
 
 
-def segments(moves: DataFrame) -> DataFrame:
-    """Moves with the point before them in the same operation; ``prev_x`` is null for a first move."""
-    out = seq.with_previous(moves, ["plan_id"], "move_no", ["op_no", *POINT])
+def segments(moves: DataFrame, split: bool = True) -> DataFrame:
+    """Moves with the point before them in the same operation; ``prev_x`` is null for a first move.
+
+    ``split`` here and below: whether some plan is too large for one task, see ``sequences.needs_split``.
+    """
+    out = seq.with_previous(moves, ["plan_id"], "move_no", ["op_no", *POINT], split)
     same = F.col("prev_op_no") == F.col("op_no")
     return out.select(*moves.columns, *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in POINT])
 
@@ -38,22 +41,22 @@ def segment_length() -> Column:
     return F.sqrt(dx * dx + dy * dy + dz * dz)
 
 
-def path_lengths(moves: DataFrame) -> DataFrame:
+def path_lengths(moves: DataFrame, split: bool = True) -> DataFrame:
     """Length of the path of every operation, rapid moves included."""
-    return segments(moves).groupBy("plan_id", "op_no").agg(F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
+    return segments(moves, split).groupBy("plan_id", "op_no").agg(F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
 
 
-def step_ranges(moves: DataFrame) -> DataFrame:
+def step_ranges(moves: DataFrame, split: bool = True) -> DataFrame:
     """Step range of every operation: non-rapid moves counted on across the plan."""
     own = moves.groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("own"))
-    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step")
+    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step", split)
     return out.select("plan_id", "op_no", (F.col("end_step") - F.col("own")).alias("start_step"), "end_step")
 
 
-def cutting_steps(moves: DataFrame) -> DataFrame:
+def cutting_steps(moves: DataFrame, split: bool = True) -> DataFrame:
     """Segments with their global step: +1 for each non-rapid segment, across operations of the plan."""
-    cut = segments(moves).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
-    return seq.running_sum(cut, ["plan_id"], "move_no", F.col("cuts").cast("bigint"), "step")
+    cut = segments(moves, split).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
+    return seq.running_sum(cut, ["plan_id"], "move_no", F.col("cuts").cast("bigint"), "step", split)
 
 
 def active_operation(probes: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -67,10 +70,10 @@ def active_operation(probes: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def time_boundaries(weights: DataFrame) -> DataFrame:
+def time_boundaries(weights: DataFrame, split: bool = True) -> DataFrame:
     """Start and end of operations on the time scale by running share of ``weight``; total 0 counts as 1."""
     totals = weights.groupBy("plan_id").agg(F.sum("weight").alias("total"))
-    run = seq.running_sum(weights, ["plan_id"], "op_no", F.col("weight"), "done").join(totals, "plan_id")
+    run = seq.running_sum(weights, ["plan_id"], "op_no", F.col("weight"), "done", split).join(totals, "plan_id")
     total = F.when(F.col("total") == 0, 1).otherwise(F.col("total"))
     return run.select(
         "plan_id", "op_no", ((F.col("done") - F.col("weight")) / total * SCHEDULE_MS).alias("start_ms"),
@@ -105,14 +108,14 @@ def cell_centre(index: Column, origin: Column, cell: Column) -> Column:
     return origin + (index + 0.5) * cell
 
 
-def swept_cells(moves: DataFrame, grids: DataFrame) -> DataFrame:
+def swept_cells(moves: DataFrame, grids: DataFrame, split: bool = True) -> DataFrame:
     """First step at which each grid cell is touched by the tool: disc in XY, the same reach along Z.
 
     Segments become sample points no further apart than half a cell; points collapse to centre cells
     with their first step before the tool shape is spread over them, so the wide step works on
     distinct cells only. Both minima combine on the map side and the keys spread any hot plan.
     """
-    cut = cutting_steps(moves).where("cuts")
+    cut = cutting_steps(moves, split).where("cuts")
     located = cut.join(grids, "plan_id")
     count = F.greatest(F.lit(1), F.ceil(segment_length() / (F.col("cell") / 2))).cast("int")
     reach = F.greatest(F.lit(1), F.ceil(F.col("tool_diameter") / 2 / F.col("cell"))).cast("int")

@@ -35,13 +35,13 @@ def allowed_scales(spark: SparkSession) -> DataFrame:
 
 @settled
 def check_rules(spark: SparkSession) -> DataFrame:
-    """One row: the standard of the scale check and the array of title-block field rules."""
+    """One row: the standard of the scale check and the title-block field rules by column."""
     fields = load(spark, "title_block_map").join(load(spark, "gost_title_block_field"), "field_number").join(
         load(spark, "gost_standard").select(F.col("id").alias("standard_id"), F.col("designation").alias("standard_designation")), "standard_id"
     )
     spec = F.struct("field_pos", "attr", "field_number", "required_paper", "standard_designation")
     return _scales(spark).groupBy().agg(F.min_by("standard_designation", "id").alias("scale_standard")).crossJoin(
-        fields.groupBy().agg(F.array_sort(F.collect_list(spec)).alias("fields"))
+        fields.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("attr", spec))).alias("fields"))
     )
 
 
@@ -70,21 +70,20 @@ def with_checks(spark: SparkSession, drawings: DataFrame) -> DataFrame:
         F.coalesce("hit.clause_number", F.lit("2")),
         F.when(scale.isNull(), m.REVIEW).when(F.col("hit").isNotNull(), m.PASSED).otherwise(m.VIOLATED), scale,
     ))
-    values = F.create_map(*[x for c in TITLE_COLUMNS for x in (F.lit(c), F.col(c).cast("string"))])
 
-    def field_check(f: Column) -> Column:
-        value = F.try_element_at(values, f["attr"])
+    def field_check(name: str) -> Column:
+        value, f = F.col(name).cast("string"), F.try_element_at("fields", F.lit(name))
         filled = F.coalesce(tx.is_filled(value), F.lit(False))
         status = (
             F.when(filled, m.PASSED).when(f["required_paper"] == m.REQUIRED_MARK, m.VIOLATED)
             .when(f["required_paper"] == m.CONDITIONAL_MARK, m.REVIEW).otherwise(m.NOT_APPLICABLE)
         )
-        return check(RANK_FIELD + f["field_pos"] - 1, F.concat(F.lit("field_"), f["field_number"]), f["standard_designation"],
-                     f["field_number"], status, F.when(filled, value))
+        return F.when(f.isNotNull(), check(
+            RANK_FIELD + f["field_pos"] - 1, F.concat(F.lit("field_"), f["field_number"]), f["standard_designation"],
+            f["field_number"], status, F.when(filled, value),
+        ))
 
-    title = F.transform(F.coalesce("fields", F.array().cast("array<struct<field_pos:int,attr:string,field_number:string,"
-                                                           "required_paper:string,standard_designation:string>>")), field_check)
-    checks = F.concat(F.array_compact(F.array(reference, in_scale)), title)
+    checks = F.array_compact(F.array(reference, in_scale, *[field_check(c) for c in TITLE_COLUMNS]))
     return out.withColumn("checks", checks).drop("scale_key", "hit", "scale_standard", "fields")
 
 

@@ -21,6 +21,8 @@ def build_session(app_name: str = "partwright", master: str | None = None, **con
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Methods the JVM would not compile run as separate projections instead of one fused stage.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

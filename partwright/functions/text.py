@@ -149,10 +149,23 @@ def first_prefix(c: Column, rules: list[tuple[str, str]], fallback: str) -> Colu
     return F.coalesce(*[F.when(upper.startswith(p), F.lit(v)) for p, v in rules], F.lit(fallback))
 
 
+_HIGH_BYTES = bytes(range(0x80, 0x100))
+_LATIN_HIGH, _CYRILLIC_HIGH = _HIGH_BYTES.decode("iso-8859-1"), _HIGH_BYTES.decode("windows-1251", errors="replace")
+
+
+def from_windows_1251(content: Column) -> Column:
+    """Single-byte decode without a Python worker: bytes as Latin-1, then the upper half is translated."""
+    return F.translate(F.decode(content, "iso-8859-1"), _LATIN_HIGH, _CYRILLIC_HIGH)
+
+
+def to_windows_1251(text: Column) -> Column:
+    return F.encode(F.translate(text, _CYRILLIC_HIGH, _LATIN_HIGH), "iso-8859-1")
+
+
 def decode_step_bytes(content: Column) -> Column:
     """UTF-8 where the bytes are valid UTF-8, Windows-1251 otherwise."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "windows-1251"))
+    return F.when(F.is_valid_utf8(text), text).otherwise(from_windows_1251(content))
 
 
 def decode_step_escapes(c: Column) -> Column:
@@ -162,7 +175,7 @@ def decode_step_escapes(c: Column) -> Column:
     def piece(p: Column) -> Column:
         digits = F.regexp_extract(p, r"^((?:[0-9A-Fa-f]{4})+)\\X0\\", 1)
         rest = F.regexp_replace(p, r"^(?:[0-9A-Fa-f]{4})+\\X0\\", "")
-        decoded = F.concat(F.decode(F.unhex(digits), "UTF-16BE"), rest)
+        decoded = F.concat(F.decode(F.unhex(digits), "utf-16be"), rest)
         return F.when(digits != "", decoded).otherwise(F.concat(F.lit("\\X2\\"), p))
 
     tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "match_queries", "route_queries", "print_queries", "review_queries", "geometry_queries", "catalog_queries", "document_queries", "search_queries")
+MODULES = (
+    "text_queries", "match_queries", "route_queries", "print_queries", "review_queries", "geometry_queries", "catalog_queries",
+    "document_queries", "search_queries", "stream_queries",
+)
 
 
 def all_queries():

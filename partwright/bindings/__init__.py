@@ -6,7 +6,7 @@ import importlib
 
 MODULES = (
     "text_queries", "match_queries", "route_queries", "print_queries", "review_queries", "geometry_queries", "catalog_queries",
-    "document_queries", "search_queries", "stream_queries",
+    "document_queries", "search_queries", "stream_queries", "region_queries",
 )
 
 

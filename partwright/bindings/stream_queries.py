@@ -18,7 +18,8 @@ INSTANT = "CAST(convert_timezone('UTC', current_timezone(), ts) AS TIMESTAMP) AS
 STATUS = "CASE event_type WHEN 'purchase' THEN 'warning' WHEN 'signup' THEN 'alert' WHEN 'error' THEN 'offline' ELSE 'online' END AS status"
 FACT_SQL["reading"] = f"SELECT {', '.join(READING)}, {STATUS}, value AS load FROM events"
 FACT_SQL["zone_window"] = """SELECT zone_id, epoch_us(ts) // 3500000 * 3500 AS window_ms, arg_max(status, (ts, reading_id)) AS status,
-  least(99e0, greatest(40e0, arg_max(load, (ts, reading_id)) FILTER (status <> 'offline'))) AS own_load FROM reading GROUP BY ALL"""
+  CASE WHEN count(*) FILTER (status <> 'offline') > 0 THEN least(99e0, greatest(40e0, arg_max(load, (ts, reading_id)) FILTER (status <> 'offline'))) END AS own_load
+  FROM reading GROUP BY ALL"""
 FACT_SQL["zone_load"] = """SELECT zone_id, window_ms, status, last_value(own_load IGNORE NULLS) OVER (PARTITION BY zone_id ORDER BY window_ms
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS load FROM zone_window"""
 

@@ -5,25 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwright.session import shared_folder
+from partwright.session import cut_lineage
 
 
 def closure(spark: SparkSession, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """All (src, dst, depth) pairs reachable over ``edges(src, dst)``, shortest depth each.
 
     Semi-naive: each round extends only the pairs found in the round before and drops those already
-    known, so cycles end. Rounds are cut with a reliable checkpoint in the shared folder.
+    known, so cycles end. Rounds are cut by a table in the shared folder.
     """
-    shared_folder(spark)
     edges = edges.select("src", "dst").distinct()
-    known = edges.withColumn("depth", F.lit(1)).checkpoint()
+    known = cut_lineage(edges.withColumn("depth", F.lit(1)))
     frontier = known
     for depth in range(2, max_rounds + 2):
         step = frontier.select("src", F.col("dst").alias("mid")).join(edges.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        new = step.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = cut_lineage(step.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return known
-        known = known.unionByName(new).checkpoint()
+        known = known.unionByName(new)
         frontier = new
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
@@ -34,14 +33,13 @@ def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_roun
     Each round takes the smallest label among neighbours (map-side combined) and then jumps to the
     label's own label, so the number of rounds grows with the logarithm of the longest path.
     """
-    shared_folder(spark)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("component")))
     for _ in range(max_rounds):
         offered = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         hooked = labels.join(offered, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
         roots = hooked.select(F.col("node").alias("c"), F.col("c").alias("root"))
-        jumped = hooked.join(roots, "c", "left").select("node", "old", F.least("c", "root").alias("component")).checkpoint()
+        jumped = cut_lineage(hooked.join(roots, "c", "left").select("node", "old", F.least("c", "root").alias("component")))
         if jumped.where(F.col("old") != F.col("component")).isEmpty():
             return jumped.select("node", "component")
         labels = jumped.select("node", "component")

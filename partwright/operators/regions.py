@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partwright.operators import graph
+from partwright.session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------------------
 MERGE_DISTANCE = 15.0
@@ -118,7 +119,7 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
     Each box lies in the grid of its own size; a smaller box probes the grids of larger sizes, where it
     touches a few cells only.
     """
-    named = boxes.withColumn("node", F.struct("page_id", *BOX)).checkpoint()
+    named = cut_lineage(boxes.withColumn("node", F.struct("page_id", *BOX)))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     sized = named.select("page_id", "node", *BOX, F.sqrt(w * w + h * h).alias("diag"), _level(w, h).alias("own"))
     large = _cells(sized, F.col("own"), *[F.col(c) for c in BOX]).select(

@@ -23,7 +23,8 @@ SLOT_MS = 24 * 3600 * 1000
 
 
 def clamp(load: Column) -> Column:
-    return F.least(F.lit(LOAD_MAX), F.greatest(F.lit(LOAD_MIN), load))
+    """Null stays null: ``least`` and ``greatest`` would skip it."""
+    return F.when(load.isNotNull(), F.least(F.lit(LOAD_MAX), F.greatest(F.lit(LOAD_MIN), load)))
 
 
 def clamped(readings: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partwright.operators.sequences import needs_split
 from partwright.session import cut_lineage
 
 
@@ -55,3 +57,40 @@ def plant_edges(zones: DataFrame, flows: DataFrame, control: DataFrame) -> DataF
     telemetry = ends.select("factory", F.col("zone_id").alias("src"), F.lit("gateway").alias("dst"), F.lit("telemetry").alias("edge_type"))
     fixed = ends.select("factory").distinct().crossJoin(control).select("factory", "src", "dst", F.lit("control").alias("edge_type"))
     return material.unionByName(telemetry).unionByName(fixed)
+
+
+GROUP_EDGES = 1_000_000
+
+
+def components_within(spark: SparkSession, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """Connected components where edges never leave their ``key``: ``key, node, component`` (node ids are texts).
+
+    While every key has few enough edges for one task (measured), a union-find per key settles them in one
+    pass; otherwise labels are spread in rounds over all keys together.
+    """
+    edges = cut_lineage(edges.select(key, "src", "dst"))
+    nodes = nodes.select(key, "node").distinct()
+    if needs_split(edges, [key], GROUP_EDGES):
+        return nodes.join(components(spark, nodes, edges), "node").select(key, "node", "component")
+
+    def union_find(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[str, str] = {}
+
+        def root(a: str) -> str:
+            parent.setdefault(a, a)
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            return a
+
+        for a, b in zip(pdf["src"], pdf["dst"]):
+            ra, rb = root(a), root(b)
+            parent[max(ra, rb)] = min(ra, rb)
+        found = [(a, root(a)) for a in list(parent)]
+        out = pd.DataFrame(found, columns=["node", "component"])
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    schema = f"{key} {edges.schema[key].dataType.simpleString()}, node string, component string"
+    labels = edges.groupBy(key).applyInPandas(union_find, schema)
+    return nodes.join(labels, [key, "node"], "left").select(key, "node", F.coalesce("component", "node").alias("component"))

@@ -88,12 +88,12 @@ def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
 def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS, split: bool = True) -> DataFrame:
     """Boxes of connected groups with at least ``min_members`` boxes."""
     placed = in_subcells(with_area(rects), distance)
-    node = lambda x, y: F.struct(F.col("page_id").alias("page_id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    node = lambda x, y: F.concat_ws(":", "page_id", x, y)
     cells = placed.groupBy("page_id", "sx", "sy").agg(*[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]], F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("node", node("sx", "sy"))
-    links = linked_subcells(placed, distance, split).select(node("ax", "ay").alias("src"), node("bx", "by").alias("dst"))
-    labels = graph.components(spark, cells.select("node"), links)
-    grown = _grown(cells.join(labels, "node"), F.col("component"), F.col("n"))
+    links = linked_subcells(placed, distance, split).select("page_id", node("ax", "ay").alias("src"), node("bx", "by").alias("dst"))
+    labels = graph.components_within(spark, cells, links, "page_id")
+    grown = _grown(cells.join(labels, ["page_id", "node"]), F.col("component"), F.col("n"))
     return grown.where(F.col("members") >= min_members).select("page_id", *BOX, "members")
 
 
@@ -119,7 +119,7 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
     Each box lies in the grid of its own size; a smaller box probes the grids of larger sizes, where it
     touches a few cells only.
     """
-    named = cut_lineage(boxes.withColumn("node", F.struct("page_id", *BOX)))
+    named = cut_lineage(boxes.withColumn("node", F.concat_ws(":", "page_id", *BOX)))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     sized = named.select("page_id", "node", *BOX, F.sqrt(w * w + h * h).alias("diag"), _level(w, h).alias("own"))
     large = _cells(sized, F.col("own"), *[F.col(c) for c in BOX]).select(
@@ -134,9 +134,9 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
         (F.col("node") != F.col("dst")) & (F.col("diag") <= F.col("ddiag"))
         & (F.col("x0") - reach < F.col("dx1")) & (F.col("dx0") < F.col("x1") + reach) & (F.col("y0") - reach < F.col("dy1")) & (F.col("dy0") < F.col("y1") + reach)
     )
-    edges = pairs.select(F.col("node").alias("src"), "dst").distinct()
-    labels = graph.components(spark, named.select("node"), edges)
-    return _grown(named.join(labels, "node"), F.col("component"), F.col("members")).select("page_id", *BOX, "members")
+    edges = pairs.select("page_id", F.col("node").alias("src"), "dst").distinct()
+    labels = graph.components_within(spark, named, edges, "page_id")
+    return _grown(named.join(labels, ["page_id", "node"]), F.col("component"), F.col("members")).select("page_id", *BOX, "members")
 
 
 def members_per_region(regions: DataFrame, rects: DataFrame) -> DataFrame:

@@ -109,6 +109,15 @@ def test_clusters_equal_pairwise_union(spark):
         assert r.element_count == sum(q[0] == r.page_id and q[1] < r.x1 and r.x0 < q[3] and q[2] < r.y1 and r.y0 < q[4] for q in rects)
 
 
+def test_rounds_equal_union_find(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, "a", "b"), (1, "c", "b"), (1, "d", "e"), (2, "p", "q")], "k long, src string, dst string")
+    nodes = spark.createDataFrame([(1, n) for n in "abcdef"] + [(2, n) for n in "pq"], "k long, node string")
+    want = {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f", "p": "p", "q": "p"}
+    for limit in (100, 1):
+        monkeypatch.setattr(graph, "GROUP_EDGES", limit)
+        assert {r.node: r.component for r in graph.components_within(spark, nodes, edges, "k").collect()} == want
+
+
 def test_closure_of_a_cycle_ends(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
     assert {(r.src, r.dst) for r in graph.closure(spark, edges).collect()} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3, 4)}

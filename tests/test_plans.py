@@ -1,6 +1,5 @@
 """Routes, prints and recommendations on literal requests."""
 
-from pyspark.sql import functions as F
 
 from partwright.bindings import all_queries
 from partwright.plans import printing, route
@@ -70,4 +69,3 @@ def test_large_side_is_not_broadcast(spark):
     small = spark.sql("SELECT * FROM (VALUES (1), (2)) AS v(id)")
     assert "broadcast" in joins.small_side(small)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in joins.small_side(small, limit=1)._jdf.queryExecution().logical().toString()
-    assert F is not None

@@ -12,6 +12,7 @@ from partwright.functions import numbers as nx
 from partwright.operators import features as ft
 from partwright.operators import sequences as seq
 from partwright.operators import toolpath as tp
+from partwright.sources.joins import small_side
 
 add = REGISTRY.add
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -281,10 +282,9 @@ def _(spark, d):
     sizes = ft.holes(table, face_boxes(table)).groupBy("diameter_mm").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("diameter_mm", "hole")
     types = load(spark, "tooling_type").select(F.col("id").alias("tooling_type_id"), "code")
     tools = load(spark, "tooling").where("diameter_mm IS NOT NULL").join(types, "tooling_type_id")
-    near = F.abs(F.col("hole") - F.col("diameter_mm")) < 0.5
-    return F.broadcast(tools).join(sizes, near, "left").groupBy("code", "id", "designation", "diameter_mm").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("exact_holes")
-    )
+    near = F.abs(F.col("hole") - F.col("diameter_mm")) < tp.DRILL_MATCH_MM
+    hits = sizes.join(small_side(tools.select("id", "diameter_mm")), near).groupBy("id").agg(F.sum("n").alias("exact_holes"))
+    return tools.join(hits, "id", "left").select("code", "id", "designation", "diameter_mm", F.coalesce("exact_holes", F.lit(0)).alias("exact_holes"))
 
 
 @add("h18_tool_cutting_mode", "SELECT part_id, face_id, op_code, material_group_id, tool_diameter, error_code, spindle_rpm, feed_mm_min FROM tool_mode")

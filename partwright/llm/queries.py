@@ -10,11 +10,23 @@ from pyspark.sql import functions as F
 from partwright.llm.common import table
 from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
+from partwright.llm.packing import pack
+from partwright.llm.tokens import stored_pieces, token_counts
+
+#: Vocabulary file of the contracts; the operators take any path.
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the installed public vocabulary lies (on every machine of the cluster)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -69,3 +81,14 @@ FROM o
 @query("op5_source_mixing", MIX_SQL)
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(stored_pieces(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts(table(spark, sf_dir, "documents"), vocabulary_path(), budget=1024)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))

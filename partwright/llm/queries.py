@@ -12,6 +12,7 @@ from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
 from partwright.llm.near_dedup import near_duplicates
 from partwright.llm.packing import pack
+from partwright.llm.quality import fit_quality, quality_scores
 from partwright.llm.tokens import stored_pieces, token_counts
 
 #: Vocabulary file of the contracts; the operators take any path.
@@ -112,3 +113,16 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.node = d.doc_id
 @query("op10_hyperminhash_dedup", NEAR_SQL)
 def op10_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+#: Rows whose labels may be learned from: two thirds, by a checksum of the id.
+TRAINING = "crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1"
+HELD_OUT = "coalesce(crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1, false)"
+
+
+@query("op1_quality_machine")
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), train=F.expr(TRAINING))
+    scored = quality_scores(docs, model)
+    return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwright.llm.common import table
+from partwright.llm.html_text import extract_pages
 from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
 from partwright.llm.near_dedup import near_duplicates
@@ -126,3 +127,8 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"), train=F.expr(TRAINING))
     scored = quality_scores(docs, model)
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
 from partwright.llm.near_dedup import near_duplicates
 from partwright.llm.packing import pack
+from partwright.llm.piecewise import fingerprint, likeness, with_next
 from partwright.llm.quality import fit_quality, quality_scores
 from partwright.llm.tokens import stored_pieces, token_counts
 
@@ -132,3 +134,25 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_main_text")
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def edited(text: str, following: str) -> str:
+    """The last quarter of the text replaced by as many characters of the following one, or all it has."""
+    quarter = len(text) // 4
+    return text[: len(text) - quarter] + following[:quarter]
+
+
+def _compared(texts: list[str], following: list[str]) -> dict[str, list]:
+    new = [edited(t, f) for t, f in zip(texts, following)]
+    own, changed = [fingerprint(t) for t in texts], [fingerprint(t) for t in new]
+    beside = own[1:] + [fingerprint(following[-1])] if following[:-1] == texts[1:] else [fingerprint(t) for t in following]
+    return {
+        "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new], "fingerprint": own,
+        "edited_fingerprint": changed, "near_edited": likeness(own, changed), "near_next": likeness(own, beside),
+    }
+
+
+@query("op9_piecewise_fingerprints")
+def op9_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return with_next(table(spark, sf_dir, "documents"), _compared, schema)

@@ -11,76 +11,54 @@ from pyspark.sql import functions as F
 
 from partwright.llm.common import small_batches, text_or_empty
 
-#: Least block size, longest signature, window of the rolling hash and of the common run two
-#: signatures must share, and the signature's alphabet.
-LEAST, LONGEST, WINDOW, RUN = 3, 64, 7, 7
+#: Least block size, longest signature, bytes that the rolling hash remembers, characters that two signatures must
+#: have in a row, signatures per fingerprint, and the signature's alphabet.
+LEAST, LONGEST, WINDOW, RUN, SCALES = 3, 64, 7, 7, 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
-_P = np.uint64(0x100000001B3)
-_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_BYTES = np.random.default_rng(1_846).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """A hash of the last ``WINDOW`` bytes at every byte: it forgets what lies further back, so edits stay local."""
-    x = data.astype(np.uint32) + np.uint32(1)
-    h = np.zeros(len(x), dtype=np.uint32)
-    for k in range(WINDOW):
-        own = (x[: len(x) - k] * np.uint32(2654435761)) ^ (x[: len(x) - k] << np.uint32(11))
-        h[k:] = h[k:] + own * np.uint32((2 * k + 1) * 40503 | 1)
+    """A hash of the last ``WINDOW`` bytes at every byte: it forgets what lies further back, so edits stay local.
+
+    Each step shifts by five bits, so after seven steps a byte has left the 32 bits; three doublings add up the steps.
+    """
+    h = _BYTES[data]
+    for span in (1, 2, 4):
+        h[span:] = h[span:] ^ (h[:-span] << np.uint32(5 * span)) if len(h) > span else h[span:]
     h ^= h >> np.uint32(15)
     h *= np.uint32(2246822519)
-    return h ^ (h >> np.uint32(13))
-
-
-def levels(h: np.ndarray) -> np.ndarray:
-    """For every byte the largest ``k`` so that it ends a chunk at block size ``LEAST * 2**k``, or -1."""
-    ends = h % np.uint32(LEAST) == LEAST - 1
-    q = h // np.uint32(LEAST)
-    low = (~q) & (q + np.uint32(1))  # the lowest zero bit of q
-    k = np.where(low == 0, 32, np.frexp(low.astype(np.float64))[1] - 1)
-    return np.where(ends, k, -1)
+    h ^= h >> np.uint32(13)
+    return h
 
 
 def fingerprint(text: str) -> str:
-    """``block size:signature:signature at twice the block size``.
+    """``block size:signature:...``, four signatures at this block size and at two, four and eight times it.
 
     A rolling hash of the text's UTF-8 bytes marks chunk borders; each chunk is hashed whole and shown as one
     character. The block size is the least one at which the signature has at most 64 characters, so every byte counts
-    and equal texts have equal fingerprints. An empty text has two empty signatures.
+    and equal texts have equal fingerprints. An empty text has empty signatures.
     """
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     if not len(data):
-        return f"{LEAST}::"
-    level = levels(rolling(data))
-    # Borders by block size: those of a size are also borders of every smaller one.
-    per = np.cumsum(np.bincount(level[:-1] + 1, minlength=35)[::-1])[::-1][1:]
+        return f"{LEAST}" + ":" * SCALES
+    h = rolling(data)
+    # A byte ends a chunk at block size LEAST * 2**k if the hash is one less than a multiple of it; its largest k
+    # follows from the lowest zero bit. The last byte ends the last chunk anyway.
+    at = np.flatnonzero(h[:-1] % np.uint32(LEAST) == LEAST - 1)
+    q = h[at] // np.uint32(LEAST)
+    level = np.frexp((~q & (q + np.uint32(1))).astype(np.float64))[1] - 1
+    per = np.cumsum(np.bincount(level, minlength=33)[::-1])[::-1]
     k = int(np.argmax(per < LONGEST))
-    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)), dtype=np.uint64)))
-
-    def signature(at: int) -> str:
-        end = np.append(np.flatnonzero(level[:-1] >= at) + 1, len(data))
-        start = np.concatenate(([0], end[:-1]))
-        chunk = (sums[end] - sums[start]) * _shift(start)
-        chunk = (chunk ^ (end - start).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return ALPHABET[(chunk >> np.uint64(58)).astype(np.int64)].tobytes().decode()
-
-    return f"{LEAST << k}:{signature(k)}:{signature(k + 1)}"
-
-
-def _shift(start: np.ndarray) -> np.ndarray:
-    """The inverse power that makes a chunk's hash independent of where it stands."""
-    out = np.ones(len(start), dtype=np.uint64)
-    square, left = _INVERSE, start.astype(np.uint64)
-    while left.any():
-        out = np.where(left & np.uint64(1) == 1, out * square, out)
-        square = square * square
-        left = left >> np.uint64(1)
-    return out
+    sums = np.cumsum(h, dtype=np.uint64)
+
+    def signature(least: int) -> str:
+        end = np.append(at[level >= least], len(data) - 1)
+        chunk = np.diff(sums[end], prepend=np.uint64(0)) + np.diff(end, prepend=-1).astype(np.uint64)
+        chunk = chunk * np.uint64(0x9E3779B97F4A7C15)
+        return ALPHABET[((chunk ^ (chunk >> np.uint64(29))) >> np.uint64(7) & np.uint64(63)).astype(np.int64)].tobytes().decode()
+
+    return ":".join([str(LEAST << k), *(signature(k + i) for i in range(SCALES))])
 
 
 def _codes(signatures: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +89,8 @@ def alike(left: str, right: str) -> float:
     return float(likeness([left], [right])[0])
 
 
-def _shares_run(a: str, b: str) -> bool:
-    n = min(RUN, len(a), len(b))
-    if n == 0:
+def _shares_run(a: str, b: str, n: int) -> bool:
+    if n == 0 or len(a) < n or len(b) < n:
         return False
     runs = {a[i : i + n] for i in range(len(a) - n + 1)}
     return any(b[i : i + n] in runs for i in range(len(b) - n + 1))
@@ -122,10 +99,10 @@ def _shares_run(a: str, b: str) -> bool:
 def likeness(left: list[str], right: list[str]) -> np.ndarray:
     """Likeness of pairs of fingerprints, 0 to 1.
 
-    Only signatures of equal block size are compared: both if the sizes are equal, the coarse one of one with the fine
-    one of the other if they differ by a factor of two; else the likeness is 0. It is one less the edit distance as a
-    share of the longer signature, or 0 if no run of seven characters (or of the whole shorter signature) is shared;
-    the better of the comparisons counts. Equal fingerprints have likeness 1.
+    Only signatures of equal block size are compared. For each it is one less the edit distance as a share of the
+    longer signature, or 0 if no run of seven characters is shared (of the whole shorter one, if both are the finest of
+    their fingerprints and it is shorter); the best of the comparisons counts. Equal fingerprints have likeness 1,
+    fingerprints without a common block size 0.
     """
     out = np.zeros(len(left))
     who, one, two = [], [], []
@@ -133,11 +110,11 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
         if x == y:
             out[k] = 1.0
             continue
-        (bx, x1, x2), (by, y1, y2) = x.split(":"), y.split(":")
-        bx, by = int(bx), int(by)
-        pairs = [(x1, y1), (x2, y2)] if bx == by else [(x2, y1)] if by == 2 * bx else [(x1, y2)] if bx == 2 * by else []
-        for a, b in pairs:
-            if _shares_run(a, b):
+        (bx, *xs), (by, *ys) = x.split(":"), y.split(":")
+        shift = int(by).bit_length() - int(bx).bit_length()
+        for i in range(max(0, shift), min(SCALES, SCALES + shift)):
+            a, b = xs[i], ys[i - shift]
+            if _shares_run(a, b, RUN if i or shift else min(RUN, len(a), len(b))):
                 who.append(k)
                 one.append(a)
                 two.append(b)

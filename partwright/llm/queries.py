@@ -13,6 +13,7 @@ from partwright.llm.html_text import extract_pages
 from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
 from partwright.llm.near_dedup import near_duplicates
+from partwright.llm.nearest import nearest
 from partwright.llm.packing import pack
 from partwright.llm.piecewise import fingerprint, likeness, with_next
 from partwright.llm.quality import fit_quality, quality_scores
@@ -156,3 +157,8 @@ def _compared(texts: list[str], following: list[str]) -> dict[str, list]:
 def op9_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return with_next(table(spark, sf_dir, "documents"), _compared, schema)
+
+
+@query("op4_adaptive_scan")
+def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

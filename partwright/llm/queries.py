@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwright.llm.common import table
+from partwright.llm.disclosure import KINDS, span_report
 from partwright.llm.html_text import extract_pages
 from partwright.llm.line_dedup import line_dedup
 from partwright.llm.mixing import mix_sources
@@ -162,3 +163,13 @@ def op9_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_adaptive_scan")
 def op4_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_disclosure")
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = span_report(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -89,6 +89,7 @@ class Machine:
         """Stochastic steps with per-feature rates (AdaGrad) on the logistic loss, in a fixed order; the rarer label
         weighs as much in all as the other one, the bias is then set back to the true share."""
         if not len(rows):
+            self.v[:] = 0
             return self
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).clip(0.2, 5)
@@ -138,11 +139,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
             all_rows = pd.concat(got).sort_values("doc_id")
             rows = [features(t, n) for t, n in zip(all_rows["text"], all_rows["n_chars"])]
             y = all_rows["label"].to_numpy(dtype=float)
-        machine = Machine().fit(rows, y)
-        small = (machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32))
-        yield pd.DataFrame({"model": [pickle.dumps(small)]})
+        yield pd.DataFrame({"model": [_packed(Machine().fit(rows, y))]})
 
-    return bytes(sample.coalesce(1).mapInPandas(fit, "model binary").first()["model"])
+    made = sample.coalesce(1).mapInPandas(fit, "model binary").first()
+    return bytes(made["model"]) if made else _packed(Machine().fit([], np.empty(0)))
+
+
+def _packed(machine: Machine) -> bytes:
+    return pickle.dumps((machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)))
 
 
 @lru_cache(maxsize=2)

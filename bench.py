@@ -13,7 +13,7 @@ from partwright.session import build_session
 HEADLINE = [
     "j10_material_match_counts", "p1_review_findings", "p2_route_plan", "p5_print_plan", "p7_material_recommendation", "p8_reference_search",
     "p9_compliance_registry", "p11_quality_report", "p12_page_layout", "p13_view_regions", "p14_step_summary", "p15_machining_features",
-    "p16_path_statistics", "p17_silhouette_comparison", "a4_words_to_lines", "a20_swept_cells", "r2_zone_load_batch", "x9_planned_vs_actual",
+    "p16_path_statistics", "p17_silhouette_comparison", "a4_words_to_lines", "r2_zone_load_batch", "x9_planned_vs_actual",
     "s6_referential_integrity",
 ]
 

@@ -1,4 +1,4 @@
-"""Faces, tool paths and swept cells; parts and plans are the orders of ``lineitem``."""
+"""Faces and tool paths; parts and plans are the orders of ``lineitem``."""
 
 from __future__ import annotations
 
@@ -12,28 +12,16 @@ from partwright.functions import numbers as nx
 from partwright.operators import features as ft
 from partwright.operators import sequences as seq
 from partwright.operators import toolpath as tp
-from partwright.sources.joins import small_side
 
 add = REGISTRY.add
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 TOOL_DIAMETER_MM = 1.0
 
 
-SPLIT: dict[tuple, bool] = {}
-
-
-def split(spark, d):
-    """Measured once per table: does any order hold too many line items for one task?"""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in SPLIT:
-        SPLIT[key] = seq.needs_split(facts.read(spark, d, "lineitem").select("l_orderkey"), ["l_orderkey"])
-    return SPLIT[key]
-
-
 def moves(spark, d):
     """One move per line item: x quantity, y and z from the percentages, rapid where returned."""
     lines = facts.read(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "move_no", split(spark, d))
+    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "move_no")
     return placed.select(
         F.col("l_orderkey").alias("plan_id"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("op_no"), "move_no",
         F.when(F.col("l_returnflag") == "R", "rapid").otherwise("linear").alias("kind"), F.col("l_quantity").alias("x"),
@@ -51,40 +39,29 @@ FACT_SQL["segs"] = """SELECT *, px IS NOT NULL AND kind <> 'rapid' AS cuts, sqrt
 FACT_SQL["steps"] = "SELECT *, sum(CASE WHEN cuts THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id ORDER BY move_no ROWS UNBOUNDED PRECEDING)::BIGINT AS step FROM segs"
 FACT_SQL["op_ranges"] = """SELECT plan_id, op_no, (sum(own) OVER w - own)::BIGINT AS start_step, (sum(own) OVER w)::BIGINT AS end_step, own FROM (
   SELECT plan_id, op_no, count(*) FILTER (kind <> 'rapid') AS own FROM moves GROUP BY ALL) WINDOW w AS (PARTITION BY plan_id ORDER BY op_no)"""
-FACT_SQL["grid"] = """SELECT *, CAST(greatest(1, ceil((x_max - x_min) / cell)) AS INT) AS nx, CAST(greatest(1, ceil((y_max - y_min) / cell)) AS INT) AS ny,
-  CAST(greatest(1, ceil((z_max - z_min) / cell)) AS INT) AS nz FROM (
-  SELECT *, greatest(0.5e0, greatest(x_max - x_min, y_max - y_min, z_max - z_min, 1e-6) / 120) AS cell FROM (
-  SELECT plan_id, min(x) - 3 AS x_min, max(x) + 3 AS x_max, min(y) - 3 AS y_min, max(y) + 3 AS y_max, min(z) AS z_min, max(z) AS z_max FROM moves GROUP BY plan_id))"""
-FACT_SQL["swept"] = """SELECT plan_id, cx + dx AS vx, cy + dy AS vy, cz + dz AS vz, min(step) AS first_step FROM (
-  SELECT plan_id, nx, ny, nz, cx, cy, cz, reach, min(step) AS step FROM (SELECT plan_id, nx, ny, nz, step, reach,
-    trunc((px + (x - px) * (i / n) - x_min) / cell)::INT AS cx, trunc((py + (y - py) * (i / n) - y_min) / cell)::INT AS cy,
-    trunc((pz + (z - pz) * (i / n) - z_min) / cell)::INT AS cz FROM (
-    SELECT *, unnest(range(n + 1)) AS i FROM (SELECT s.*, g.* EXCLUDE (plan_id), CAST(greatest(1, ceil(s.len / (g.cell / 2))) AS INT) AS n,
-      CAST(greatest(1, ceil(s.tool_diameter / 2 / g.cell)) AS INT) AS reach FROM steps s JOIN grid g USING (plan_id) WHERE s.cuts))) GROUP BY ALL)
-  CROSS JOIN (SELECT a.r AS dx, b.r AS dy, c.r AS dz FROM range(-1, 2) a(r), range(-1, 2) b(r), range(-1, 2) c(r))
-  WHERE dx * dx + dy * dy <= reach * reach AND cx + dx >= 0 AND cx + dx < nx AND cy + dy >= 0 AND cy + dy < ny AND cz + dz >= 0 AND cz + dz < nz GROUP BY ALL"""
+FACT_SQL["stock"] = "SELECT plan_id, min(x) - 3 AS x_min, max(x) + 3 AS x_max, min(y) - 3 AS y_min, max(y) + 3 AS y_max, min(z) AS z_min, max(z) AS z_max FROM moves GROUP BY plan_id"
 
 
 @add("w9_path_length", "SELECT plan_id, op_no, round(coalesce(sum(len), 0), 6) AS length_mm FROM segs GROUP BY ALL")
 def _(spark, d):
-    return tp.path_lengths(moves(spark, d), split(spark, d)).withColumn("length_mm", F.round("length_mm", 6))
+    return tp.path_lengths(moves(spark, d)).withColumn("length_mm", F.round("length_mm", 6))
 
 
 @add("w10_step_ranges", "SELECT plan_id, op_no, start_step, end_step FROM op_ranges")
 def _(spark, d):
-    return tp.step_ranges(moves(spark, d), split(spark, d))
+    return tp.step_ranges(moves(spark, d))
 
 
 @add("w11_time_boundaries", """SELECT plan_id, op_no, start_step / (CASE WHEN total = 0 THEN 1 ELSE total END) * 15000 AS start_ms,
     end_step / (CASE WHEN total = 0 THEN 1 ELSE total END) * 15000 AS end_ms FROM (SELECT *, sum(own) OVER (PARTITION BY plan_id) AS total FROM op_ranges)""")
 def _(spark, d):
     weights = moves(spark, d).groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("weight"))
-    return tp.time_boundaries(weights, split(spark, d))
+    return tp.time_boundaries(weights)
 
 
 @add("w12_global_steps", "SELECT plan_id, move_no, cuts, step FROM steps")
 def _(spark, d):
-    return tp.cutting_steps(moves(spark, d), split(spark, d)).select("plan_id", "move_no", "cuts", "step")
+    return tp.cutting_steps(moves(spark, d)).select("plan_id", "move_no", "cuts", "step")
 
 
 @add("w15_active_operation", """SELECT p.plan_id, p.step, coalesce((SELECT min(op_no) FROM op_ranges r WHERE r.plan_id = p.plan_id AND p.step >= r.start_step
@@ -92,48 +69,15 @@ def _(spark, d):
     FROM (SELECT o_orderkey AS plan_id, o_custkey % 6 AS step FROM orders) p WHERE p.plan_id IN (SELECT plan_id FROM op_ranges)""")
 def _(spark, d):
     probes = facts.read(spark, d, "orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_custkey") % 6).alias("step"))
-    return tp.active_operation(probes, tp.step_ranges(moves(spark, d), split(spark, d)))
-
-
-def grids(spark, d):
-    return tp.grid_spec(tp.expanded(tp.boxes(moves(spark, d), "plan_id")))
-
-
-GRID = ["plan_id", "x_min", "x_max", "y_min", "y_max", "z_min", "z_max"]
-
-
-@add("h31_stock_box", f"SELECT {', '.join(GRID)} FROM grid")
-def _(spark, d):
-    return grids(spark, d).select(GRID)
+    return tp.active_operation(probes, tp.step_ranges(moves(spark, d)))
 
 
-@add("h32_grid_spec", "SELECT plan_id, cell, nx, ny, nz FROM grid")
-def _(spark, d):
-    return grids(spark, d).select("plan_id", "cell", "nx", "ny", "nz")
-
-
-def swept(spark, d):
-    return tp.swept_cells(moves(spark, d), grids(spark, d), split(spark, d))
-
-
-@add("a20_swept_cells", "SELECT plan_id, count(*) AS cells, sum(vx)::BIGINT AS sx, sum(vy)::BIGINT AS sy, sum(vz)::BIGINT AS sz, sum(first_step)::BIGINT AS steps FROM swept GROUP BY plan_id")
-def swept_summary(spark, d):
-    """Every cell of every plan is computed; the cells are folded into per-plan sums for the comparison."""
-    return swept(spark, d).groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("vx").alias("sx"), F.sum("vy").alias("sy"), F.sum("vz").alias("sz"), F.sum("first_step").alias("steps")
-    )
+BOX = ["plan_id", "x_min", "x_max", "y_min", "y_max", "z_min", "z_max"]
 
 
-@add("a21_removed_fraction", "SELECT g.plan_id, count(s.vx) AS removed, count(s.vx) / (g.nx::BIGINT * g.ny * g.nz) AS fraction FROM grid g LEFT JOIN swept s USING (plan_id)"
-     " GROUP BY g.plan_id, g.nx, g.ny, g.nz")
+@add("h31_stock_box", f"SELECT {', '.join(BOX)} FROM stock")
 def _(spark, d):
-    return tp.removed_fraction(swept(spark, d), grids(spark, d))
-
-
-@add("h39_cell_centre", "SELECT plan_id, x_min + (nx - 1 + 0.5e0) * cell AS cx, y_min + (ny - 1 + 0.5e0) * cell AS cy, z_min + (nz - 1 + 0.5e0) * cell AS cz FROM grid")
-def _(spark, d):
-    last = {c: tp.cell_centre(F.col(f"n{c}") - 1, F.col(f"{c}_min"), F.col("cell")).alias(f"c{c}") for c in "xyz"}
-    return grids(spark, d).select("plan_id", *last.values())
+    return tp.expanded(tp.boxes(moves(spark, d), "plan_id")).select(BOX)
 
 
 # ---- faces -----------------------------------------------------------------------------------
@@ -144,7 +88,7 @@ NORMALS = [(0.0, 0.0, 1.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0), (0.0, 0.3, 0.95)]
 def faces(spark, d):
     """Lines 1-4 are cylinders, 5-6 planes, 7 other faces; the face id is the place in the order."""
     lines = facts.read(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, "l_quantity", "l_returnflag")
-    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "face_id", split(spark, d))
+    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "face_id")
     cyl = F.col("l_linenumber") <= 4
 
     def component(i):
@@ -265,26 +209,23 @@ def _(spark, d):
     (SELECT id FROM tooling WHERE diameter_mm IS NOT NULL ORDER BY diameter_mm DESC, id LIMIT 1) AS largest_id FROM hole_rows h""")
 def _(spark, d):
     table = faces(spark, d)
-    both = F.concat("drills", "mills")
-    out = ft.holes(table, face_boxes(table)).crossJoin(F.broadcast(tp.tool_lists(spark)))  # one row
-    return out.select(
-        "part_id", "face_id", tp.nearest_tool(both, F.col("diameter_mm"))["id"].alias("nearest_id"),
-        tp.nearest_tool(both, F.lit(None).cast("double"))["id"].alias("largest_id"),
-    )
+    holes = ft.holes(table, face_boxes(table))
+    nearest = tp.nearest_tool(holes, tp.tools(spark), "diameter_mm").select("diameter_mm", F.col("id").alias("nearest_id"))
+    largest = tp.largest_tool(tp.tools(spark)).select(F.col("id").alias("largest_id"))
+    return holes.join(nearest, "diameter_mm", "left").crossJoin(largest).select("part_id", "face_id", "nearest_id", "largest_id")  # one row
 
 
 @add("f14_tools_with_diameter", "SELECT t.code, x.id, x.designation, x.diameter_mm, count(h.part_id) AS exact_holes FROM tooling x JOIN tooling_type t ON t.id = x.tooling_type_id"
      " LEFT JOIN hole_rows h ON abs(h.diameter_mm - x.diameter_mm) < 0.5e0 WHERE x.diameter_mm IS NOT NULL GROUP BY ALL")
 def _(spark, d):
-    from partwright.sources.reference import load
-
     table = faces(spark, d)
     sizes = ft.holes(table, face_boxes(table)).groupBy("diameter_mm").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("diameter_mm", "hole")
-    types = load(spark, "tooling_type").select(F.col("id").alias("tooling_type_id"), "code")
-    tools = load(spark, "tooling").where("diameter_mm IS NOT NULL").join(types, "tooling_type_id")
-    near = F.abs(F.col("hole") - F.col("diameter_mm")) < tp.DRILL_MATCH_MM
-    hits = sizes.join(small_side(tools.select("id", "diameter_mm")), near).groupBy("id").agg(F.sum("n").alias("exact_holes"))
-    return tools.join(hits, "id", "left").select("code", "id", "designation", "diameter_mm", F.coalesce("exact_holes", F.lit(0)).alias("exact_holes"))
+    cell = lambda c: F.floor(F.col(c) / tp.DRILL_MATCH_MM)
+    near = sizes.withColumn("cell", F.explode(F.array(*[cell("hole") + i for i in (-1, 0, 1)])))
+    known = tp.tools(spark).select(F.col("type_code").alias("code"), "id", F.col("name").alias("designation"), F.col("d").alias("diameter_mm"))
+    hits = near.join(known.select("id", "diameter_mm", cell("diameter_mm").alias("cell")), "cell").where(F.abs(F.col("hole") - F.col("diameter_mm")) < tp.DRILL_MATCH_MM)
+    hits = hits.groupBy("id").agg(F.sum("n").alias("exact_holes"))
+    return known.join(hits, "id", "left").select("code", "id", "designation", "diameter_mm", F.coalesce("exact_holes", F.lit(0)).alias("exact_holes"))
 
 
 @add("h18_tool_cutting_mode", "SELECT part_id, face_id, op_code, material_group_id, tool_diameter, error_code, spindle_rpm, feed_mm_min FROM tool_mode")
@@ -292,21 +233,23 @@ def _(spark, d):
     return tp.tool_cutting_mode(spark, chosen(spark, d)).drop("diameter_mm", "depth_mm", "through", "tooling_id", "tool_error")
 
 
-@add("p16_hole_operations", """SELECT part_id, face_id, op_code, error_code, feed_mm_min, CASE WHEN op_code = 'MILL' AND error_code IS NULL THEN
-    CAST(printf('%.2f', (pi() * diameter_mm + depth_mm) / feed_mm_min) AS DOUBLE) END AS time_min FROM tool_mode""")
+@add("p16_hole_operations", """SELECT part_id, face_id, op_code, error_code, feed_mm_min, CASE WHEN error_code IS NULL THEN CASE WHEN op_code = 'MILL' THEN
+    CAST(printf('%.2f', (pi() * diameter_mm + depth_mm) / feed_mm_min) AS DOUBLE) ELSE CAST(printf('%.2f', 2 * (n * 5e0 + 5e0 * n * (n - 1) / 2 + depth_mm) / feed_mm_min) AS DOUBLE) END END AS time_min
+    FROM (SELECT *, CASE WHEN depth_mm > 3e0 * tool_diameter THEN ceil(depth_mm / 5e0) ELSE 1e0 END AS n FROM tool_mode)""")
 def _(spark, d):
     out = tp.tool_cutting_mode(spark, chosen(spark, d))
-    milled = (F.col("op_code") == "MILL") & F.col("error_code").isNull()
-    time = tp.circular_time(F.col("diameter_mm"), F.col("depth_mm"), F.col("feed_mm_min"))
-    return out.select("part_id", "face_id", "op_code", "error_code", "feed_mm_min", F.when(milled, time).alias("time_min"))
+    milled = tp.circular_time(F.col("diameter_mm"), F.col("depth_mm"), F.col("feed_mm_min"))
+    drilled = tp.drilling_time(F.col("depth_mm"), F.col("tool_diameter"), F.col("feed_mm_min"))
+    time = F.when(F.col("error_code").isNull(), F.when(F.col("op_code") == "MILL", milled).otherwise(drilled))
+    return out.select("part_id", "face_id", "op_code", "error_code", "feed_mm_min", time.alias("time_min"))
 
 
 @add("p16_path_statistics", """SELECT plan_id, op_no, start_step, end_step, CAST(printf('%.6f', length_mm) AS DOUBLE) AS length_mm, CAST(printf('%.2f', length_mm / 120) AS DOUBLE) AS time_min
     FROM op_ranges JOIN (SELECT plan_id, op_no, coalesce(sum(len), 0) AS length_mm FROM segs GROUP BY ALL) USING (plan_id, op_no)""")
 def _(spark, d):
     table = moves(spark, d)
-    lengths = tp.path_lengths(table, split(spark, d))
-    return tp.step_ranges(table, split(spark, d)).join(lengths, ["plan_id", "op_no"]).select(
+    lengths = tp.path_lengths(table)
+    return tp.step_ranges(table).join(lengths, ["plan_id", "op_no"]).select(
         "plan_id", "op_no", "start_step", "end_step", nx.exact_round(F.col("length_mm"), 6).alias("length_mm"),
         nx.exact_round(F.col("length_mm") / 120, 2).alias("time_min"),
     )

@@ -8,7 +8,7 @@ from partwright.bindings import facts
 from partwright.bindings import print_queries as pq
 from partwright.bindings import sqlfrag as q
 from partwright.bindings.spec import FACT_SQL, REGISTRY
-from partwright.operators.chunks import CHUNK_ITEMS, joined_in_chunks
+from partwright.operators.chunks import joined_in_order
 from partwright.functions import text as tx
 from partwright.plans import printing, quality, registry, review, route
 
@@ -21,7 +21,7 @@ UNION ALL SELECT part_id, check_code, standard_designation, clause_number, statu
 
 FACT_SQL["submissions"] = "SELECT *, part_id % 41 <> 0 AS has_drawing FROM drawings"
 
-UNRECOGNISED = f"""SELECT part_id, CAST((pos - 1) // {CHUNK_ITEMS} AS INT) AS chunk, string_agg(number::VARCHAR, ', ' ORDER BY pos) AS numbers,
+UNRECOGNISED = f"""SELECT part_id, string_agg(number::VARCHAR, ', ' ORDER BY pos) AS numbers,
   count(*) AS items FROM tech_requirements WHERE {q.category('text')} IS NULL GROUP BY ALL"""
 
 FACT_SQL["findings"] = f"""
@@ -90,7 +90,7 @@ def _(spark, d):
 @add("a12_unrecognised_numbers", UNRECOGNISED)
 def _(spark, d):
     lines = facts.tech_requirements(spark, d).where(tx.requirement_category(F.col("text")).isNull())
-    return joined_in_chunks(lines.withColumn("numbers", F.col("number")), ["part_id"], "pos", "numbers", ", ")
+    return joined_in_order(lines.withColumn("numbers", F.col("number")), ["part_id"], "pos", "numbers", ", ")
 
 
 LABEL = "CASE severity WHEN 'blocking' THEN 'Критично' WHEN 'warning' THEN 'Внимание' ELSE 'Информация' END"

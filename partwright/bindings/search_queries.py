@@ -117,9 +117,8 @@ def pairs(spark, d):
     """Every picture against the first picture of its label."""
     photos = facts.read(spark, d, "embeddings").select(F.col("vec_id").alias("photo_id"), "label")
     first = photos.groupBy("label").agg(F.min("photo_id").alias("ref_id"))
-    from partwright.sources.joins import small_side
 
-    return photos.join(small_side(first), "label").select("photo_id", "ref_id")
+    return photos.join(first, "label").select("photo_id", "ref_id")
 
 
 @add("a17_otsu_threshold", "SELECT * FROM otsu")

@@ -1,20 +1,13 @@
-"""Ordered text of a group without ever gathering an unbounded group."""
+"""Ordered texts of a group as one text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ITEMS = 1000
 
-
-def joined_in_chunks(df: DataFrame, keys: list[str], position: str, text: str, separator: str, items: int = CHUNK_ITEMS) -> DataFrame:
-    """Join ``text`` in order of the 1-based list ``position``, one row per run of ``items`` positions.
-
-    Normal groups give one row (``chunk`` 0). A group of any size is spread over as many rows as it
-    needs, so nothing is cut and no task holds more than ``items`` values of a group.
-    """
-    chunked = df.withColumn("chunk", F.floor((F.col(position) - 1) / items).cast("int"))
+def joined_in_order(df: DataFrame, keys: list[str], position: str, text: str, separator: str) -> DataFrame:
+    """Join ``text`` in order of ``position``: one row per group. The list of one group is one value by definition."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).cast("string").alias("t"))))
     joined = F.array_join(F.transform(ordered, lambda r: r["t"]), separator)
-    return chunked.groupBy(*keys, "chunk").agg(joined.alias(text), F.count(F.lit(1)).alias("items"))
+    return df.groupBy(*keys).agg(joined.alias(text), F.count(F.lit(1)).alias("items"))

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwright.operators.sequences import needs_split
 from partwright.session import cut_lineage
 
 
-def closure(spark: SparkSession, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """All (src, dst, depth) pairs reachable over ``edges(src, dst)``, shortest depth each.
 
-    Semi-naive: each round extends only the pairs found in the round before and drops those already
-    known, so cycles end. Rounds are cut by a table in the shared folder.
+    Paths are doubled: each round joins the pairs found so far with themselves and keeps the shortest, so a depth of n
+    takes about log n rounds, cycles end, and a round reads the round before alone.
     """
-    edges = edges.select("src", "dst").distinct()
-    known = cut_lineage(edges.withColumn("depth", F.lit(1)))
-    frontier = known
-    for depth in range(2, max_rounds + 2):
-        step = frontier.select("src", F.col("dst").alias("mid")).join(edges.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct()
-        new = cut_lineage(step.join(known.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+    known = cut_lineage(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    mark = None
+    while True:
+        seen = known.agg(F.count("*").alias("n"), F.sum("depth").alias("d")).first()
+        if mark == (seen["n"], seen["d"]):
             return known
-        known = known.unionByName(new)
-        frontier = new
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        mark = (seen["n"], seen["d"])
+        first = known.select("src", F.col("dst").alias("mid"), F.col("depth").alias("d1"))
+        second = known.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("d2"))
+        longer = first.join(second, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("depth"))
+        known = cut_lineage(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -75,38 +73,13 @@ def plant_edges(zones: DataFrame, flows: DataFrame, control: DataFrame) -> DataF
     return material.unionByName(telemetry).unionByName(fixed)
 
 
-GROUP_EDGES = 1_000_000
-
-
 def components_within(spark: SparkSession, nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Connected components where edges never leave their ``key``: ``key, node, component`` (node ids are texts).
 
-    While every key has few enough edges for one task (measured), a union-find per key settles them in one
-    pass; otherwise labels are spread in rounds over all keys together.
+    All keys are settled together: a node's name is its key and id, so the smallest name is the smallest id.
     """
-    edges = cut_lineage(edges.select(key, "src", "dst"))
+    named = lambda c: F.struct(F.col(key).alias("k"), F.col(c).alias("n"))
+    found = connected(edges.select(named("src").alias("src"), named("dst").alias("dst")))
+    labels = found.select(F.col("node.k").alias(key), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
     nodes = nodes.select(key, "node").distinct()
-    if needs_split(edges, [key], GROUP_EDGES):
-        return nodes.join(components(spark, nodes, edges), "node").select(key, "node", "component")
-
-    def union_find(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-
-        def root(a: str) -> str:
-            parent.setdefault(a, a)
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        for a, b in zip(pdf["src"], pdf["dst"]):
-            ra, rb = root(a), root(b)
-            parent[max(ra, rb)] = min(ra, rb)
-        found = [(a, root(a)) for a in list(parent)]
-        out = pd.DataFrame(found, columns=["node", "component"])
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
-
-    schema = f"{key} {edges.schema[key].dataType.simpleString()}, node string, component string"
-    labels = edges.groupBy(key).applyInPandas(union_find, schema)
     return nodes.join(labels, [key, "node"], "left").select(key, "node", F.coalesce("component", "node").alias("component"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwright.functions import text as tx
-from partwright.sources.joins import lookup, small_side
+from partwright.sources.joins import lookup
 
 # ---- fixed values ---------------------------------------------------------------------------
 DIAMETER_TOLERANCE_MM = 0.5
@@ -93,7 +93,7 @@ def enum_requirements(clauses: DataFrame, standards: DataFrame) -> DataFrame:
     """Closed lists of allowed values with the standard they come from."""
     chosen = clauses.where("requirement_type = 'ENUM_CHOICE' AND allowed_values IS NOT NULL")
     return chosen.join(
-        small_side(standards.select(F.col("id").alias("standard_id"), F.col("designation").alias("standard_designation"))),
+        standards.select(F.col("id").alias("standard_id"), F.col("designation").alias("standard_designation")),
         "standard_id",
     ).select("id", "standard_designation", "clause_number", "parameter_name", tx.split_values(F.col("allowed_values")).alias("allowed"))
 
@@ -101,7 +101,7 @@ def enum_requirements(clauses: DataFrame, standards: DataFrame) -> DataFrame:
 def numeric_requirements(clauses: DataFrame, standards: DataFrame) -> DataFrame:
     chosen = clauses.where("requirement_type = 'NUMERIC_LIMIT' AND comparison_op IS NOT NULL")
     return chosen.join(
-        small_side(standards.select(F.col("id").alias("standard_id"), F.col("designation").alias("standard_designation"))),
+        standards.select(F.col("id").alias("standard_id"), F.col("designation").alias("standard_designation")),
         "standard_id",
     ).select("id", "standard_designation", "clause_number", "parameter_name", "comparison_op", "limit_min", "limit_max")
 

@@ -1,10 +1,11 @@
 """View regions from drawn boxes: neighbours, clusters, merging, counts.
 
-Input ``page_id, x0, y0, x1, y1`` with x1 > x0 and y1 > y0; boxes without area never overlap anything
-and are dropped first. Two boxes are neighbours when one, widened by the merge distance, overlaps the
-other and their upper-left corners lie in the same or adjoining cells of twice the distance.
+Input ``page_id, seq, x0, y0, x1, y1`` where ``seq`` is the drawing order. Two boxes are neighbours when one, widened
+by the merge distance, overlaps the other and their upper-left corners lie in the same or adjoining cells of twice
+the distance. A box without area (a stroke) overlaps nothing as the second of a pair, but as the first it is widened:
+strokes are neighbours of boxes with area that are drawn after them.
 
-Boxes are not compared pairwise. Boxes whose corners share a sub-cell of one merge distance are always
+Boxes are not compared pairwise. Boxes with area whose corners share a sub-cell of one merge distance are always
 neighbours, so a sub-cell is one node; two sub-cells are linked if the outermost edges of the one reach
 the outermost edges of the other, for which each side keeps only its undominated corners.
 """
@@ -28,8 +29,12 @@ BOX = ["x0", "y0", "x1", "y1"]
 SALTS = 64
 
 
+def has_area() -> Column:
+    return (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+
+
 def with_area(rects: DataFrame) -> DataFrame:
-    return rects.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    return rects.where(has_area())
 
 
 def in_subcells(rects: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
@@ -42,11 +47,10 @@ def _undominated(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.withColumn("_m", before).where(F.col("_m").isNull() | (F.col("v") > F.col("_m"))).drop("_m")
 
 
-def frontiers(placed: DataFrame, split: bool = True) -> DataFrame:
+def frontiers(placed: DataFrame) -> DataFrame:
     """Outermost corners of every sub-cell toward its four diagonal neighbours.
 
-    With ``split`` a crowded sub-cell is reduced in salted shares first; the frontier of the shares'
-    frontiers is the frontier of the whole.
+    A sub-cell is reduced in salted shares first; the frontier of the shares' frontiers is the frontier of the whole.
     """
     corner = lambda kind, u, v: F.struct(F.lit(kind).alias("kind"), u.alias("u"), v.alias("v"))
     x0, y0, x1, y1 = (F.col(c) for c in BOX)
@@ -55,14 +59,13 @@ def frontiers(placed: DataFrame, split: bool = True) -> DataFrame:
     )))
     keys = ["page_id", "sx", "sy", "kind"]
     best = long.groupBy(*keys, "u").agg(F.max("v").alias("v"))
-    if split:
-        best = _undominated(best.withColumn("salt", F.pmod(F.hash("u"), F.lit(SALTS))), [*keys, "salt"]).drop("salt")
+    best = _undominated(best.withColumn("salt", F.pmod(F.hash("u"), F.lit(SALTS))), [*keys, "salt"]).drop("salt")
     return _undominated(best, keys)
 
 
-def linked_subcells(placed: DataFrame, distance: float = MERGE_DISTANCE, split: bool = True) -> DataFrame:
+def linked_subcells(placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
     """Pairs of different sub-cells that hold neighbouring boxes; the second lies right of, or below, the first."""
-    edge = frontiers(placed, split)
+    edge = frontiers(placed)
     steps = [(dx, dy) for dx in range(4) for dy in range(-3, 4) if dx > 0 or dy > 0]
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit("pm" if dy < 0 else "pp").alias("k")) for dx, dy in steps])
     near = lambda s, step: (F.floor((s + step) / 2) - F.floor(s / 2)).between(-1, 1)
@@ -85,15 +88,36 @@ def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
     )
 
 
-def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS, split: bool = True) -> DataFrame:
-    """Boxes of connected groups with at least ``min_members`` boxes."""
-    placed = in_subcells(with_area(rects), distance)
+def stroke_links(strokes: DataFrame, placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
+    """Strokes with the sub-cells that hold a later neighbour of theirs, one row per stroke and sub-cell.
+
+    A stroke meets the boxes of the sub-cells in its own and the adjoining cells only.
+    """
+    around = lambda c: F.sequence((F.floor(F.col(c) / 2) - 1) * 2, (F.floor(F.col(c) / 2) + 1) * 2 + 1)
+    own = strokes.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("seq", *BOX)], F.explode(around("sx")).alias("sx"), "sy")
+    own = own.withColumn("sy", F.explode(around("sy")))
+    later = F.col("seq") > F.col("s_seq")
+    reach = [F.col(f"s_{a}0") - distance < F.col(f"{a}1") for a in "xy"] + [F.col(f"{a}0") < F.col(f"s_{a}1") + distance for a in "xy"]
+    met = own.join(placed.select("page_id", "sx", "sy", "seq", *BOX), ["page_id", "sx", "sy"]).where(later & reach[0] & reach[1] & reach[2] & reach[3])
+    return met.select("page_id", "sx", "sy", *[F.col(f"s_{c}").alias(c) for c in ("seq", *BOX)]).distinct()
+
+
+def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS) -> DataFrame:
+    """Boxes of connected groups with at least ``min_members`` (two or more) boxes, strokes included."""
+    whole = in_subcells(rects, distance)
+    placed, strokes = whole.where(has_area()), whole.where(~has_area())
     node = lambda x, y: F.concat_ws(":", "page_id", x, y)
     cells = placed.groupBy("page_id", "sx", "sy").agg(*[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]], F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("node", node("sx", "sy"))
-    links = linked_subcells(placed, distance, split).select("page_id", node("ax", "ay").alias("src"), node("bx", "by").alias("dst"))
-    labels = graph.components_within(spark, cells, links, "page_id")
-    grown = _grown(cells.join(labels, ["page_id", "node"]), F.col("component"), F.col("n"))
+    cells = cells.select("page_id", node("sx", "sy").alias("node"), *BOX, "n")
+    links = linked_subcells(placed, distance).select("page_id", node("ax", "ay").alias("src"), node("bx", "by").alias("dst"))
+    named = F.concat_ws(":", "page_id", F.lit("stroke"), "seq", *BOX)
+    drawn = cut_lineage(stroke_links(strokes, placed, distance).select("page_id", named.alias("node"), node("sx", "sy").alias("dst")))
+    links = links.unionByName(drawn.select("page_id", F.col("node").alias("src"), "dst"))
+    # Strokes alike in all columns are one node that counts as many; a stroke without a link is in no group.
+    counted = strokes.select("page_id", named.alias("node"), *BOX).groupBy("page_id", "node", *BOX).agg(F.count(F.lit(1)).alias("n"))
+    nodes = cells.unionByName(counted.join(drawn.select("node").distinct(), "node", "left_semi").select(cells.columns))
+    labels = graph.components_within(spark, nodes, links, "page_id")
+    grown = _grown(nodes.join(labels, ["page_id", "node"]), F.col("component"), F.col("n"))
     return grown.where(F.col("members") >= min_members).select("page_id", *BOX, "members")
 
 
@@ -140,7 +164,7 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
 
 
 def members_per_region(regions: DataFrame, rects: DataFrame) -> DataFrame:
-    """Number of boxes that overlap each region.
+    """Number of boxes that overlap each region; a stroke overlaps none.
 
     Box and region meet in the grid of the larger of the two; a pair counts in the one cell that holds
     the corner of their overlap, so nothing is counted twice and no pair list is kept.
@@ -174,8 +198,8 @@ def without_noise(regions: DataFrame, share: float = MIN_AREA_SHARE) -> DataFram
     return sized.join(largest, "page_id").where(F.col("area") >= F.col("largest") * share).drop("largest")
 
 
-def view_regions(spark: SparkSession, rects: DataFrame, split: bool = True) -> DataFrame:
+def view_regions(spark: SparkSession, rects: DataFrame) -> DataFrame:
     """Both passes, member counts and the noise cut, largest regions first."""
-    protos = clusters(spark, rects, split=split)
+    protos = clusters(spark, rects)
     regions = members_per_region(merged(spark, protos), rects)
     return without_noise(regions).orderBy(F.desc("area"), "page_id", "x0", "y0")

@@ -1,9 +1,7 @@
 """Ordered computations inside groups of any size.
 
-A window over a group puts the group into one task. That is the best plan while the largest group is
-small, and :func:`needs_split` measures it. Beyond the limit (``split=True``) each group is cut into
-buckets of its order column: windows run per (group, bucket) and the few per-bucket totals carry the
-state across bucket borders. Both ways give equal results.
+A window over a group puts the group into one task. Here every group is cut into buckets of its order column: windows
+run per (group, bucket) and the few per-bucket totals carry the state across bucket borders.
 """
 
 from __future__ import annotations
@@ -12,33 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 65536
-GROUP_ROWS = 1_000_000
-
-
-def needs_split(df: DataFrame, keys: list[str], limit: int = GROUP_ROWS) -> bool:
-    """Whether any group is too large for one task: one narrow scan with map-side counts."""
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) > limit
-
-
-def needs_split_by_position(df: DataFrame, position: str, limit: int = GROUP_ROWS) -> bool:
-    """The same from a stored dense position, which needs no grouping."""
-    largest = df.agg(F.max(position)).first()[0]
-    return (largest or 0) > limit
 
 
 def bucket(position: str, size: int = BUCKET_ROWS) -> Column:
     return F.floor((F.col(position) - 1) / size)
 
 
-def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], name: str = "position",
-                   split: bool = True) -> DataFrame:
+def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], name: str = "position") -> DataFrame:
     """1-based rank inside ``keys`` by ``order``; ``coarse`` is monotone in ``order`` and cuts big groups.
 
     Rows are ranked inside (keys, coarse); counts of earlier buckets are added.
     """
-    if not split:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     cuts = [f"_c{i}" for i in range(len(coarse))]
     cut = df.select("*", *[c.alias(n) for c, n in zip(coarse, cuts)])
     local = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*order))
@@ -50,12 +32,8 @@ def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order:
     return joined.withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint")).drop("_local", "_before", *cuts)
 
 
-def with_previous(df: DataFrame, keys: list[str], position: str, values: list[str], split: bool = True,
-                  size: int = BUCKET_ROWS) -> DataFrame:
+def with_previous(df: DataFrame, keys: list[str], position: str, values: list[str], size: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``prev_<value>`` columns: the row before in the group by the dense ``position``."""
-    if not split:
-        whole = Window.partitionBy(*keys).orderBy(position)
-        return df.select("*", *[F.lag(v).over(whole).alias(f"prev_{v}") for v in values])
     cut = df.withColumn("_b", bucket(position, size))
     w = Window.partitionBy(*keys, "_b").orderBy(position)
     row = F.struct(*values)
@@ -66,12 +44,8 @@ def with_previous(df: DataFrame, keys: list[str], position: str, values: list[st
     return out.select(*df.columns, *[prev[v].alias(f"prev_{v}") for v in values])
 
 
-def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, name: str, split: bool = True,
-                size: int = BUCKET_ROWS) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, name: str, size: int = BUCKET_ROWS) -> DataFrame:
     """Adds the running total of ``value`` in order of ``position`` within ``keys``."""
-    if not split:
-        whole = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(whole), F.lit(0)))
     cut = df.withColumn("_b", bucket(position, size)).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
@@ -81,11 +55,8 @@ def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, na
     return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce("_run", F.lit(0))).drop("_b", "_v", "_run", "_before")
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: str, slot: Column, value: str, name: str, split: bool = True) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: str, slot: Column, value: str, name: str) -> DataFrame:
     """Last non-null ``value`` up to each row by ``order``; ``slot`` is monotone in ``order`` and cuts big groups."""
-    if not split:
-        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(whole))
     cut = df.withColumn("_s", slot)
     w = Window.partitionBy(*keys, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(value).isNotNull(), F.col(order))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partwright.sources.joins import small_side
 
 # ---- fixed values ---------------------------------------------------------------------------
 CANVAS = 260
@@ -58,8 +57,8 @@ def mask_overlap(pairs: DataFrame, mask: DataFrame) -> DataFrame:
     """
     area = mask.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"))
     refs = pairs.select("ref_id").distinct()
-    ref_mask = mask.withColumnRenamed("photo_id", "ref_id").join(small_side(refs), "ref_id", "left_semi")
-    both = mask.join(pairs, "photo_id").join(small_side(ref_mask), ["ref_id", "x", "y"]).groupBy("photo_id", "ref_id").agg(F.count(F.lit(1)).alias("common"))
+    ref_mask = mask.withColumnRenamed("photo_id", "ref_id").join(refs, "ref_id", "left_semi")
+    both = mask.join(pairs, "photo_id").join(ref_mask, ["ref_id", "x", "y"]).groupBy("photo_id", "ref_id").agg(F.count(F.lit(1)).alias("common"))
     out = pairs.join(area, "photo_id", "left").join(area.select(F.col("photo_id").alias("ref_id"), F.col("n").alias("m")), "ref_id", "left")
     out = out.join(both, ["photo_id", "ref_id"], "left")
     common = F.coalesce("common", F.lit(0))
@@ -93,7 +92,7 @@ def best_rotations(pairs: DataFrame, raster: DataFrame, width: int, height: int,
     Pairs with a missing silhouette give a null score.
     """
     ref = raster.select(*[F.col(c).alias(f"ref_{c}" if c != "photo_id" else "ref_id") for c in ("photo_id", "dark", "cx", "cy", "scale")])
-    joined = pairs.join(raster.select("photo_id", "dark", "cx", "cy", "scale"), "photo_id", "left").join(small_side(ref), "ref_id", "left")
+    joined = pairs.join(raster.select("photo_id", "dark", "cx", "cy", "scale"), "photo_id", "left").join(ref, "ref_id", "left")
     schema = T.StructType([T.StructField("photo_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("score", T.DoubleType()),
                            T.StructField("angle", T.IntegerType())])
 

@@ -1,4 +1,4 @@
-"""Tool choice, path statistics and the swept-cell rasteriser over tables of features and moves."""
+"""Tool choice and path statistics over tables of features and moves."""
 
 from __future__ import annotations
 
@@ -17,21 +17,18 @@ from partwright.sources.reference import load
 STOCK_MARGIN_MM = 3.0
 DRILL_MATCH_MM = 0.5
 MILL_SHARE_OF_HOLE = 0.5
-MAX_CELLS_PER_AXIS = 120
-MIN_CELL_MM = 0.5
-MIN_SPAN_MM = 1e-6
+SAFE_CLEARANCE_MM = 5.0
+PECK_DEPTH_RATIO = 3.0
+PECK_STEP_MM = 5.0
 SCHEDULE_MS = 15000
 # ---------------------------------------------------------------------------------------------
 
 POINT = ["x", "y", "z"]
 
 
-def segments(moves: DataFrame, split: bool = True) -> DataFrame:
-    """Moves with the point before them in the same operation; ``prev_x`` is null for a first move.
-
-    ``split`` here and below: whether some plan is too large for one task, see ``sequences.needs_split``.
-    """
-    out = seq.with_previous(moves, ["plan_id"], "move_no", ["op_no", *POINT], split)
+def segments(moves: DataFrame) -> DataFrame:
+    """Moves with the point before them in the same operation; ``prev_x`` is null for a first move."""
+    out = seq.with_previous(moves, ["plan_id"], "move_no", ["op_no", *POINT])
     same = F.col("prev_op_no") == F.col("op_no")
     return out.select(*moves.columns, *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in POINT])
 
@@ -41,39 +38,44 @@ def segment_length() -> Column:
     return F.sqrt(dx * dx + dy * dy + dz * dz)
 
 
-def path_lengths(moves: DataFrame, split: bool = True) -> DataFrame:
+def path_lengths(moves: DataFrame) -> DataFrame:
     """Length of the path of every operation, rapid moves included."""
-    return segments(moves, split).groupBy("plan_id", "op_no").agg(F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
+    return segments(moves).groupBy("plan_id", "op_no").agg(F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
 
 
-def step_ranges(moves: DataFrame, split: bool = True) -> DataFrame:
+def step_ranges(moves: DataFrame) -> DataFrame:
     """Step range of every operation: non-rapid moves counted on across the plan."""
     own = moves.groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("own"))
-    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step", split)
+    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step")
     return out.select("plan_id", "op_no", (F.col("end_step") - F.col("own")).alias("start_step"), "end_step")
 
 
-def cutting_steps(moves: DataFrame, split: bool = True) -> DataFrame:
+def cutting_steps(moves: DataFrame) -> DataFrame:
     """Segments with their global step: +1 for each non-rapid segment, across operations of the plan."""
-    cut = segments(moves, split).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
-    return seq.running_sum(cut, ["plan_id"], "move_no", F.col("cuts").cast("bigint"), "step", split)
+    cut = segments(moves).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
+    return seq.running_sum(cut, ["plan_id"], "move_no", F.col("cuts").cast("bigint"), "step")
 
 
 def active_operation(probes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Operation whose range holds the probed step, else the last operation of the plan."""
+    """Operation whose range holds the probed step, else the last operation of the plan; probes of unknown plans go.
+
+    Range starts and probes stand in one order by step; a probe takes the last start before it. Ranges without steps
+    hold no probe, so they are left out of the order; plans are cut into buckets of steps.
+    """
     last = ranges.groupBy("plan_id").agg(F.max("op_no").alias("last_op"))
-    inside = probes.join(ranges, "plan_id", "left").where(
-        (F.col("step") >= F.col("start_step")) & (F.col("step") < F.col("end_step"))
-    ).groupBy("plan_id", "step").agg(F.min("op_no").alias("op_no"))
-    return probes.join(last, "plan_id").join(inside, ["plan_id", "step"], "left").select(
-        *probes.columns, F.coalesce("op_no", "last_op").alias("op_no")
-    )
+    starts = ranges.where("end_step > start_step").select("plan_id", F.col("start_step").alias("at"), F.struct("op_no", "end_step").alias("op"))
+    asked = probes.select("plan_id", F.col("step").alias("at")).distinct()
+    line = starts.select("plan_id", "at", F.lit(0).alias("is_probe"), "op").unionByName(asked.select("plan_id", "at", F.lit(1).alias("is_probe"), F.lit(None).cast(starts.schema["op"].dataType).alias("op")))
+    line = line.withColumn("order", F.struct("at", "is_probe"))
+    held = seq.carry_forward(line, ["plan_id"], "order", F.floor(F.col("at") / seq.BUCKET_ROWS), "op", "held").where("is_probe = 1")
+    inside = held.where(F.col("at") < F.col("held.end_step")).select("plan_id", F.col("at").alias("step"), F.col("held.op_no").alias("op_no"))
+    return probes.join(last, "plan_id").join(inside, ["plan_id", "step"], "left").select(*probes.columns, F.coalesce("op_no", "last_op").alias("op_no"))
 
 
-def time_boundaries(weights: DataFrame, split: bool = True) -> DataFrame:
+def time_boundaries(weights: DataFrame) -> DataFrame:
     """Start and end of operations on the time scale by running share of ``weight``; total 0 counts as 1."""
     totals = weights.groupBy("plan_id").agg(F.sum("weight").alias("total"))
-    run = seq.running_sum(weights, ["plan_id"], "op_no", F.col("weight"), "done", split).join(totals, "plan_id")
+    run = seq.running_sum(weights, ["plan_id"], "op_no", F.col("weight"), "done").join(totals, "plan_id")
     total = F.when(F.col("total") == 0, 1).otherwise(F.col("total"))
     return run.select(
         "plan_id", "op_no", ((F.col("done") - F.col("weight")) / total * SCHEDULE_MS).alias("start_ms"),
@@ -94,87 +96,62 @@ def expanded(box: DataFrame, margin: float = STOCK_MARGIN_MM) -> DataFrame:
     return out
 
 
-def grid_spec(box: DataFrame) -> DataFrame:
-    """Cell size and cell counts of the stock box."""
-    spans = {c: F.col(f"{c}_max") - F.col(f"{c}_min") for c in POINT}
-    cell = F.greatest(F.lit(MIN_CELL_MM), F.greatest(*spans.values(), F.lit(MIN_SPAN_MM)) / MAX_CELLS_PER_AXIS)
-    out = box.withColumn("cell", cell)
-    for c in POINT:
-        out = out.withColumn(f"n{c}", F.greatest(F.lit(1), F.ceil(spans[c] / F.col("cell"))).cast("int"))
-    return out
-
-
-def cell_centre(index: Column, origin: Column, cell: Column) -> Column:
-    return origin + (index + 0.5) * cell
+@settled
+def tools(spark: SparkSession) -> DataFrame:
+    """Tools with known diameter: ``type_code, id, d, name``."""
+    types = load(spark, "tooling_type").select(F.col("id").alias("tooling_type_id"), F.col("code").alias("type_code"))
+    known = load(spark, "tooling").where("diameter_mm IS NOT NULL").join(types, "tooling_type_id")
+    return known.select("type_code", "id", F.col("diameter_mm").alias("d"), F.col("designation").alias("name"))
 
 
-def swept_cells(moves: DataFrame, grids: DataFrame, split: bool = True) -> DataFrame:
-    """First step at which each grid cell is touched by the tool: disc in XY, the same reach along Z.
+def exact_tool(sizes: DataFrame, choice: DataFrame, target: str) -> DataFrame:
+    """``target, id, d``: the first tool by id within half a millimetre of each target that has one.
 
-    Segments become sample points no further apart than half a cell; points collapse to centre cells
-    with their first step before the tool shape is spread over them, so the wide step works on
-    distinct cells only. Both minima combine on the map side and the keys spread any hot plan.
+    Both sides meet in cells of half a millimetre and their neighbours, so only close pairs are compared.
     """
-    cut = cutting_steps(moves, split).where("cuts")
-    located = cut.join(grids, "plan_id")
-    count = F.greatest(F.lit(1), F.ceil(segment_length() / (F.col("cell") / 2))).cast("int")
-    reach = F.greatest(F.lit(1), F.ceil(F.col("tool_diameter") / 2 / F.col("cell"))).cast("int")
-    sampled = located.withColumn("n", count).withColumn("reach", reach).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    share = F.col("i") / F.col("n")
-    centre = {
-        c: ((F.col(f"prev_{c}") + (F.col(c) - F.col(f"prev_{c}")) * share - F.col(f"{c}_min")) / F.col("cell")).cast("int") for c in POINT
-    }
-    shape = ["nx", "ny", "nz", "reach"]
-    centres = sampled.select("plan_id", *shape, *[v.alias(f"c{c}") for c, v in centre.items()], "step")
-    centres = centres.groupBy("plan_id", *shape, "cx", "cy", "cz").agg(F.min("step").alias("step"))
-    low, high = F.greatest(F.lit(0), F.col("cz") - F.col("reach")), F.least(F.col("nz") - 1, F.col("cz") + F.col("reach"))
-    column = centres.where(low <= high).withColumn("lo", low).withColumn("hi", high)
-    column = column.withColumn("dx", F.explode(F.sequence(-F.col("reach"), F.col("reach"))))
-    vx = F.col("cx") + F.col("dx")
-    half = F.floor(F.sqrt(F.col("reach") * F.col("reach") - F.col("dx") * F.col("dx"))).cast("int")  # half chord of the disc
-    first, last = F.greatest(F.lit(0), F.col("cy") - half), F.least(F.col("ny") - 1, F.col("cy") + half)
-    column = column.where((vx >= 0) & (vx < F.col("nx")) & (first <= last))
-    column = column.select("plan_id", vx.alias("vx"), F.explode(F.sequence(first, last)).alias("vy"), "lo", "hi", "step")
-    cells = column.select("plan_id", "vx", "vy", F.explode(F.sequence("lo", "hi")).alias("vz"), "step")
-    return cells.groupBy("plan_id", "vx", "vy", "vz").agg(F.min("step").alias("first_step"))
-
-
-def removed_fraction(cells: DataFrame, grids: DataFrame) -> DataFrame:
-    removed = cells.groupBy("plan_id").agg(F.count(F.lit(1)).alias("removed"))
-    size = F.col("nx").cast("bigint") * F.col("ny") * F.col("nz")
-    return grids.join(removed, "plan_id", "left").select(
-        "plan_id", F.coalesce("removed", F.lit(0)).alias("removed"), (F.coalesce("removed", F.lit(0)) / size).alias("fraction")
-    )
+    cell = lambda c: F.floor(F.col(c) / DRILL_MATCH_MM)
+    near = sizes.select(target).distinct().withColumn("cell", F.explode(F.array(*[cell(target) + i for i in (-1, 0, 1)])))
+    met = near.join(choice.select("id", "d").withColumn("cell", cell("d")), "cell").where(F.abs(F.col("d") - F.col(target)) < DRILL_MATCH_MM)
+    return met.groupBy(target).agg(F.min(F.struct("id", "d")).alias("t")).select(target, "t.*")
 
 
-@settled
-def tool_lists(spark: SparkSession) -> DataFrame:
-    """One row: drills and end mills with known diameter, in id order."""
-    types = load(spark, "tooling_type").select(F.col("id").alias("tooling_type_id"), F.col("code").alias("type_code"))
-    tools = load(spark, "tooling").where("diameter_mm IS NOT NULL").join(types, "tooling_type_id")
+def nearest_tool(sizes: DataFrame, choice: DataFrame, target: str) -> DataFrame:
+    """``target, id, d``: the tool nearest to each distinct target by diameter, the smaller id on a tie.
 
-    def of(code: str, name: str) -> Column:
-        item = F.when(F.col("type_code") == code, F.struct(F.col("id").alias("id"), F.col("diameter_mm").alias("d"), F.col("designation").alias("name")))
-        return F.array_sort(F.collect_list(item)).alias(name)
-
-    return tools.groupBy().agg(of("DRILL_TWIST", "drills"), of("MILL_END", "mills"))
+    Tools and targets stand in one order by diameter, cut into slots of 8 mm: the last tool at or below a target and
+    the first at or above it are the only candidates.
+    """
+    held = choice.groupBy("d").agg(F.min("id").alias("id")).select(F.col("d").alias("at"), F.lit(0).alias("asked"), F.struct("d", "id").alias("tool"))
+    asked = sizes.select(F.col(target).alias("at")).where(F.col("at").isNotNull()).distinct()
+    line = held.unionByName(asked.select("at", F.lit(1).alias("asked"), F.lit(None).cast(held.schema["tool"].dataType).alias("tool")))
+    line = line.withColumn("up", F.struct("at", "asked")).withColumn("down", F.struct(-F.col("at"), "asked"))
+    slot = F.floor(F.col("at") / 8)
+    below = seq.carry_forward(line, [], "up", slot, "tool", "below").where("asked = 1").select("at", "below")
+    above = seq.carry_forward(line, [], "down", -slot, "tool", "above").where("asked = 1").select("at", "above")
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.d") - F.col("at")).alias("gap"), F.col(f"{c}.id").alias("id"), F.col(f"{c}.d").alias("d")))
+    return below.join(above, "at").select(F.col("at").alias(target), F.least(gap("below"), gap("above")).alias("t")).select(target, "t.id", "t.d")
 
 
-def nearest_tool(tools: Column, target: Column) -> Column:
-    """Nearest by diameter, the first listed on a tie; with no target the largest."""
-    by = lambda t: F.when(target.isNotNull(), F.abs(t["d"] - target)).otherwise(-t["d"])
-    return F.array_min(F.transform(tools, lambda t: F.struct(by(t).alias("k"), t["id"].alias("id"), t["d"].alias("d"), t["name"].alias("name"))))
+def largest_tool(choice: DataFrame) -> DataFrame:
+    """One row ``id, d``: the largest tool, the smaller id on a tie."""
+    return choice.agg(F.min(F.struct(-F.col("d"), "id", "d")).alias("t")).select("t.id", "t.d")
 
 
 def choose_tools(spark: SparkSession, holes: DataFrame) -> DataFrame:
-    """An exact drill if one is within half a millimetre, else an end mill near half the hole.
+    """An exact drill if one is within half a millimetre, else the end mill nearest to half the hole, the largest one
+    for holes without a size.
 
-    The tool table is a single broadcast row of arrays, so nothing is joined pairwise.
+    Tools are chosen once per distinct diameter and joined back by equality.
     """
-    out = holes.crossJoin(F.broadcast(tool_lists(spark)))  # one row
+    drills, mills = (tools(spark).where(F.col("type_code") == c).select("id", "d") for c in ("DRILL_TWIST", "MILL_END"))
     hole = F.col("diameter_mm")
-    drill = F.get(F.filter("drills", lambda t: F.abs(t["d"] - hole) < DRILL_MATCH_MM), 0)
-    out = out.withColumn("drill", drill).withColumn("mill", nearest_tool(F.col("mills"), hole * MILL_SHARE_OF_HOLE))
+    sizes = holes.select("diameter_mm").distinct().withColumn("half", hole * MILL_SHARE_OF_HOLE)
+    exact = exact_tool(sizes, drills, "diameter_mm").select("diameter_mm", F.struct("id", "d").alias("drill"))
+    near = nearest_tool(sizes, mills, "half").select("half", F.struct("id", "d").alias("near"))
+    chosen = sizes.join(exact, "diameter_mm", "left").join(near, "half", "left").select(F.col("diameter_mm").alias("_size"), "drill", "near")
+    largest = largest_tool(mills).select(F.struct("id", "d").alias("largest"))
+    out = holes.join(chosen, F.col("diameter_mm").eqNullSafe(F.col("_size")), "left").crossJoin(largest)  # one row
+    out = out.withColumn("mill", F.when(hole.isNull(), F.col("largest")).otherwise(F.col("near")))
     by_drill = F.col("drill").isNotNull()
     error = F.when(~by_drill & (F.col("mill.d") >= hole), "no_small_tool")
     return out.select(
@@ -212,3 +189,14 @@ def tool_cutting_mode(spark: SparkSession, features: DataFrame) -> DataFrame:
 def circular_time(diameter: Column, depth: Column, feed: Column) -> Column:
     """Minutes of a circularly milled hole."""
     return nx.exact_round(F.when(feed > 0, (F.lit(math.pi) * diameter + depth) / feed).otherwise(0.0), 2)
+
+
+def drilling_time(depth: Column, tool: Column, feed: Column) -> Column:
+    """Minutes of a drilled hole by its path: down and back up from the safe height, in pecks if the hole is deep.
+
+    With n pecks of one step the way adds up to ``2 * (n * clearance + sum of the depths reached)``.
+    """
+    deep = depth > PECK_DEPTH_RATIO * tool
+    n = F.when(deep, F.ceil(depth / PECK_STEP_MM)).otherwise(F.lit(1))
+    way = 2 * (n * SAFE_CLEARANCE_MM + PECK_STEP_MM * n * (n - 1) / 2 + depth)
+    return nx.exact_round(F.when(feed > 0, way / feed).otherwise(0.0), 2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from partwright.functions import numbers as nx
 from partwright.plans.route import first_per
-from partwright.sources.joins import lookup, settled, small_side
+from partwright.sources.joins import lookup, settled
 from partwright.sources.reference import load
 
 # ---- fixed values ---------------------------------------------------------------------------
@@ -268,4 +268,4 @@ def size_class(parts: DataFrame, classes: DataFrame, size: str) -> DataFrame:
     A few ordered bounds: one nested-loop join against a broadcast of the class table.
     """
     inside = (F.col(size) > F.col("size_min")) & (F.col(size) <= F.col("size_max"))
-    return parts.join(small_side(classes), inside, "left")
+    return parts.join(classes, inside, "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partwright.functions import text as tx
 from partwright.operators import matching as m
-from partwright.operators.chunks import joined_in_chunks
+from partwright.operators.chunks import joined_in_order
 from partwright.sources.joins import lookup, settled
 from partwright.sources.reference import load
 
@@ -118,9 +118,9 @@ def drawing_findings(spark: SparkSession, drawings: DataFrame, keys: list[str] =
 
 
 def requirement_findings(requirements: DataFrame) -> DataFrame:
-    """Findings from requirement lines: unrecognised items (numbers in chunks) and broken numbering."""
+    """Findings from requirement lines: unrecognised items (their numbers in one list) and broken numbering."""
     unrecognised = requirements.where(tx.requirement_category(F.col("text")).isNull())
-    numbers = joined_in_chunks(unrecognised.withColumn("arg", F.col("number")), ["part_id"], "pos", "arg", ", ")
+    numbers = joined_in_order(unrecognised.withColumn("arg", F.col("number")), ["part_id"], "pos", "arg", ", ")
     first = numbers.select("part_id", F.lit(RANK_UNRECOGNISED).alias("rank"), F.lit("info").alias("severity"),
                            F.lit("requirements_unrecognised").alias("finding_code"), "arg")
     broken = m.check_numbering(requirements).where(F.col("status") == m.VIOLATED).select(

@@ -36,13 +36,16 @@ def build_session(app_name: str = "partwright", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a fresh temporary folder is made.
+    Only where one machine runs all (master ``local[...]``) a fresh temporary folder is made instead; elsewhere each
+    executor would write to a disk of its own, so a missing setting is an error.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not folder:
         existing = spark.sparkContext.getCheckpointDir()
         if existing:
             return existing
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-partwright-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, folder)
     spark.sparkContext.setCheckpointDir(folder)

@@ -1,50 +1,31 @@
-"""Join helpers that decide on a broadcast from the measured size of a side."""
+"""Joins of facts with reference tables, and reference sides that are derived once."""
 
 from __future__ import annotations
 
 import functools
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (exact for ``VALUES`` tables)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Mark a side for broadcast only if it is small enough.
-
-    Beyond the limit the side is returned unmarked, so Spark shuffles both sides and adaptive
-    execution splits skewed partitions.
-    """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+from partwright.session import cut_lineage, shared_folder
 
 
 def lookup(facts: DataFrame, reference: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a large table to a reference table, broadcasting the reference only when it is small."""
-    return facts.join(small_side(reference), on, how)
+    """Join a large table to a reference table. No hint: Spark picks a broadcast by the reference's size, adaptive
+    execution corrects the choice at run time and splits skewed partitions of a shuffled join."""
+    return facts.join(reference, on, how)
 
 
-def settle(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Evaluate a side derived from reference tables once and keep it as a local relation.
+def settle(df: DataFrame) -> DataFrame:
+    """A side derived from reference tables, evaluated once and written to the shared folder.
 
-    Catalyst multiplies size estimates through joins, so a derived reference side looks huge though
-    it has a few rows. Up to ``max_rows`` rows are fetched and become a relation of known size; a
-    larger side is returned as it is and joined by a shuffle.
+    Catalyst multiplies size estimates through joins, so a derived reference side looks huge though it has a few
+    rows; the written table has its real size, whatever that is.
     """
-    probe = df.limit(max_rows + 1).toArrow()
-    if probe.num_rows > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(probe, schema=df.schema)
+    return cut_lineage(df)
 
 
 def settled(build):
-    """Decorator for reference-only builders ``build(spark, *args)``: evaluated once per application.
+    """Decorator for reference-only builders ``build(spark, *args)``: evaluated once per application and shared folder.
 
     The reference tables are fixed values, so the result cannot go stale within a session.
     """
@@ -52,7 +33,7 @@ def settled(build):
 
     @functools.wraps(build)
     def once(spark, *args):
-        key = (spark.sparkContext.applicationId, id(spark), args)
+        key = (spark.sparkContext.applicationId, id(spark), shared_folder(spark), args)
         if key not in kept:
             kept[key] = settle(build(spark, *args))
         return kept[key]

@@ -6,13 +6,22 @@ The checks join the stream with small reference sides only, so the plan is the o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from partwright.plans import review
+from partwright.streaming import runs
 
-# Own choice: how long a resubmitted drawing counts as the same one.
-WATERMARK = "1 hour"
 
+def review_stream(spark: SparkSession, drawings: DataFrame) -> DataFrame:
+    """Findings of every submitted drawing. However late it comes, a drawing is reviewed; one that is submitted again
+    counts as it came in the first batch that has it."""
 
-def review_stream(spark: SparkSession, drawings: DataFrame, time: str = "ts") -> DataFrame:
-    once = drawings.withWatermark(time, WATERMARK).dropDuplicatesWithinWatermark(["part_id"])
-    return review.drawing_findings(spark, once)
+    def make(batch: DataFrame) -> dict[str, DataFrame]:
+        once = batch.dropDuplicates(["part_id"])
+        return {"findings": review.drawing_findings(spark, once), "seen": once.select("part_id")}
+
+    read = runs.run_available(drawings, "reviews", make)
+    empty = spark.createDataFrame([], drawings.schema)
+    found = read("findings", review.drawing_findings(spark, empty).schema)
+    first = read("seen", empty.select("part_id").schema).groupBy("part_id").agg(F.min("batch").alias("batch"))
+    return found.join(first, ["part_id", "batch"], "left_semi").drop("batch")

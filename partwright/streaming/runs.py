@@ -1,10 +1,12 @@
-"""Running a stream over what is there now and reading back its sink."""
+"""Running a stream over what is there and reading back what its batches wrote."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partwright.session import shared_folder
@@ -17,16 +19,29 @@ def source(spark: SparkSession, folder: str, file_glob: str, schema: T.StructTyp
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, sink: str | None = None) -> DataFrame:
-    """Append everything available to a Parquet sink in the shared folder and return the sink as a table.
+def run_available(stream: DataFrame, name: str, make: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[str, T.StructType], DataFrame]:
+    """Run over everything available; ``make`` turns each micro-batch into named tables.
 
-    Sink and stream checkpoint live in the shared folder, so a lost executor or driver resumes from there.
+    Each batch writes its tables to folders named by its number in the shared folder, in place of what a failed attempt
+    left, so every row is written once. No state is held: nothing is too late, and what batches have in common is
+    settled when the tables are read. Returns a reader: table name and schema to rows with their ``batch``.
     """
     spark = stream.sparkSession
-    base = sink or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/data").option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        for table, rows in make(batch).items():
+            rows.write.mode("overwrite").parquet(f"{base}/{table}/batch={number}")
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+    def read(table: str, schema: T.StructType) -> DataFrame:
+        whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        if query.lastProgress is None:
+            return spark.createDataFrame([], whole)
+        return spark.read.schema(whole).option("basePath", f"{base}/{table}").parquet(f"{base}/{table}").withColumn("batch", F.col("batch").cast("long"))
+
+    return read

@@ -10,13 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwright.operators import sequences as seq
+from partwright.streaming import runs
 
 # ---- fixed values ---------------------------------------------------------------------------
 WINDOW_MS = 3500
 LOAD_MIN, LOAD_MAX = 40.0, 99.0
 OFFLINE = "offline"
-# Own choice, not a rule of the plant: how late a reading may come.
-WATERMARK = "10 minutes"
 # ---------------------------------------------------------------------------------------------
 
 SLOT_MS = 24 * 3600 * 1000
@@ -32,17 +31,36 @@ def clamped(readings: DataFrame) -> DataFrame:
     return readings.withColumn("load", F.when(F.col("status") == OFFLINE, F.col("load")).otherwise(clamp(F.col("load"))))
 
 
-def window_loads(readings: DataFrame) -> DataFrame:
-    """Last status and last valid load per zone and window; partial results combine before the shuffle."""
+def partial_loads(readings: DataFrame) -> DataFrame:
+    """Last reading and last valid reading per zone and window, with the order they are last by: parts of a window
+    from different batches can be put together again."""
     order = F.struct("ts", "reading_id")
     valid = F.when(F.col("status") != OFFLINE, order)
-    grouped = readings.groupBy("zone_id", F.window("ts", f"{WINDOW_MS} milliseconds").alias("w")).agg(
-        F.max_by("status", order).alias("status"), clamp(F.max_by("load", valid)).alias("own_load")
-    )
-    return grouped.select("zone_id", F.unix_millis("w.start").alias("window_ms"), "status", "own_load")
+    return readings.groupBy("zone_id", F.window("ts", f"{WINDOW_MS} milliseconds").alias("w")).agg(
+        F.max(F.struct(order.alias("at"), "status")).alias("last"), F.max(F.when(valid.isNotNull(), F.struct(order.alias("at"), "load"))).alias("valid")
+    ).select("zone_id", F.unix_millis("w.start").alias("window_ms"), "last", "valid")
+
+
+def merged_loads(parts: DataFrame) -> DataFrame:
+    """Last status and last valid load per zone and window."""
+    whole = parts.groupBy("zone_id", "window_ms").agg(F.max("last").alias("last"), F.max("valid").alias("valid"))
+    return whole.select("zone_id", "window_ms", F.col("last.status").alias("status"), clamp(F.col("valid.load")).alias("own_load"))
+
+
+def window_loads(readings: DataFrame) -> DataFrame:
+    """Last status and last valid load per zone and window; partial results combine before the shuffle."""
+    return merged_loads(partial_loads(readings))
+
+
+def load_stream(readings: DataFrame) -> DataFrame:
+    """Loads of every window, the last ones and late readings included: batches write parts of windows, the parts are
+    put together when read, and the last load is held over them."""
+    read = runs.run_available(readings, "zones", lambda batch: {"parts": partial_loads(batch)})
+    empty = readings.sparkSession.createDataFrame([], readings.schema)
+    return hold_last(merged_loads(read("parts", partial_loads(empty).schema)))
 
 
-def hold_last(loads: DataFrame, split: bool = True) -> DataFrame:
+def hold_last(loads: DataFrame) -> DataFrame:
     """Fill windows without a valid load from the last one before; zones are cut into days."""
     slot = F.floor(F.col("window_ms") / SLOT_MS)
-    return seq.carry_forward(loads, ["zone_id"], "window_ms", slot, "own_load", "load", split).drop("own_load")
+    return seq.carry_forward(loads, ["zone_id"], "window_ms", slot, "own_load", "load").drop("own_load")

@@ -61,11 +61,3 @@ def test_every_query_builds_with_a_stable_schema(spark):
     flagship = registry.queries["j10_material_match_counts"](spark, D)
     assert {r.material_status for r in flagship.collect()} == {"matched", "partial_match", "not_found"}
     assert flagship.columns == ["material_status", "parts"]
-
-
-def test_large_side_is_not_broadcast(spark):
-    from partwright.sources import joins
-
-    small = spark.sql("SELECT * FROM (VALUES (1), (2)) AS v(id)")
-    assert "broadcast" in joins.small_side(small)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in joins.small_side(small, limit=1)._jdf.queryExecution().logical().toString()

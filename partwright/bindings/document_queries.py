@@ -9,6 +9,7 @@ from partwright.bindings.spec import FACT_SQL, REGISTRY
 from partwright.functions import text as tx
 from partwright.operators import layout as ly
 from partwright.operators import step as st
+from partwright.session import cut_lineage
 
 add = REGISTRY.add
 
@@ -57,7 +58,8 @@ def _(spark, d):
 
 @add("a3_face_count", "SELECT p_partkey AS file_id, 1 + p_partkey % 3 AS face_count FROM part")
 def _(spark, d):
-    return st.headers(step_texts(spark, d)).select("file_id", "face_count")
+    texts = step_texts(spark, d)
+    return st.face_counts(texts, st.entities(texts))
 
 
 POINTS = """SELECT p_partkey AS file_id, i, (p_partkey % 100 + i) + 0.5e0 AS x, -(p_size * i + 0.25e0) AS y, i * 3e0 AS z
@@ -66,7 +68,7 @@ POINTS = """SELECT p_partkey AS file_id, i, (p_partkey % 100 + i) + 0.5e0 AS x,
 
 @add("h16_step_points", f"SELECT file_id, x, y, z FROM ({POINTS})")
 def _(spark, d):
-    points = st.matches(step_texts(spark, d), st.POINT, ["x", "y", "z"])
+    points = st.matches(st.entities(step_texts(spark, d)), st.POINT, ["x", "y", "z"])
     return points.select("file_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
 
 
@@ -76,7 +78,7 @@ BOX = """SELECT file_id, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(
 
 @add("a2_bounding_box", BOX)
 def _(spark, d):
-    return st.bounding_boxes(step_texts(spark, d))
+    return st.bounding_boxes(st.entities(step_texts(spark, d)))
 
 
 COLOURS = """SELECT p_partkey AS file_id, 200 + f AS face_ref, CASE WHEN f = 0 AND p_partkey % 5 = 0 THEN 0.9e0 ELSE (f + 1) / 10e0 END AS r,
@@ -86,18 +88,14 @@ COLOURS = """SELECT p_partkey AS file_id, 200 + f AS face_ref, CASE WHEN f = 0 A
 
 @add("j19_face_colours", COLOURS)
 def _(spark, d):
-    return st.face_colours(step_texts(spark, d))
+    return st.face_colours(cut_lineage(st.entities(step_texts(spark, d))))
 
 
 @add("p14_step_summary", f"""SELECT p_partkey AS file_id, 'Деталь ' || p_partkey AS product_name, CASE WHEN p_partkey % 4 = 0 THEN 'КОМПАС-3D v21' ELSE 'SolidWorks 2020' END AS software,
     1 + p_partkey % 3 AS face_count, b.length_x, b.length_y, b.length_z, coalesce(c.n, 0) AS coloured FROM part LEFT JOIN ({BOX}) b ON b.file_id = p_partkey
     LEFT JOIN (SELECT file_id, count(*) AS n FROM ({COLOURS}) GROUP BY 1) c ON c.file_id = p_partkey""")
 def _(spark, d):
-    texts = step_texts(spark, d)
-    boxes = st.bounding_boxes(texts).select("file_id", "length_x", "length_y", "length_z")
-    coloured = st.face_colours(texts).groupBy("file_id").agg(F.count(F.lit(1)).alias("coloured"))
-    out = st.headers(texts).join(boxes, "file_id", "left").join(coloured, "file_id", "left")
-    return out.withColumn("coloured", F.coalesce("coloured", F.lit(0)))
+    return st.summary(step_texts(spark, d))
 
 
 # ---- pages -----------------------------------------------------------------------------------

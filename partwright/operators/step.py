@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwright.functions import numbers as nx
+from partwright.session import cut_lineage
 
 # ---- fixed values: entity patterns ------------------------------------------------------------
 POINT = (r"CARTESIAN_POINT\s*\(\s*'[^']*'\s*,\s*\(\s*"
@@ -26,51 +29,77 @@ SOFTWARE = r"(?iu)'(SolidWorks[^']*|C3D[^']*|КОМПАС[^']*|ASCON[^']*)'"
 # -----------------------------------------------------------------------------------------------
 
 
-def _groups(text: Column, pattern: str, count: int) -> Column:
-    """All matches as an array of structs g1..gn, in file order."""
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(count)]
-    return F.arrays_zip(*[p.alias(f"g{i + 1}") for i, p in enumerate(parts)])
+ENTITY = "|".join(f"(?:{p})" for p in [POINT, FACE, STYLED_ITEM, *STYLE_CHAIN, COLOUR])
+
+
+def entities(files: DataFrame) -> DataFrame:
+    """``file_id, at, kind, raw``: every known entity of every text in file order, found in one pass."""
+    found = files.select("file_id", F.posexplode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("at", "raw"))
+    return found.select("file_id", "at", F.regexp_extract("raw", r"^(?:#\d+\s*=\s*)?([A-Z_]+)", 1).alias("kind"), "raw")
+
 
+def kind_of(pattern: str) -> str:
+    """The entity name a pattern is about."""
+    return re.search(r"[A-Z][A-Z_]+(?=\\s)", pattern)[0]
 
-def matches(files: DataFrame, pattern: str, names: list[str], key: str = "file_id") -> DataFrame:
-    """One row per match with its place in the file (``at``)."""
-    out = files.select(key, F.posexplode(_groups(F.col("text"), pattern, len(names))).alias("at", "m"))
-    return out.select(key, "at", *[F.col("m").getField(f"g{i + 1}").alias(n) for i, n in enumerate(names)])
+
+def matches(found: DataFrame, pattern: str, names: list[str]) -> DataFrame:
+    """The entities of one pattern with its groups as columns ``names``, and their place in the file (``at``)."""
+    own = found.where(F.col("kind") == kind_of(pattern))
+    return own.select("file_id", "at", *[F.regexp_extract("raw", pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
 def headers(files: DataFrame) -> DataFrame:
+    """Product name and software of every text: the first match of each."""
+
     def first(pattern: str) -> Column:
         return F.regexp_extract("text", pattern, 1)
 
     software = first(SOFTWARE)
-    return files.select(
-        "file_id", first(PRODUCT).alias("product_name"), F.when(software != "", software).alias("software"),
-        F.regexp_count("text", F.lit(FACE)).cast("bigint").alias("face_count"),
-    )
+    return files.select("file_id", first(PRODUCT).alias("product_name"), F.when(software != "", software).alias("software"))
 
 
-def bounding_boxes(files: DataFrame) -> DataFrame:
+def face_counts(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``file_id, face_count``, 0 for files without faces."""
+    counts = found.where(F.col("kind") == kind_of(FACE)).groupBy("file_id").agg(F.count("*").alias("face_count"))
+    return files.select("file_id").join(counts, "file_id", "left").select("file_id", F.coalesce("face_count", F.lit(0)).alias("face_count"))
+
+
+def bounding_boxes(found: DataFrame) -> DataFrame:
     """Min and max of all points to three decimals and the lengths; files without points give no row."""
-    points = matches(files, POINT, ["x", "y", "z"]).select("file_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    points = matches(found, POINT, ["x", "y", "z"]).select("file_id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
     box = points.groupBy("file_id").agg(*[f(c).alias(f"{c}_{n}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
     box = box.select("file_id", *[nx.exact_round(F.col(f"{c}_{n}"), 3).alias(f"{c}_{n}") for c in "xyz" for n in ("min", "max")])
     return box.select("*", *[nx.exact_round(F.col(f"{c}_max") - F.col(f"{c}_min"), 3).alias(f"length_{c}") for c in "xyz"])
 
 
-def face_colours(files: DataFrame) -> DataFrame:
+def face_colours(found: DataFrame) -> DataFrame:
     """Colour of every styled face: six hops over reference entities, each an equi-join on (file, id).
 
     The last definition of an id in the file wins.
     """
-    current = matches(files, STYLED_ITEM, ["item", "ref", "face"]).select(
+    current = matches(found, STYLED_ITEM, ["item", "ref", "face"]).select(
         "file_id", F.col("at").alias("item_at"), F.col("face").cast("bigint").alias("face_ref"), F.col("ref").cast("bigint").alias("ref")
     )
     for pattern in STYLE_CHAIN:
-        hop = matches(files, pattern, ["id", "to"]).groupBy("file_id", F.col("id").cast("bigint").alias("ref")).agg(
+        hop = matches(found, pattern, ["id", "to"]).groupBy("file_id", F.col("id").cast("bigint").alias("ref")).agg(
             F.max_by(F.col("to").cast("bigint"), F.col("at")).alias("to")
         )
         current = current.join(hop, ["file_id", "ref"]).select("file_id", "item_at", "face_ref", F.col("to").alias("ref"))
-    colours = matches(files, COLOUR, ["id", "r", "g", "b"]).groupBy("file_id", F.col("id").cast("bigint").alias("ref")).agg(
+    colours = matches(found, COLOUR, ["id", "r", "g", "b"]).groupBy("file_id", F.col("id").cast("bigint").alias("ref")).agg(
         F.max_by(F.struct(*[F.col(c).cast("double").alias(c) for c in "rgb"]), F.col("at")).alias("rgb")
     )
     return current.join(colours, ["file_id", "ref"]).select("file_id", "face_ref", "rgb.*")
+
+
+def summary(files: DataFrame) -> DataFrame:
+    """``file_id, product_name, software, face_count, length_x, length_y, length_z, coloured`` of every file.
+
+    The texts are read for their entities once; the entities are one table that all parts work on.
+    """
+    found = cut_lineage(entities(files))
+    boxes = bounding_boxes(found).select("file_id", "length_x", "length_y", "length_z")
+    coloured = face_colours(found).groupBy("file_id").agg(F.count(F.lit(1)).alias("coloured"))
+    faces = found.groupBy("file_id").agg(F.count_if(F.col("kind") == kind_of(FACE)).alias("face_count"))
+    out = headers(files).join(faces, "file_id", "left").join(boxes, "file_id", "left").join(coloured, "file_id", "left")
+    return out.withColumn("face_count", F.coalesce("face_count", F.lit(0))).withColumn("coloured", F.coalesce("coloured", F.lit(0)))

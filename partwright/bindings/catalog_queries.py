@@ -134,9 +134,9 @@ def _(spark, d):
 
 
 @add("f1_material_scan", f"""SELECT m.id, m.grade, m.gost_standard, m.density_kg_m3, m.tensile_strength_mpa, m.hardness_hb, m.hardness_hrc, m.red_hardness_c, m.machinability_index,
-    m.application, count(d.part_id) AS drawings FROM material m LEFT JOIN drawings d ON {q.grade_key("nullif(d.material, '')")} = {q.normalize_grade('m.grade')} GROUP BY ALL""")
+    m.chemical_composition, m.heat_treatment, m.application, count(d.part_id) AS drawings FROM material m LEFT JOIN drawings d ON {q.grade_key("nullif(d.material, '')")} = {q.normalize_grade('m.grade')} GROUP BY ALL""")
 def _(spark, d):
-    columns = ["id", "grade", "gost_standard", "density_kg_m3", "tensile_strength_mpa", "hardness_hb", "hardness_hrc", "red_hardness_c", "machinability_index", "application"]
+    columns = ["id", "grade", "gost_standard", "density_kg_m3", "tensile_strength_mpa", "hardness_hb", "hardness_hrc", "red_hardness_c", "machinability_index", "chemical_composition", "heat_treatment", "application"]
     used = facts.drawings(spark, d).groupBy(tx.grade_key(F.when(F.col("material") != "", F.col("material"))).alias("gk")).agg(F.count(F.lit(1)).alias("n"))
     keyed = load(spark, "material").select(*columns, tx.normalize_grade(F.col("grade")).alias("gk"))
     return keyed.join(used, "gk", "left").select(*columns, F.coalesce("n", F.lit(0)).alias("drawings"))

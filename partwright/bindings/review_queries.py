@@ -104,11 +104,20 @@ def _(spark, d):
     return review.summaries(facts.drawings(spark, d), findings(spark, d))
 
 
-@add("s12_json_document", """SELECT m.part_id, to_json({'part_id': m.part_id, 'material_status': material_status, 'blank_status': blank_status,
-    'checks': (SELECT list({'code': check_code, 'status': status} ORDER BY rank) FROM all_checks c WHERE c.part_id = m.part_id)})::VARCHAR AS document
-    FROM material_match m JOIN blank_match b ON b.part_id = m.part_id""")
+@add("s12_json_document", f"""SELECT m.part_id, to_json({{'part_id': m.part_id,
+    'material_check': {{'from_drawing': nullif(d.material, ''), 'status': material_status, 'matched_grade': matched_grade, 'matched_gost': matched_standard}},
+    'blank_check': {{'from_drawing': nullif(d.blank_designation, ''), 'status': blank_status, 'matched_designation': matched_blank, 'note': blank_reason}},
+    'technical_requirement_checks': coalesce(l.items, []),
+    'gost_checks': (SELECT list({{'code': check_code, 'standard_designation': standard_designation, 'clause_number': clause_number, 'status': status, 'actual_value': actual_value}} ORDER BY rank)
+      FROM all_checks c WHERE c.part_id = m.part_id),
+    'findings': coalesce(f.items, []), 'has_blocking_findings': coalesce(f.has_blocking, FALSE), 'summary': coalesce(f.summary, 'Значимых замечаний по результатам сверки с НСИ не выявлено.')}})::VARCHAR AS document
+    FROM material_match m JOIN blank_match b ON b.part_id = m.part_id JOIN drawings d ON d.part_id = m.part_id
+    LEFT JOIN (SELECT part_id, list({{'number': number, 'text': text, 'is_recognized': category IS NOT NULL, 'category': category}} ORDER BY pos) AS items
+      FROM (SELECT *, {q.category('text')} AS category FROM tech_requirements) WHERE part_id % 41 <> 0 GROUP BY part_id) l ON l.part_id = m.part_id
+    LEFT JOIN (SELECT part_id, list({{'severity': severity, 'code': finding_code, 'arg': arg}} ORDER BY rank, severity, finding_code, arg) AS items,
+      string_agg({LABEL} || ': ' || finding_code, ' ' ORDER BY rank) AS summary, bool_or(severity = 'blocking') AS has_blocking FROM findings GROUP BY part_id) f ON f.part_id = m.part_id""")
 def _(spark, d):
-    return review.documents(review.with_checks(spark, facts.drawings(spark, d)))
+    return review.documents(spark, submissions(spark, d), lines_of_drawings(spark, d))
 
 
 FACT_SQL["metal_rows"] = f"""

@@ -160,8 +160,28 @@ def status_counts(checks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def documents(drawings_checked: DataFrame) -> DataFrame:
-    """One JSON document per drawing."""
-    checks = F.transform("checks", lambda c: F.struct(c["check_code"].alias("code"), c["status"].alias("status")))
-    body = F.struct("part_id", "material_status", "blank_status", checks.alias("checks"))
-    return drawings_checked.select("part_id", F.to_json(body).alias("document"))
+def documents(spark: SparkSession, drawings: DataFrame, requirements: DataFrame) -> DataFrame:
+    """One JSON document per drawing: material, blank, requirement lines, standard checks, findings, blocking flag and
+    summary. All parts of one drawing are one value; they meet in one aggregation per part."""
+    checked = with_checks(spark, drawings)
+    # Everything that belongs to a drawing as rows of one shape: place in the document, order, item.
+    line = F.struct("number", "text", tx.requirement_category(F.col("text")).isNotNull().alias("is_recognized"), tx.requirement_category(F.col("text")).alias("category"))
+    lines = requirements.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("l"))
+    lines = lines.select("part_id", F.transform("l", lambda x: x["line"]).alias("technical_requirement_checks"))
+    found = review_findings(spark, drawings, requirements)
+    item = F.struct("severity", F.col("finding_code").alias("code"), "arg")
+    summary = summaries(drawings, found)
+    found = found.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("f"))
+    found = found.select("part_id", F.transform("f", lambda x: x["item"]).alias("findings"))
+    out = checked.join(lines, "part_id", "left").join(found, "part_id", "left").join(summary, "part_id", "left")
+    checks = F.transform("checks", lambda c: F.struct(
+        c["check_code"].alias("code"), c["standard_designation"].alias("standard_designation"), c["clause_number"].alias("clause_number"),
+        c["status"].alias("status"), c["actual_value"].alias("actual_value")))
+    body = F.struct(
+        "part_id",
+        F.struct(F.when(F.col("material") != "", F.col("material")).alias("from_drawing"), F.col("material_status").alias("status"), F.col("matched_grade").alias("matched_grade"), F.col("matched_standard").alias("matched_gost")).alias("material_check"),
+        F.struct(F.when(F.col("blank_designation") != "", F.col("blank_designation")).alias("from_drawing"), F.col("blank_status").alias("status"), F.col("matched_blank").alias("matched_designation"), F.col("blank_reason").alias("note")).alias("blank_check"),
+        F.coalesce("technical_requirement_checks", F.array().cast(lines.schema["technical_requirement_checks"].dataType)).alias("technical_requirement_checks"), checks.alias("gost_checks"),
+        F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings"), F.col("has_blocking").alias("has_blocking_findings"), F.col("summary"),
+    )
+    return out.select("part_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))

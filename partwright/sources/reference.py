@@ -106,28 +106,49 @@ MATERIAL = table(
     "material",
     "id bigint, material_group_id bigint, grade varchar, gost_standard varchar, density_kg_m3 double,"
     " tensile_strength_mpa double, hardness_hb double, machinability_index double, hardness_hrc double,"
-    " red_hardness_c double, application varchar",
-    (1, 1, "Сталь 45", "ГОСТ 1050-2013", 7850.0, 600.0, 197.0, 1.00, None, None, "Валы, шестерни, оси"),
-    (2, 2, "40Х", "ГОСТ 4543-2016", 7820.0, 730.0, 217.0, 0.80, None, None, "Валы, оси, шестерни, болты"),
-    (3, 3, "12Х18Н10Т", "ГОСТ 5632-2014", 7900.0, 550.0, 170.0, 0.45, None, None, "Агрессивные среды"),
-    (4, 4, "СЧ20", "ГОСТ 1412-85", 7200.0, 200.0, 180.0, 1.30, None, None, "Корпусные детали, станины"),
-    (5, 5, "Д16Т", "ГОСТ 4784-2019", 2780.0, 440.0, 105.0, 2.50, None, None, "Силовые элементы"),
-    (6, 2, "12ХН3А", "ГОСТ 4543-2016", 7850.0, 950.0, 269.0, 0.75, None, None, "Зубчатые колёса"),
-    (7, 1, "Ст3сп", "ГОСТ 380-2005", 7850.0, 430.0, 137.0, 1.10, None, None, "Металлоконструкции"),
-    (8, 1, "Сталь 20", "ГОСТ 1050-2013", 7850.0, 410.0, 156.0, 1.15, None, None, "Втулки, оси, пальцы"),
-    (9, 1, "Сталь 30", "ГОСТ 1050-2013", 7850.0, 500.0, 179.0, 1.05, None, None, "Рычаги, тяги, оси"),
-    (10, 1, "Сталь 40", "ГОСТ 1050-2013", 7850.0, 580.0, 187.0, 1.00, None, None, "Валы, шестерни"),
-    (11, 2, "40ХН2МА", "ГОСТ 4543-2016", 7850.0, 980.0, None, 0.65, None, None, "Валы, шпильки"),
-    (12, 2, "30ХГСА", "ГОСТ 4543-2016", 7850.0, 1080.0, None, 0.65, None, None, "Сварные конструкции"),
-    (13, 3, "08Х18Н10Т", "ГОСТ 5632-2014", 7900.0, 510.0, 170.0, 0.45, None, None, "Сварные конструкции"),
-    (14, 6, "У8", "ГОСТ 1435-99", 7850.0, None, None, 0.35, 63.0, None, "Зубила, штампы"),
-    (15, 6, "У10", "ГОСТ 1435-99", 7850.0, None, None, 0.35, 63.0, None, "Свёрла, метчики"),
-    (16, 7, "Р6М5", "ГОСТ 19265-73", 8150.0, None, None, 0.20, 64.0, 620.0, "Режущий инструмент"),
-    (17, 7, "Р18", "ГОСТ 19265-73", 8700.0, None, None, 0.18, 64.0, 620.0, "Режущий инструмент"),
-    (18, 8, "ШХ15", "ГОСТ 801-78", 7810.0, None, None, 0.30, 63.0, None, "Подшипники качения"),
-    (19, 6, "ХВГ", "ГОСТ 5950-2000", 7850.0, None, None, 0.30, 63.0, None, "Протяжки, развёртки"),
-    (20, 9, "65Г", "ГОСТ 14959-2016", 7850.0, 1000.0, 295.0, 0.55, None, None, "Пружины, рессоры"),
-    (21, 2, "09Г2С", "ГОСТ 19281-2014", 7850.0, 490.0, 170.0, 0.90, None, None, "Резервуары"),
+    " red_hardness_c double, application varchar, chemical_composition varchar, heat_treatment varchar",
+    (1, 1, "Сталь 45", "ГОСТ 1050-2013", 7850.0, 600.0, 197.0, 1.00, None, None, "Валы, шестерни, оси, шпиндели, коленчатые валы средней нагруженности",
+     "C 0.42-0.50, Mn 0.5-0.8, Si 0.17-0.37, S ≤0.04, P ≤0.035", "Улучшение: закалка 840-850°C (вода), отпуск 550-600°C"),
+    (2, 2, "40Х", "ГОСТ 4543-2016", 7820.0, 730.0, 217.0, 0.80, None, None, "Валы, оси, шестерни, болты повышенной прочности",
+     "C 0.36-0.44, Cr 0.8-1.1, Mn 0.5-0.8, Si 0.17-0.37, S ≤0.035, P ≤0.035", "Улучшение: закалка 850°C (масло), отпуск 500-550°C"),
+    (3, 3, "12Х18Н10Т", "ГОСТ 5632-2014", 7900.0, 550.0, 170.0, 0.45, None, None, "Сварные и штампованные конструкции в агрессивных средах, пищевая/химическая промышленность",
+     "C ≤0.12, Cr 17-19, Ni 9-11, Ti 0.4-1.0, Mn ≤2.0, Si ≤0.8", "Закалка (аустенизация) 1000-1080°C, охлаждение на воздухе/в воде"),
+    (4, 4, "СЧ20", "ГОСТ 1412-85", 7200.0, 200.0, 180.0, 1.30, None, None, "Корпусные детали, станины, крышки, маховики",
+     "C 3.3-3.5, Si 1.4-2.4, Mn 0.7-1.0, S ≤0.15, P ≤0.2", "Без термообработки (литьё)"),
+    (5, 5, "Д16Т", "ГОСТ 4784-2019", 2780.0, 440.0, 105.0, 2.50, None, None, "Силовые элементы конструкций (авиастроение), детали высокой удельной прочности",
+     "Al основа, Cu 3.8-4.9, Mg 1.2-1.8, Mn 0.3-0.9", "Закалка ~495-505°C (вода), естественное старение"),
+    (6, 2, "12ХН3А", "ГОСТ 4543-2016", 7850.0, 950.0, 269.0, 0.75, None, None, "Зубчатые колёса и валы-шестерни, требующие высокой контактной прочности и вязкой сердцевины",
+     "C 0.09-0.16, Cr 0.6-0.9, Ni 2.75-3.15, Mn 0.3-0.6, Si 0.17-0.37", "Цементация, закалка ~800-820°C (масло), низкий отпуск 160-200°C"),
+    (7, 1, "Ст3сп", "ГОСТ 380-2005", 7850.0, 430.0, 137.0, 1.10, None, None, "Сварные металлоконструкции, детали неответственного назначения",
+     "C 0.14-0.22, Mn 0.4-0.65, Si 0.05-0.17, S ≤0.05, P ≤0.04", "Без термообработки (поставляется горячекатаной)"),
+    (8, 1, "Сталь 20", "ГОСТ 1050-2013", 7850.0, 410.0, 156.0, 1.15, None, None, "Детали малой прочности, цементируемые детали (втулки, оси, пальцы)",
+     "C 0.17-0.24, Mn 0.35-0.65, Si 0.17-0.37, S ≤0.04, P ≤0.035", "Нормализация 900-920°C или цементация + закалка"),
+    (9, 1, "Сталь 30", "ГОСТ 1050-2013", 7850.0, 500.0, 179.0, 1.05, None, None, "Детали средней прочности — рычаги, тяги, оси",
+     "C 0.27-0.35, Mn 0.5-0.8, Si 0.17-0.37, S ≤0.04, P ≤0.035", "Нормализация 880-900°C"),
+    (10, 1, "Сталь 40", "ГОСТ 1050-2013", 7850.0, 580.0, 187.0, 1.00, None, None, "Валы, шестерни, коленвалы средней нагруженности",
+     "C 0.37-0.45, Mn 0.5-0.8, Si 0.17-0.37, S ≤0.035, P ≤0.035", "Улучшение: закалка 840-860°C (вода/масло), отпуск 550-600°C"),
+    (11, 2, "40ХН2МА", "ГОСТ 4543-2016", 7850.0, 980.0, None, 0.65, None, None, "Высоконагруженные детали ответственного назначения: валы, шестерни, оси, болты, шпильки",
+     "C 0.37-0.44, Cr 0.6-0.9, Ni 1.25-1.65, Mo 0.15-0.25, Mn 0.5-0.8, Si 0.17-0.37, S ≤0.025, P ≤0.025", "Закалка 840-860°C (масло), отпуск 550-600°C"),
+    (12, 2, "30ХГСА", "ГОСТ 4543-2016", 7850.0, 1080.0, None, 0.65, None, None, "Ответственные сварные конструкции при знакопеременных нагрузках: лопасти винтов, шатуны, рычаги, болты, пружины",
+     "C 0.28-0.34, Cr 0.8-1.1, Mn 0.8-1.1, Si 0.9-1.2, S ≤0.025, P ≤0.025", "Закалка 880°C (масло), отпуск 450-520°C"),
+    (13, 3, "08Х18Н10Т", "ГОСТ 5632-2014", 7900.0, 510.0, 170.0, 0.45, None, None, "Сварные конструкции в агрессивных средах, пищевая/химическая промышленность (улучшенная стойкость к межкристаллитной коррозии по сравнению с 12Х18Н10Т)",
+     "C ≤0.08, Cr 17-19, Ni 9-11, Ti 0.5-0.8 (не менее 5×C%), Mn ≤2.0, Si ≤0.8", "Закалка (аустенизация) 1000-1080°C, охлаждение в воде/на воздухе"),
+    (14, 6, "У8", "ГОСТ 1435-99", 7850.0, None, None, 0.35, 63.0, None, "Инструмент с невысокой теплостойкостью — зубила, штампы, пуансоны",
+     "C 0.75-0.84, Mn ≤0.4, Si ≤0.4, S ≤0.028, P ≤0.03", "Закалка 780-800°C (вода), отпуск 150-200°C"),
+    (15, 6, "У10", "ГОСТ 1435-99", 7850.0, None, None, 0.35, 63.0, None, "Свёрла, метчики, напильники, измерительный инструмент",
+     "C 0.95-1.04, Mn ≤0.4, Si ≤0.4, S ≤0.028, P ≤0.03", "Закалка 770-790°C (вода), отпуск 150-200°C"),
+    (16, 7, "Р6М5", "ГОСТ 19265-73", 8150.0, None, None, 0.20, 64.0, 620.0, "Универсальный режущий инструмент (свёрла, фрезы, резцы) для обработки конструкционных сталей",
+     "C 0.82-0.90, W 5.5-6.5, Mo 4.8-5.3, Cr 3.8-4.4, V 1.7-2.1", "Закалка 1210-1230°C (масло), тройной отпуск 550-570°C"),
+    (17, 7, "Р18", "ГОСТ 19265-73", 8700.0, None, None, 0.18, 64.0, 620.0, "Сложный режущий инструмент: фрезы, метчики, развёртки, долбяки",
+     "C 0.73-0.83, W 17-18.5, Cr 3.8-4.4, V 1.0-1.4, Mo ≤1.0, S ≤0.025, P ≤0.03", "Закалка 1260-1280°C (масло/воздух), тройной отпуск 550-570°C"),
+    (18, 8, "ШХ15", "ГОСТ 801-78", 7810.0, None, None, 0.30, 63.0, None, "Шарики, ролики, кольца подшипников качения",
+     "C 0.95-1.05, Cr 1.3-1.65, Mn 0.2-0.4, Si 0.17-0.37, S ≤0.02, P ≤0.027", "Закалка 820-850°C (масло), низкий отпуск 150-170°C"),
+    (19, 6, "ХВГ", "ГОСТ 5950-2000", 7850.0, None, None, 0.30, 63.0, None, "Длинномерный инструмент с малой деформацией при закалке — протяжки, развёртки, метчики, плашки",
+     "C 0.90-1.05, Cr 0.9-1.2, W 1.2-1.6, Mn 0.8-1.1, Si 0.1-0.4", "Закалка 830-860°C (масло), отпуск 150-160°C"),
+    (20, 9, "65Г", "ГОСТ 14959-2016", 7850.0, 1000.0, 295.0, 0.55, None, None, "Пружины, рессоры, пружинные шайбы, диски сцепления",
+     "C 0.62-0.70, Mn 0.9-1.2, Si 0.17-0.37, S ≤0.025, P ≤0.025", "Закалка 800-830°C (масло), отпуск 460-520°C"),
+    (21, 2, "09Г2С", "ГОСТ 19281-2014", 7850.0, 490.0, 170.0, 0.90, None, None, "Сварные конструкции, резервуары, трубопроводы, металлоконструкции ответственного назначения",
+     "C ≤0.12, Mn 1.3-1.7, Si 0.5-0.8, S ≤0.04, P ≤0.035", "Без термообработки/нормализация (хладостойкая до -70°C)"),
 )
 
 WORKPIECE_BLANK = table(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from partwright.bindings import facts
@@ -10,6 +12,7 @@ from partwright.bindings.spec import FACT_SQL, REGISTRY
 from partwright.functions import text as tx
 from partwright.operators import graph
 from partwright.sources import catalog
+from partwright.session import shared_folder
 from partwright.sources.joins import lookup, settle
 from partwright.sources.reference import load
 
@@ -133,6 +136,20 @@ def _(spark, d):
     return catalog.resolve_edges(staged_edges(spark, d), clause_nodes(spark))
 
 
+@add("s1_reference_build", """SELECT p.p_partkey AS part_id, m.grade, m.chemical_composition, m.heat_treatment, g.code AS group_code, count(b.id) AS blanks FROM part p
+    JOIN material m ON m.id = 1 + p.p_partkey % 21 JOIN material_group g ON g.id = m.material_group_id LEFT JOIN workpiece_blank b ON b.material_id = m.id GROUP BY ALL""")
+def _(spark, d):
+    """All reference tables are built from schema and seeds in the shared folder; parts are joined to what was built."""
+    folder = f"{shared_folder(spark)}/reference-{uuid.uuid4().hex}"
+    built = catalog.open_tables(spark, folder, catalog.build_reference(spark, folder))
+    groups = built["material_group"].select(F.col("id").alias("material_group_id"), F.col("code").alias("group_code"))
+    blanks = built["workpiece_blank"].groupBy(F.col("material_id").alias("id")).agg(F.count("*").alias("blanks"))
+    materials = built["material"].join(groups, "material_group_id").join(blanks, "id", "left")
+    parts = facts.read(spark, d, "part").select(F.col("p_partkey").alias("part_id"), (1 + F.col("p_partkey") % 21).alias("id"))
+    return lookup(parts, materials, "id", "inner").select(
+        "part_id", "grade", "chemical_composition", "heat_treatment", "group_code", F.coalesce("blanks", F.lit(0)).alias("blanks"))
+
+
 @add("f1_material_scan", f"""SELECT m.id, m.grade, m.gost_standard, m.density_kg_m3, m.tensile_strength_mpa, m.hardness_hb, m.hardness_hrc, m.red_hardness_c, m.machinability_index,
     m.chemical_composition, m.heat_treatment, m.application, count(d.part_id) AS drawings FROM material m LEFT JOIN drawings d ON {q.grade_key("nullif(d.material, '')")} = {q.normalize_grade('m.grade')} GROUP BY ALL""")
 def _(spark, d):

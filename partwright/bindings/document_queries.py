@@ -91,6 +91,13 @@ def _(spark, d):
     return st.face_colours(cut_lineage(st.entities(step_texts(spark, d))))
 
 
+@add("h40_colour_flags", f"SELECT p_partkey AS file_id, count(c.file_id) > 0 AS has_colours FROM part LEFT JOIN ({COLOURS}) c ON c.file_id = p_partkey GROUP BY p_partkey")
+def _(spark, d):
+    texts = step_texts(spark, d)
+    coloured = st.face_colours(cut_lineage(st.entities(texts))).select("file_id").distinct().withColumn("has_colours", F.lit(True))
+    return texts.select("file_id").join(coloured, "file_id", "left").select("file_id", F.coalesce("has_colours", F.lit(False)).alias("has_colours"))
+
+
 @add("p14_step_summary", f"""SELECT p_partkey AS file_id, 'Деталь ' || p_partkey AS product_name, CASE WHEN p_partkey % 4 = 0 THEN 'КОМПАС-3D v21' ELSE 'SolidWorks 2020' END AS software,
     1 + p_partkey % 3 AS face_count, b.length_x, b.length_y, b.length_z, coalesce(c.n, 0) AS coloured FROM part LEFT JOIN ({BOX}) b ON b.file_id = p_partkey
     LEFT JOIN (SELECT file_id, count(*) AS n FROM ({COLOURS}) GROUP BY 1) c ON c.file_id = p_partkey""")

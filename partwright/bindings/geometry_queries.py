@@ -151,6 +151,11 @@ def _(spark, d):
     return ft.part_summary(faces(spark, d)).drop("revolved", "dominant", "dominant_share")
 
 
+@add("h40_feature_flags", f"SELECT part_id, millable + holes > 0 AS has_features FROM ({SUMMARY_SQL})")
+def _(spark, d):
+    return ft.part_summary(faces(spark, d)).select("part_id", (F.col("millable") + F.col("holes") > 0).alias("has_features"))
+
+
 @add("h22_axis_key", "SELECT part_id, face_id, printf('%.2f', ax * sgn + 0e0) || ',' || printf('%.2f', ay * sgn + 0e0) || ',' || printf('%.2f', az * sgn + 0e0) AS axis FROM axes WHERE face_kind = 'cylindrical'")
 def _(spark, d):
     cyl = faces(spark, d).where("face_kind = 'cylindrical'")

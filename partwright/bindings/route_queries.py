@@ -224,3 +224,10 @@ per_part("f12_feed_reference", "SELECT part_id, op_code, feed_min, feed_max, dep
 def _(spark, d):
     out = lookup(grouped(spark, d), route.machinability(spark), "material_group_id")
     return out.select("part_id", F.coalesce("kv", F.lit(1.0)).alias("kv"))
+
+
+@add("h40_operation_flags", "SELECT d.part_id, count(o.part_id) > 0 AS has_operations FROM drawings d LEFT JOIN route_ops o ON o.part_id = d.part_id GROUP BY d.part_id")
+def _(spark, d):
+    parts = facts.drawings(spark, d).select("part_id")
+    planned = operations(spark, d).select("part_id").distinct().withColumn("has_operations", F.lit(True))
+    return parts.join(planned, "part_id", "left").select("part_id", F.coalesce("has_operations", F.lit(False)).alias("has_operations"))

@@ -1,8 +1,8 @@
 """Quality scores, main text of pages, the pipeline and its registration."""
 
 import itertools
-import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from partwright.llm.html_text import extract_pages, main_text
-from partwright.llm.queries import QUERIES, TRAINING
+from partwright.llm.queries import QUERIES, TRAINING, vocabulary_path
 from partwright.llm.quality import fit_quality, interactions, labelled_sample, quality_scores
+from partwright.llm.tokens import vocabulary as loaded
+from test_alike import brute_components
+from test_texts import brute_copies, brute_lines
+from test_tokens import best_fit_decreasing, check_packed
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -90,21 +94,37 @@ def test_registration():
 
 
 def test_pipeline_stage_by_stage(spark):
-    """Each stage on a small table with planted copies, against what its operator gives."""
-    r = random.Random(6)
+    """Every stage on a small table with planted copies, against plain Python on that stage's own input."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 120")
-    extra = docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 5000)
-    docs = docs.unionByName(extra)
-    columns, counts = docs.columns, [docs.count()]
+    docs = docs.unionByName(docs.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") + 5000))
+    # Whole sentences of their own make near copies that line dedup leaves alone.
+    words = [f"near copy word {k}" for k in range(60)]
+    near = [(6000 + k, " ".join(words[: 60 - k]) + f" end {k}", "en", "src1", 0) for k in range(3)]
+    docs = docs.unionByName(spark.createDataFrame(near, "doc_id long, text string, lang string, source string, n_chars long"))
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
         after = stage(spark, docs, SMALL).cache()
+        rows = after.collect()
         if name != "best_fit_packing":
             assert after.columns == columns
-        counts.append(after.count())
         if name == "quality_filter":
             scores = {x.doc_id: x.score for x in quality_scores(docs, fit_quality(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), train=F.expr(TRAINING))).collect()}
-            assert {x.doc_id for x in after.collect()} == {i for i, s in scores.items() if s >= 0.5}
+            assert sorted(rows) == sorted(x for x in before if scores[x.doc_id] >= 0.5) and 0 < len(rows) < len(before)
+        elif name == "line_dedup":
+            assert sorted((x.doc_id, x.text) for x in rows) == [x[:2] for x in sorted(brute_lines([(x.doc_id, x.text) for x in before]))]
+            assert all(x.n_chars == len(x.text) for x in rows) and {x.text for x in rows} != {x.text for x in before}
+        elif name == "near_dedup":
+            groups = brute_components([(x.doc_id, x.text) for x in before], 5, 80)
+            assert sorted(x.doc_id for x in rows) == sorted(i for i, _, c in groups if i == c) and len(rows) < len(before)
+        elif name == "source_mixing":
+            copies = brute_copies([(x.doc_id, x.text, x.source) for x in before])
+            assert Counter(x.doc_id for x in rows) == Counter({i: n for i, n in copies.items() if n})
+        else:
+            lengths = Counter()
+            for x in rows:
+                lengths[x.doc_id] += x.length
+            lib = loaded(vocabulary_path()).library
+            assert lengths == sum((Counter({x.doc_id: len(lib.encode(x.text, add_special_tokens=False).ids) + 1}) for x in before), Counter())
+            assert check_packed(rows, 2048) == best_fit_decreasing([x.length for x in rows], 2048)
         docs = after
-    assert counts[0] > counts[1] == counts[2] >= counts[3] and r.random() < 1
-    packed = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
-    assert packed.where("n <> end or n > 2048").count() == 0

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from partwright.llm.disclosure import private_spans, sanitised, span_report
@@ -37,24 +38,49 @@ def test_line_dedup_against_brute_force(odd, none):
     assert rows == odd.columns
 
 
-def test_targets_by_repeated_resharing(spark):
-    sizes = {"a": 10, "b": 1000, "c": 5, "d": 400, None: 85, "e": 0}
-    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r.source: r.target for r in source_targets(df, (5, 2, 1)).collect()}
-    names = sorted([s for s in sizes if s is not None]) + [None]
+def brute_targets(sizes):
+    """Deal by weight, stop sources at three times their size, deal the rest again, until none is above."""
+    names = sorted([s for s in sizes if s is not None]) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
     target, free, rest = {}, set(names), float(sum(sizes.values()))
     while True:
         share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
         over = [s for s in free if share[s] > 3 * sizes[s]]
         if not over:
-            target |= share
-            break
+            return target | share
         for s in over:
             target[s] = 3.0 * sizes[s]
             rest -= target[s]
             free.remove(s)
-    assert {s: pytest.approx(t) for s, t in target.items()} == got
+
+
+def brute_copies(rows):
+    """How often each of ``(doc_id, text, source)`` is taken; ids are different and not null."""
+    found = defaultdict(list)
+    for i, text, source in rows:
+        text = text or ""
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        plain = len(regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D.,;:'-]+", "", text))
+        quality = 0.05 + 0.95 * (plain / max(len(text), 1))
+        u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 1) / (16**13 + 1)
+        found[source].append((-math.log(u) / quality, i, size))
+    targets = brute_targets({s: sum(x[2] for x in v) for s, v in found.items()})
+    copies = {}
+    for source, items in found.items():
+        total, before = sum(x[2] for x in items), 0
+        epochs = min(3, math.floor(targets[source] / total)) if total else 0
+        for _, i, size in sorted(items):
+            take = size > 0 and epochs < 3 and before + size / 2 <= targets[source] - epochs * total
+            copies[i] = epochs + take if size else 0
+            before += size
+    return copies
+
+
+def test_targets_by_repeated_resharing(spark):
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 400, None: 85, "e": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in source_targets(df, (5, 2, 1)).collect()}
+    assert {s: pytest.approx(t) for s, t in brute_targets(sizes).items()} == got
     assert source_targets(df.limit(0), (5, 2, 1)).count() == 0
 
 

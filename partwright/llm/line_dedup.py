@@ -29,7 +29,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = cut_lineage(key.select("doc_id", "_t", "pos", hash128(ascii_lower(F.col("line"))).alias("h")).select("doc_id", "_t", "pos", "h.a", "h.b"))
     holders = key.groupBy("a", "b", "doc_id").agg(F.count("*").alias("n"))
     shared = holders.groupBy("a", "b").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    drop = key.join(shared.select("a", "b", "first"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    # A table of its own: a join that stands right on the aggregation could not be split where a line is very frequent.
+    shared = cut_lineage(shared.select("a", "b", "first"))
+    drop = key.join(shared, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     drop = drop.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt")).agg(F.collect_set("pos").alias("gone"))
     lines = F.split("text", "\n", -1)
     found = base.join(drop, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_dt")), "left")

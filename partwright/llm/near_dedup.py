@@ -91,6 +91,20 @@ def accident() -> float:
     return total
 
 
+def band_hashes(regs: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per row and band of compressed registers."""
+    per = REGISTERS // BAND
+    parts = regs.reshape(len(regs), per, BAND).astype(np.uint64)
+    h = np.broadcast_to(np.arange(per, dtype=np.uint64), (len(regs), per))
+    for k in range(BAND):
+        h = _mixed(h * _A + parts[:, :, k])
+    return h.view(np.int64)
+
+
+def _registers_of(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(len(column), REGISTERS)
+
+
 def _slack(n: np.ndarray, sigmas: float = 5.0) -> np.ndarray:
     """How far below the threshold an estimate may lie: five standard deviations for sets of ``n``."""
     return sigmas * np.sqrt(0.16 / np.minimum(n, REGISTERS))
@@ -105,8 +119,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     1. Equal sets form a class; only its smallest id goes on, so that copies are never paired.
     2. Registers are cut into bands. In each bucket of equal bands every member is paired with the smallest id alone;
        pairs whose sizes or corrected estimate rule a link out are dropped, the others are confirmed on full sets.
-    3. Buckets that still hold several components are searched exactly: members outside the bucket's largest component
-       meet all other members in tiles of bounded size, by full sets; one link per member and component is enough.
+    3. Buckets that still hold several components are searched in tiles of bounded size: members outside the bucket's
+       largest component meet all members of others, each pair in the first bucket they share, by sizes, estimate and
+       full sets; one link per member and component is enough.
     So a bucket is never expanded into all its pairs, and no link between bucket mates of different components is lost.
 
     Sets are compared by 64-bit hashes of shingles. Empty sets (null or empty texts) link with nothing. Rows that
@@ -133,18 +148,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = live.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("r")).select("key", "r.*")
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        per = REGISTERS // BAND
         for batch in batches:
             if len(batch):
-                regs = np.frombuffer(b"".join(batch["regs"]), dtype=np.uint16).reshape(len(batch), per, BAND).astype(np.uint64)
-                h = np.broadcast_to(np.arange(per, dtype=np.uint64), (len(batch), per))
-                for k in range(BAND):
-                    h = _mixed(h * _A + regs[:, :, k])
-                yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), per)})
+                h = band_hashes(_registers_of(batch["regs"]))
+                yield pd.DataFrame({"bucket": h.ravel(), "doc_id": np.repeat(batch["doc_id"].to_numpy(), h.shape[1])})
 
     banded = cut_lineage(classes.select("doc_id", "regs").mapInPandas(bands, "bucket long, doc_id long").distinct())
+    # Aggregates are tables of their own here and below: a join right on an aggregation can't be split at a hot key.
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("center")).where("members > 1")
-    members = cut_lineage(banded.join(shared.select("bucket", "center"), "bucket"))
+    members = cut_lineage(banded.join(cut_lineage(shared.select("bucket", "center")), "bucket"))
     wanted = members.select("doc_id").distinct()
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,8 +176,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         by_chance = accident()
         for batch in batches:
             if len(batch):
-                a = np.frombuffer(b"".join(batch["r1"]), dtype=np.uint16).reshape(len(batch), REGISTERS)
-                b = np.frombuffer(b"".join(batch["r2"]), dtype=np.uint16).reshape(len(batch), REGISTERS)
+                a, b = _registers_of(batch["r1"]), _registers_of(batch["r2"])
                 estimate = ((a == b).mean(axis=1) - by_chance) / (1 - by_chance)
                 floor = percent / 100 - _slack(np.minimum(batch["n1"], batch["n2"]).to_numpy())
                 yield batch.loc[estimate >= floor, ["center", "other"]]
@@ -191,34 +202,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     placed = cut_lineage(placed)
     per = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = cut_lineage(mixed)
     tiles = placed.join(mixed, "bucket").withColumn("tiles", F.ceil(F.col("members") / SETS_PER_TILE).cast("int"))
-    tiles = tiles.join(sets, "doc_id").select("bucket", "tiles", "main", "doc_id", "component", "s")
+    tiles = tiles.join(sets, "doc_id").join(classes.select("doc_id", "regs"), "doc_id").select("bucket", "tiles", "main", "doc_id", "component", "s", "regs")
+    tiles = cut_lineage(tiles)
     own_tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    right = tiles.select("bucket", own_tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), "doc_id", "component", "s")
+    right = tiles.select("bucket", own_tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), "doc_id", "component", "s", "regs")
     right = right.toDF(*right.columns)
-    left = tiles.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), own_tile.alias("part"), "doc_id", "component", "s")
+    left = tiles.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), own_tile.alias("part"), "doc_id", "component", "s", "regs")
 
     def search(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        out = set()
+        """A pair is looked at in the first of its common buckets only; likely partners are confirmed best first, until
+        one of a component is."""
+        out = []
         if len(few) and len(many):
+            by_chance = accident()
+            few_regs, many_regs = _registers_of(few["regs"]), _registers_of(many["regs"])
+            few_bands, many_bands = band_hashes(few_regs), band_hashes(many_regs)
+            band = int(np.flatnonzero(few_bands[0] == few["bucket"].iloc[0])[0])
             sets_of = [np.frombuffer(s, dtype=np.uint64) for s in many["s"]]
             size = np.array([len(s) for s in sets_of])
-            owner = np.repeat(np.arange(len(size)), size)
-            flat = np.concatenate(sets_of)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
             component, ids = many["component"].to_numpy(), many["doc_id"].to_numpy()
-            for doc, comp, s in zip(few["doc_id"], few["component"], few["s"]):
-                s = np.frombuffer(s, dtype=np.uint64)
-                begin, end = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
-                n = end - begin
-                at = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(size))
-                hit = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (component != comp))
-                if len(hit):
-                    _, first = np.unique(component[hit], return_index=True)
-                    out.update((doc, ids[k]) for k in hit[first])
-        return pd.DataFrame(sorted(out), columns=["src", "dst"], dtype="int64")
+            for i, (doc, comp, s) in enumerate(zip(few["doc_id"], few["component"], few["s"])):
+                own = np.frombuffer(s, dtype=np.uint64)
+                fit = (component != comp) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
+                fit[fit] = ~(many_bands[fit, :band] == few_bands[i, :band]).any(axis=1)
+                near = np.flatnonzero(fit)
+                estimate = ((many_regs[near] == few_regs[i]).mean(axis=1) - by_chance) / (1 - by_chance)
+                hopeful = estimate >= percent / 100 - _slack(np.minimum(size[near], len(own)))
+                near, estimate = near[hopeful], estimate[hopeful]
+                met = set()
+                for j in near[np.argsort(-estimate, kind="stable")]:
+                    if component[j] not in met:
+                        both = len(np.intersect1d(own, sets_of[j], assume_unique=True))
+                        if 100 * both >= percent * (len(own) + size[j] - both):
+                            met.add(component[j])
+                            out.append((doc, ids[j]))
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
 
     more = left.groupBy("bucket", "tile", "part").cogroup(right.groupBy("bucket", "tile", "part")).applyInPandas(search, "src long, dst long")
     joined = more.distinct()
@@ -230,6 +250,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     reps = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", first.alias("c"))
     reps = reps.join(over.select(F.col("node").alias("c"), F.col("component").alias("m")), "c", "left").select("key", F.coalesce("m", "c").alias("component_id"))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.expr("n > 0 and doc_id is not null"), F.col("key")).alias("key"))
-    out = out.join(reps, "key", "left")
+    out = out.join(cut_lineage(reps), "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

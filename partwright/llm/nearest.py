@@ -51,7 +51,7 @@ class Index:
         self.centres = centres
         d = wide.shape[1]
         self.rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
-        self.probes = self._calibrated(wide, k, aim)
+        self.probes = self._calibrated(wide, k, aim, rng)
 
     def widened(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0.0, self.most - np.square(x).sum(axis=1)))[:, None]])
@@ -73,17 +73,20 @@ class Index:
         """All lists, nearest first: those whose centre has the largest inner product come first."""
         return np.argsort(-(self.queries(x) @ self.centres.T), axis=1, kind="stable")
 
-    def _calibrated(self, wide: np.ndarray, k: int, aim: float) -> int:
-        """Fewest probes that find ``aim`` of the sample's own neighbours for up to 256 of its vectors. The whole
-        table's neighbours are nearer than the sample's, so they are found no worse."""
-        n = min(256, len(wide))
-        product = self.sample[:n] @ self.sample.T
-        product[np.arange(n), np.arange(n)] = -np.inf
+    def _calibrated(self, wide: np.ndarray, k: int, aim: float, rng: np.random.Generator) -> int:
+        """Fewest probes that find ``aim`` of the sample's own neighbours for up to 256 of its vectors, chosen at random.
+        Equal vectors count once, as queries and as neighbours: copies lie in one list and would pass for easy queries.
+        The whole table's neighbours are nearer than the sample's, so they are found no worse."""
+        once = np.unique(self.sample, axis=0, return_index=True)[1]
+        wide, sample = wide[once], self.sample[once]
+        asked = rng.permutation(len(once))[:256]
+        product = sample[asked] @ sample.T
+        product[np.arange(len(asked)), asked] = -np.inf
         k = min(k, len(wide) - 1)
         if k < 1:
             return len(self.centres)
         top = np.argpartition(-product, k - 1, axis=1)[:, :k]
-        rank = np.argsort(self.probe_order(self.sample[:n]), axis=1)
+        rank = np.argsort(self.probe_order(sample[asked]), axis=1)
         own = self._near(wide, self.centres)
         need = np.take_along_axis(rank, own[top], axis=1)
         found = np.cumsum(np.bincount(need.ravel(), minlength=len(self.centres))) / need.size

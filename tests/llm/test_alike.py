@@ -135,3 +135,20 @@ def test_nearest_on_odd_vectors(spark):
     assert nearest(few, F.col("vec_id") % 20 == 0).count() == 7 + 1  # id 3 stands twice
     assert nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert nearest(df.where("vec_id >= 900"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_copies_at_the_lowest_ids_do_not_set_the_probes(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 12)).round(3)
+    x[:2400] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = range(2600, 12_000, 200)
+    got = {}
+    for r in nearest(df, F.expr("vec_id % 200 = 0 and vec_id >= 2600"), k=20).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    found = 0
+    for i in asked:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        found += sum(s >= np.sort(scores)[-20] - 1e-9 for s in got[i])
+    assert found >= 0.95 * 20 * len(asked)

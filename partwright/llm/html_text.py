@@ -30,8 +30,8 @@ ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legen
 #: Elements closed by the start of one of these kinds, up to a container that holds them.
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROPPED = {
-    "head", "script", "style", "noscript", "template", "iframe", "object", "embed", "applet", "svg", "math", "canvas", "nav", "aside", "footer", "form", "button", "select", "input",
-    "textarea", "label", "fieldset", "dialog", "menu", "audio", "video", "title", "noframes", "noembed", "xmp",
+    "head", "script", "style", "noscript", "template", "iframe", "object", "embed", "applet", "svg", "canvas", "nav", "aside", "footer", "form", "button", "select", "input",
+    "textarea", "label", "fieldset", "dialog", "menu", "audio", "video", "title", "noframes", "noembed", "xmp", "annotation", "annotation-xml",
 }
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 UNWANTED = {
@@ -43,19 +43,22 @@ UNWANTED = {
 WANTED = {"article", "articlebody", "body", "content", "entry", "main", "maincontent", "post", "story", "text", "prose"}
 NEVER = {"html", "body", "article", "main"}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What text inside an element of unwanted names counts for.
+SHADE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint")
+    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint", "doubtful")
 
-    def __init__(self, tag: str, up: "Node | None", gone: bool = False, hint: float = 0.0):
-        self.tag, self.up, self.gone, self.hint = tag, up, gone, hint
+    def __init__(self, tag: str, up: "Node | None", gone: bool = False, hint: float = 0.0, doubtful: bool = False):
+        self.tag, self.up, self.gone, self.hint, self.doubtful = tag, up, gone, hint, doubtful
         self.kids: list[Node | str] = []
         self.points = self.chars = self.linked = 0.0
 
 
-def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float]:
-    """Whether an element is left out with all it holds, and points for its names."""
+def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float, bool]:
+    """Whether an element is left out with all it holds, points for its names, and whether only unwanted ones are there."""
+    doubtful = False
     if tag in NEVER:
         gone, hint = False, 25.0 if tag in ("article", "main") else 0.0
     elif tag == "header":
@@ -71,10 +74,11 @@ def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float]:
             elif name == "role" and value.lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 gone = gone or tag not in NEVER
         bad, good = UNWANTED & set(names), WANTED & set(names)
-        if bad and (tag not in NEVER or tag == "article" and not good) or "header" in names and tag not in NEVER and not inside & {"article", "main"}:
-            gone = True
+        if "header" in names and not inside & {"article", "main"}:
+            bad = bad | {"header"}
+        doubtful = bool(bad) and not good and (tag not in NEVER or tag == "article")
         hint += 25.0 * bool(good) - 25.0 * bool(bad)
-    return gone, hint
+    return gone, hint, doubtful
 
 
 def parse(page: str) -> Node:
@@ -121,8 +125,8 @@ def parse(page: str) -> Node:
             while up is not root:
                 inside.add(up.tag)
                 up = up.up
-        gone, hint = _judge(name, m["attrs"], inside)
-        node = Node(name, now, gone, hint)
+        gone, hint, doubtful = _judge(name, m["attrs"], inside)
+        node = Node(name, now, gone, hint, doubtful or now.doubtful)
         now.kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -186,7 +190,8 @@ def main_text(page: str) -> str:
 
     Every block is a paragraph: it earns a point, one for each comma and one for each 100 characters, less its share
     of linked text, and passes them to its container, half of them to the next one, a third to the one above, and so
-    on. Containers are weighed by their names and discounted by their own link density. The best one is kept with
+    on. Text in elements with unwanted names only (``doubtful``) counts a fifth; such elements are left out beside the
+    best container and kept inside it. Containers are weighed by their names and discounted by their own link density. The best one is kept with
     those siblings that score at least a fifth of it or are paragraphs that read like text; mostly linked blocks are
     left out. Where an ``article`` or ``main`` element has text, only such elements are candidates.
     """
@@ -195,7 +200,7 @@ def main_text(page: str) -> str:
         return ""
     holders: dict[int, Node] = {}
     for owner, text, link in found:
-        points = (1 + len(re.findall("[,،、，]", text)) + len(text) / 100) * (1 - link)
+        points = (1 + len(re.findall("[,،、，]", text)) + len(text) / 100) * (1 - link) * (SHADE if owner.doubtful else 1)
         node = owner.up if owner.tag in HEADS or owner.tag in ("p", "li", "blockquote", "pre", "td", "dd", "dt") and owner.up is not None else owner
         level = 1
         while node is not None and node.tag != "#":
@@ -218,9 +223,9 @@ def main_text(page: str) -> str:
     floor = max(10.0, 0.2 * score(best))
     kept = {id(best)}
     for kid in best.up.kids if best.up is not None else []:
-        if isinstance(kid, Node) and kid is not best and id(kid) in holders and best.tag not in ("article", "main", "body", "html") and score(kid) >= floor:
+        if isinstance(kid, Node) and kid is not best and not kid.doubtful and id(kid) in holders and best.tag not in ("article", "main", "body", "html") and score(kid) >= floor:
             kept.add(id(kid))
-        elif isinstance(kid, Node) and kid is not best and kid.tag == best.tag == "article" and id(kid) in holders and score(kid) >= floor:
+        elif isinstance(kid, Node) and kid is not best and kid.tag == best.tag == "article" and not kid.doubtful and id(kid) in holders and score(kid) >= floor:
             kept.add(id(kid))
     beside = best.up if best.tag not in ("article", "main", "body", "html") else None
 
@@ -233,7 +238,7 @@ def main_text(page: str) -> str:
                 return True
             node = node.up
         # A paragraph beside the best container.
-        return owner.tag in ("p", "h1") and owner.up is beside is not None and (owner.tag == "h1" or link < 0.25 and len(text) > 80)
+        return not owner.doubtful and owner.tag in ("p", "h1") and owner.up is beside is not None and (owner.tag == "h1" or link < 0.25 and len(text) > 80)
 
     return "\n".join(text for owner, text, link in found if wanted(owner, text, link))
 

@@ -63,6 +63,18 @@ def test_boilerplate_of_several_layouts_is_left_out():
         assert main_text(shell.format(BODY)) == want, shell
 
 
+LONG = "<p>" + "A long sentence, of several words, and a comma. " * 12 + "</p>"
+
+
+def test_names_do_not_delete_inside_the_article():
+    named = "<h2 id=related-work>Related</h2><p>Work, of others.</p><section id=discussion><p>We discuss, at length.</p></section><p class=warning>Mind the gap.</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>"
+    want = "Related\nWork, of others.\nWe discuss, at length.\nMind the gap.\nSo x=1."
+    for shell in ("<article><h1>T</h1>{}{}</article>", "<div class='post-content has-sidebar'><h1>T</h1>{}{}</div>", "<div id=a><div class=search>Find, this</div></div><main><h1>T</h1>{}{}</main>"):
+        lines = main_text(shell.format(LONG, named)).split("\n")
+        assert lines[0] == "T" and lines[1].startswith("A long") and "\n".join(lines[2:]) == want, shell
+    assert main_text(f"<div class=widget>{LONG}</div>").startswith("A long")
+
+
 def test_pages_of_the_tables(spark):
     got = QUERIES["op3_main_text"](spark, SMALL).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}

@@ -192,8 +192,8 @@ def main_text(page: str) -> str:
     of linked text, and passes them to its container, half of them to the next one, a third to the one above, and so
     on. Text in elements with unwanted names only (``doubtful``) counts a fifth; such elements are left out beside the
     best container and kept inside it. Containers are weighed by their names and discounted by their own link density. The best one is kept with
-    those siblings that score at least a fifth of it or are paragraphs that read like text; mostly linked blocks are
-    left out. Where an ``article`` or ``main`` element has text, only such elements are candidates.
+    those siblings that score at least a fifth of it or are paragraphs that read like text; all blocks of what is kept
+    are returned, linked ones too. Where an ``article`` or ``main`` element has text, only such elements are candidates.
     """
     found = blocks(parse(page))
     if not found:
@@ -210,7 +210,7 @@ def main_text(page: str) -> str:
             node.linked += len(text) * link
             node, level = node.up, level + 1
     if not holders:
-        return "\n".join(text for _, text, link in found if link <= 0.5)
+        return "\n".join(text for _, text, _ in found)
 
     def score(node: Node) -> float:
         return (node.points + node.hint) * (1 - node.linked / max(1.0, node.chars))
@@ -230,8 +230,6 @@ def main_text(page: str) -> str:
     beside = best.up if best.tag not in ("article", "main", "body", "html") else None
 
     def wanted(owner: Node, text: str, link: float) -> bool:
-        if link > 0.5:
-            return False
         node = owner
         while node is not None:
             if id(node) in kept:

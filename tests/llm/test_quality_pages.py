@@ -75,6 +75,13 @@ def test_names_do_not_delete_inside_the_article():
     assert main_text(f"<div class=widget>{LONG}</div>").startswith("A long")
 
 
+def test_linked_blocks_of_the_article_are_kept():
+    linked = "<h1><a href=#t>Title</a></h1>{}<p><a href=x>One link only</a></p><ol><li><a href=a>First reference</a></li><li><a href=b>Second</a></li></ol>"
+    for shell in ("<nav><a href=/>Menu</a></nav><article>{}</article>", "<div><div id=content>{}</div><div><a href=x>Elsewhere</a></div></div>"):
+        lines = main_text(shell.format(linked.format(LONG))).split("\n")
+        assert [lines[0], *lines[2:]] == ["Title", "One link only", "First reference", "Second"], shell
+
+
 def test_pages_of_the_tables(spark):
     got = QUERIES["op3_main_text"](spark, SMALL).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}

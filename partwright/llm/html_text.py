@@ -48,12 +48,12 @@ SHADE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint", "doubtful")
+    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint", "doubtful", "whole")
 
     def __init__(self, tag: str, up: "Node | None", gone: bool = False, hint: float = 0.0, doubtful: bool = False):
         self.tag, self.up, self.gone, self.hint, self.doubtful = tag, up, gone, hint, doubtful
         self.kids: list[Node | str] = []
-        self.points = self.chars = self.linked = 0.0
+        self.points = self.whole = self.chars = self.linked = 0.0
 
 
 def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float, bool]:
@@ -190,10 +190,13 @@ def main_text(page: str) -> str:
 
     Every block is a paragraph: it earns a point, one for each comma and one for each 100 characters, less its share
     of linked text, and passes them to its container, half of them to the next one, a third to the one above, and so
-    on. Text in elements with unwanted names only (``doubtful``) counts a fifth; such elements are left out beside the
-    best container and kept inside it. Containers are weighed by their names and discounted by their own link density. The best one is kept with
-    those siblings that score at least a fifth of it or are paragraphs that read like text; all blocks of what is kept
-    are returned, linked ones too. Where an ``article`` or ``main`` element has text, only such elements are candidates.
+    on; ``article`` and ``main`` get them whole from any depth. Text in elements with unwanted names only
+    (``doubtful``) counts a fifth; such elements are left out beside the best container and kept inside it. Containers
+    are weighed by their names and discounted by their own link density, and all are ranked together. A best one inside
+    an ``article`` stands for that article. Within a ``main``, an ``article`` is taken instead if it scores above the
+    ``main`` without it, and so is a container of wanted names if only headings and doubtful text stand beside it. The
+    best one is kept with those siblings that score at least a fifth of it or are paragraphs that read like text, and
+    with the headings before it; all blocks of what is kept are returned, linked ones too.
     """
     found = blocks(parse(page))
     if not found:
@@ -205,29 +208,49 @@ def main_text(page: str) -> str:
         level = 1
         while node is not None and node.tag != "#":
             holders[id(node)] = node
-            node.points += points / level
+            node.points += points if node.tag in ("article", "main") else points / level
+            node.whole += points
             node.chars += len(text)
             node.linked += len(text) * link
             node, level = node.up, level + 1
     if not holders:
         return "\n".join(text for _, text, _ in found)
 
-    def score(node: Node) -> float:
-        return (node.points + node.hint) * (1 - node.linked / max(1.0, node.chars))
+    def score(node: Node, less: Node | None = None) -> float:
+        points, chars, linked = (node.points - less.whole, node.chars - less.chars, node.linked - less.linked) if less else (node.points, node.chars, node.linked)
+        return (points + node.hint) * (1 - linked / max(1.0, chars))
 
-    named = [x for x in holders.values() if x.tag in ("article", "main")]
-    ranked = named or [x for x in holders.values() if x.tag not in ("html", "body")] or list(holders.values())
-    best = max(ranked, key=score)  # the first of equals in page order
-    if best.tag == "main" and (inner := [x for x in named if x.tag == "article"]):
-        best = max(inner, key=score)
+    def within(node: Node, *holders: Node) -> bool:
+        while node is not None and node not in holders:
+            node = node.up
+        return node is not None
+
+    ranked = [x for x in holders.values() if x.tag not in ("html", "body")] or list(holders.values())
+    best = max(ranked, key=lambda x: (score(x), x.tag in ("article", "main")))  # the first of equals in page order
+    node = best
+    while node is not None and node.tag != "article":
+        node = node.up
+    best = node or best
+    if best.tag == "main":
+        inner = [x for x in ranked if x is not best and not x.doubtful and (x.tag == "article" or x.hint > 0) and within(x, best)]
+        for x in sorted(inner, key=lambda x: (x.tag == "article", score(x)), reverse=True):
+            if score(x) > score(best, x) and (x.tag == "article" or all(o.doubtful or o.tag in HEADS or within(o, x) for o, _, _ in found if within(o, best))):
+                best = x
+                break
     floor = max(10.0, 0.2 * score(best))
     kept = {id(best)}
+    beside = best.up if best.tag not in ("main", "body", "html") else None
+    doubted = beside is not None and beside.doubtful  # then all beside it is
+    before = True
     for kid in best.up.kids if best.up is not None else []:
-        if isinstance(kid, Node) and kid is not best and not kid.doubtful and id(kid) in holders and best.tag not in ("article", "main", "body", "html") and score(kid) >= floor:
+        if not isinstance(kid, Node) or kid.doubtful and not doubted:
+            continue
+        if kid is best:
+            before = False
+        elif before and kid.tag in HEADS or kid.tag in ("header", "hgroup") and before:
             kept.add(id(kid))
-        elif isinstance(kid, Node) and kid is not best and kid.tag == best.tag == "article" and not kid.doubtful and id(kid) in holders and score(kid) >= floor:
+        elif beside is not None and id(kid) in holders and score(kid) >= floor:
             kept.add(id(kid))
-    beside = best.up if best.tag not in ("article", "main", "body", "html") else None
 
     def wanted(owner: Node, text: str, link: float) -> bool:
         node = owner
@@ -236,7 +259,7 @@ def main_text(page: str) -> str:
                 return True
             node = node.up
         # A paragraph beside the best container.
-        return not owner.doubtful and owner.tag in ("p", "h1") and owner.up is beside is not None and (owner.tag == "h1" or link < 0.25 and len(text) > 80)
+        return (doubted or not owner.doubtful) and owner.tag in ("p", "h1") and owner.up is beside is not None and (owner.tag == "h1" or link < 0.25 and len(text) > 80)
 
     return "\n".join(text for owner, text, link in found if wanted(owner, text, link))
 

@@ -82,6 +82,19 @@ def test_linked_blocks_of_the_article_are_kept():
         assert [lines[0], *lines[2:]] == ["Title", "One link only", "First reference", "Second"], shell
 
 
+def test_article_and_main_are_ranked_with_the_others():
+    long = LONG[3:-4].strip()
+    card = "<article><h3>Card</h3><p>A teaser.</p></article>"
+    assert main_text(f"<body><div id=content><h1>T</h1>{LONG}</div><div>{card}</div></body>") == f"T\n{long}"
+    assert main_text(f"<main><h1>T</h1>{LONG}{card}</main>") == f"T\n{long}\nCard\nA teaser."
+    assert main_text(f"<main><h1>T</h1><article>{LONG}</article></main>") == f"T\n{long}"
+    assert main_text(f"<main><header><h1>T</h1></header><article>{LONG}</article><div class=comments><p>I, too, think so.</p></div></main>") == f"T\n{long}"
+    assert main_text(f"<main><div class=content>{LONG}</div><div class=comments><p>I, too, think so.</p></div></main>") == long
+    # One long section does not stand for its article, nor one card for a list of them.
+    assert main_text(f"<article><h1>T</h1><section>{LONG * 9}</section><section><p>Short.</p></section></article>").split("\n")[-1] == "Short."
+    assert main_text(f"<main>{card * 9}</main>").count("A teaser.") == 9
+
+
 def test_pages_of_the_tables(spark):
     got = QUERIES["op3_main_text"](spark, SMALL).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}

@@ -87,7 +87,8 @@ class Machine:
 
     def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 2e-4) -> "Machine":
         """Stochastic steps with per-feature rates (AdaGrad) on the logistic loss, in a fixed order; the rarer label
-        weighs as much in all as the other one, the bias is then set back to the true share."""
+        weighs as much in all as the other one (within the clip of the weights), the bias is then set back to the true
+        share."""
         if not len(rows):
             self.v[:] = 0
             return self
@@ -110,6 +111,10 @@ class Machine:
                 self.v[index] -= 0.3 * rate * g / np.sqrt(gv[index])
                 gb += error * error
                 self.bias -= rate * error / np.sqrt(gb)
+        if 0 < labels.mean() < 1:
+            # Log-odds of the true share less those of the weighted one.
+            ones, zeros = weight[labels == 1].sum(), weight[labels == 0].sum()
+            self.bias += float(np.log(labels.sum() / (1 - labels).sum()) - np.log(ones / zeros))
         return self
 
 

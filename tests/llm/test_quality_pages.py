@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from partwright.llm.html_text import extract_pages, main_text
 from partwright.llm.queries import QUERIES, TRAINING, vocabulary_path
-from partwright.llm.quality import fit_quality, interactions, labelled_sample, quality_scores
+from partwright.llm.quality import Machine, fit_quality, interactions, labelled_sample, quality_scores
 from partwright.llm.tokens import vocabulary as loaded
 from test_alike import brute_components
 from test_texts import brute_copies, brute_lines
@@ -48,6 +48,18 @@ def test_scores_of_odd_tables(spark, odd, none):
     assert TRAINING.count("doc_id") == 1
 
 
+def test_scores_are_probabilities_when_labels_are_uneven():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=2000)
+    true = 1 / (1 + np.exp(-(2.1 + x)))
+    labels = (rng.random(2000) < true).astype(float)
+    assert 0.8 < labels.mean() < 0.9
+    machine = Machine().fit([(np.array([3]), np.array([v])) for v in x], labels)
+    scores = np.array([1 / (1 + np.exp(-machine.raw(np.array([3]), np.array([v])))) for v in x])
+    assert abs(scores.mean() - labels.mean()) < 0.04 and np.abs(scores - true).mean() < 0.06
+    assert (scores[true > 0.65] >= 0.5).all()
+
+
 BODY = "<p>First paragraph, with commas, and words.<p>Second &amp; <b>bold</b>\n text &lt;here&gt;, more of it.</p>"
 SHELLS = [
     "<html><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy, now, cheap, things</div><article><h1>Title</h1>{}</article><footer>Foot, note</footer></body></html>",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from partwright.llm.common import table
 from partwright.llm.disclosure import KINDS, span_report
+from partwright.llm.divergence import source_divergence
 from partwright.llm.filter_audit import filter_audit
 from partwright.llm.html_text import extract_pages
 from partwright.llm.line_dedup import line_dedup
@@ -19,6 +20,7 @@ from partwright.llm.nearest import nearest
 from partwright.llm.packing import pack
 from partwright.llm.piecewise import fingerprint, likeness, with_next
 from partwright.llm.quality import fit_quality, quality_scores
+from partwright.llm.secret_ledger import BASE_RULES, secret_spans
 from partwright.llm.tokens import stored_pieces, token_counts
 
 #: Vocabulary file of the contracts; the operators take any path.
@@ -204,3 +206,60 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 @query("op11_filter_audit", AUDIT_SQL)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SECRETS_SQL = r"""
+WITH p AS (SELECT * FROM (VALUES
+    ('assign', 1, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    ('access', 2, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 3, '[0-9a-f]+', 0, 24),
+    ('pem', 4, '-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----', 0, 1),
+    ('jwt', 5, 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', 0, 1),
+    ('login', 6, '://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@', 0, 1),
+    ('service', 7, '(?:gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})', 0, 1)) v(kind, rank, pattern, grp, least)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT doc_id, kind, rank, least, regexp_extract_all(text, pattern, 0) AS hits, string_split_regex(text, pattern) AS gaps,
+    CASE grp WHEN 2 THEN regexp_extract_all(text, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) ELSE regexp_extract_all(text, pattern, 0) END AS kept FROM d, p),
+e AS (SELECT doc_id, kind, rank, least, generate_subscripts(hits, 1) AS i, unnest(hits) AS hit, unnest(kept) AS kept, unnest(gaps[: len(hits)]) AS gap FROM h),
+s AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS fin FROM e),
+r AS (SELECT doc_id, kind, rank, fin - length(hit) AS start, fin FROM s WHERE length(kept) >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) AS spans,
+    string_agg(kind || ':' || start || ':' || fin, ',' ORDER BY start, rank) FILTER (rank <= 3) AS base FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op12_secret_ledger", SECRETS_SQL)
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in BASE_RULES]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(written(of_kind(*kinds)), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+s AS (SELECT *, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+t AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL),
+q AS (SELECT *, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, s.p - q.q AS value FROM s JOIN q ON s.lang = q.lang AND s.term = q.term WHERE s.c > 0 AND s.p > q.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))

@@ -9,8 +9,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import sub
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +21,8 @@ from partwright.session import cut_lineage
 
 #: Values kept per store and generation in a Python worker.
 KEPT = 250_000
+#: Pairs of tokens whose fit is kept.
+PAIRS = 1_000_000
 LONG = 96
 #: Characters whose class all Unicode versions agree on; other chunks are split by the library itself.
 UNSURE = re.compile(r"[^\t-\r -~\xa1-ɏ]")
@@ -118,6 +120,12 @@ class Vocabulary:
             self.halves.setdefault(whole, (vocab[left], vocab[right]))
             self.joined[vocab[left], vocab[right]] = (order, whole)
         self._born = {whole: self.joined[pair][0] for whole, pair in self.halves.items()}
+        # Finds all tokens that end at each byte of a piece, longest first; a token is its length and its id in one number.
+        self.ends = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            self.ends.add_word(token.decode("latin-1"), len(token) << 32 | i)
+        self.ends.make_automaton()
+        self._fits: dict[int, bool] = {}
         self.piece_steps = Store(self._piece_steps)
         self.ids_after, self.ids_first = Store(_after_space(self._ids)), Store(_first(self._ids))
         self.steps_after, self.steps_first = Store(_after_space(self._steps)), Store(_first(self._steps))
@@ -179,35 +187,49 @@ class Vocabulary:
             else:
                 until, left = (l, 0), halves[left][1]
 
-    def piece_counts(self, data: bytes) -> list[int]:
-        """Tokens of every byte prefix of one piece, from the empty one on.
+    def _counted(self, data: bytes) -> tuple[list[int], list[int]]:
+        """Tokens of every byte prefix of one piece, from the empty one on, and the change with each byte.
 
         Dynamic programming: the last token of a prefix is the token that ends there and stays whole after the last
         token of the prefix before it; there is one such token, and its count is one more.
         """
-        ranks, fit, longest = self.ranks, self._fit, self.longest
-        count, last = [0], [-1]
-        for end in range(1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = ranks.get(data[start:end])
-                if token is not None and (start == 0 or fit(last[start], token)):
-                    count.append(count[start] + 1)
-                    last.append(token)
-                    break
-        return count
+        count, last, steps = [0] * (len(data) + 1), [-1] * (len(data) + 1), [0] * len(data)
+        fits, known, done = self._fits, self._fits.get, -1
+        if len(fits) > PAIRS:
+            fits.clear()
+        for end, token in self.ends.iter(data.decode("latin-1")):
+            if end == done:
+                continue
+            start = end + 1 - (token >> 32)
+            token &= 0xFFFFFFFF
+            if start:
+                pair = last[start] << 32 | token
+                fit = known(pair)
+                if fit is None:
+                    fit = fits[pair] = self._fit(last[start], token)
+                if not fit:
+                    continue
+            done = end
+            count[end + 1] = now = count[start] + 1
+            last[end + 1] = token
+            steps[end] = now - count[end]
+        return count, steps
+
+    def piece_counts(self, data: bytes) -> list[int]:
+        return self._counted(data)[0]
 
     def _piece_steps(self, piece: str) -> bytes:
-        counts = self.piece_counts(piece.encode())
-        if len(counts) > len(piece) + 1:
-            at, own = 0, [0]
-            for c in piece:
-                at += len(c.encode())
-                own.append(counts[at])
-            counts = own
-        if piece in TWO_STEPS:
+        data = piece.encode()
+        counts, steps = self._counted(data)
+        if len(data) > len(piece):
+            # A character's change is that of its bytes together: sum them up to the byte before the next character.
+            ends = [k for k in range(1, len(data)) if data[k] & 0xC0 != 0x80] + [len(data)]
+            steps = [counts[b] - counts[a] for a, b in zip([0, *ends], ends)]
+        elif piece in TWO_STEPS:
             # A contraction cut short is an apostrophe and a letter.
-            counts[2] = self.piece_counts(piece[:1].encode())[-1] + self.piece_counts(piece[1:2].encode())[-1]
-        return array("h", map(sub, counts[1:], counts)).tobytes()
+            counts[2] = self.piece_counts(data[:1])[-1] + self.piece_counts(data[1:2])[-1]
+            steps = [b - a for a, b in zip(counts, counts[1:])]
+        return array("h", steps).tobytes()
 
     def _split(self, chunk: str) -> list[str]:
         if not UNSURE.search(chunk):

@@ -88,7 +88,18 @@ FACT_SQL["pixel"] = f"""SELECT vec_id AS photo_id, label, CAST(ix % {SIDE} AS IN
 FACT_SQL["otsu"] = """SELECT photo_id, arg_max(grey, (CASE WHEN total > below THEN (sum_below * total - sum_all * below) * (sum_below * total - sum_all * below) / (below * (total - below)) ELSE 0 END, -grey)) AS threshold
   FROM (SELECT photo_id, grey, CAST(sum(n) OVER w AS DOUBLE) AS below, CAST(sum(n * grey) OVER w AS DOUBLE) AS sum_below, CAST(sum(n) OVER p AS DOUBLE) AS total, CAST(sum(n * grey) OVER p AS DOUBLE) AS sum_all
     FROM (SELECT photo_id, grey, count(*) AS n FROM pixel GROUP BY ALL) WINDOW w AS (PARTITION BY photo_id ORDER BY grey ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY photo_id)) GROUP BY photo_id"""
-FACT_SQL["dark"] = "SELECT photo_id, label, x, y FROM pixel JOIN otsu USING (photo_id) WHERE grey <= threshold"
+# The silhouette: light pixels reached from the border over edges lie outside; the rest, linked over edges and corners,
+# falls into parts, of which the largest is kept.
+FACT_SQL["lit_pixel"] = "SELECT photo_id, label, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, grey <= threshold AS dark, y * 1000 + x AS px FROM pixel JOIN otsu USING (photo_id)"
+FACT_SQL["sea_pixel"] = f"""WITH RECURSIVE flood AS (SELECT photo_id, x, y FROM lit_pixel WHERE NOT dark AND (x IN (0, {SIDE - 1}) OR y IN (0, {SIDE - 1}))
+  UNION SELECT l.photo_id, l.x, l.y FROM flood f JOIN (SELECT * FROM lit_pixel WHERE NOT dark) l ON l.photo_id = f.photo_id AND abs(l.x - f.x) + abs(l.y - f.y) = 1) SELECT * FROM flood"""
+FACT_SQL["land_pixel"] = "SELECT * FROM lit_pixel ANTI JOIN sea_pixel USING (photo_id, x, y)"
+FACT_SQL["land_label"] = """WITH RECURSIVE part_of(photo_id, px, c) USING KEY (photo_id, px) AS (SELECT photo_id, px, px FROM land_pixel
+    UNION SELECT b.photo_id, b.px, min(l.c) FROM part_of l JOIN land_pixel a ON a.photo_id = l.photo_id AND a.px = l.px
+      JOIN land_pixel b ON b.photo_id = a.photo_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 JOIN recurring.part_of o ON o.photo_id = b.photo_id AND o.px = b.px WHERE l.c < o.c GROUP BY b.photo_id, b.px)
+  SELECT photo_id, px, c FROM part_of"""
+FACT_SQL["dark"] = """SELECT photo_id, label, x, y FROM land_pixel JOIN land_label USING (photo_id, px)
+  JOIN (SELECT photo_id, arg_max(c, (n, -c)) AS c FROM (SELECT photo_id, c, count(*) AS n FROM land_label GROUP BY ALL) GROUP BY photo_id) USING (photo_id, c)"""
 FACT_SQL["shape"] = f"SELECT photo_id, count(*) AS area, avg(x) AS cx, avg(y) AS cy, {TARGET}e0 / (2 * sqrt(count(*) / pi())) AS scale FROM dark GROUP BY photo_id"
 FACT_SQL["pair"] = "SELECT vec_id AS photo_id, min(vec_id) OVER (PARTITION BY label) AS ref_id FROM embeddings"
 _turns = ", ".join(f"({a}, {c!r}e0, {s!r}e0)" for a, (c, s) in zip(si.ANGLES, si.TURNS))

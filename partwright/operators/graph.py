@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwright.session import cut_lineage
 
+#: Edges a task unites at once.
+EDGES = 2_000_000
+
 
 def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """All (src, dst, depth) pairs reachable over ``edges(src, dst)``, shortest depth each.
@@ -27,33 +34,103 @@ def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
         known = cut_lineage(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def _stars(keys: list[str], batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges ``v, u`` from every node to the smallest one its component has within these batches."""
+    table = pa.Table.from_batches(batches)
+    group = np.zeros(table.num_rows, dtype=np.int64)
+    for key in keys:
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+    ends = np.concatenate([table.column(c).to_numpy() for c in ("v", "u")])
+    ids, at = np.unique(ends, return_inverse=True)
+    nodes, first, at = np.unique(np.concatenate([group, group]) * len(ids) + at, return_index=True, return_inverse=True)
+    v, u = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[v], root[u]), np.maximum(root[v], root[u])
+        if np.array_equal(low, high):
+            break
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    inner = np.flatnonzero(root != np.arange(len(nodes)))
+    rows = pa.array(first[inner] % table.num_rows)
+    columns = [table.column(key).combine_chunks().take(rows) for key in keys]
+    return pa.record_batch([*columns, pa.array(ids[nodes[inner] % len(ids)]), pa.array(ids[nodes[root[inner]] % len(ids)])], [*keys, "v", "u"])
+
+
+def contracted(edges: DataFrame, keys: list[str], tile: list[Column | str]) -> DataFrame:
+    """``keys, v, u``: edges with the same components as ``edges(keys, src, dst)``, at most one per node and task.
+
+    Edges are dealt out by ``tile`` (once), and each task unites what it is dealt, ``EDGES`` at a time, so that a tile
+    of any size fits. Components within one tile come out as stars around their smallest node; what is linked across
+    tiles stays to be settled. Node ids are whole numbers; edges never leave their ``keys``.
+    """
+    ends = [F.greatest("src", "dst").cast("long").alias("v"), F.least("src", "dst").cast("long").alias("u")]
+    dealt = edges.repartition(*tile).select(*keys, *ends).where("u < v")
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= EDGES:
+                yield _stars(keys, held)
+                held, n = [], 0
+        if n:
+            yield _stars(keys, held)
+
+    return dealt.mapInArrow(unite, dealt.schema)
+
+
+def _all_stars(edges: DataFrame, keys: list[str]) -> bool:
+    """Whether every ``v`` of ``edges(keys, v, u)`` has one edge and no ``u`` is a ``v``."""
+    roles = F.inline(F.array(F.struct(F.col("v").alias("n"), F.lit(1).alias("inner"), F.lit(0).alias("hub")), F.struct(F.col("u").alias("n"), F.lit(0).alias("inner"), F.lit(1).alias("hub"))))
+    seen = edges.select(*keys, roles).groupBy(*keys, "n").agg(F.sum("inner").alias("inner"), F.max("hub").alias("hub"))
+    return seen.where((F.col("inner") > 1) | ((F.col("inner") > 0) & (F.col("hub") > 0))).isEmpty()
+
+
+def connected_in_tiles(edges: DataFrame, keys: list[str], tile: list[Column | str]) -> DataFrame:
+    """``keys, node, component`` for every node of ``edges(keys, src, dst)``: the smallest node it can reach.
+
+    Components that lie within a tile cost one shuffle; only if some reach beyond theirs do the star rounds of
+    ``connected`` follow, over one edge per node and tile.
+    """
+    stars = cut_lineage(contracted(edges, keys, tile))
+    if not _all_stars(stars, keys):
+        return connected(stars.select(*keys, F.col("v").alias("src"), F.col("u").alias("dst")), keys)
+    labels = stars.select(*keys, F.col("v").alias("node"), F.col("u").alias("component"))
+    return labels.unionByName(labels.select(*keys, F.col("component").alias("node"), "component").distinct())
+
+
+def connected(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``node, component`` for every node of ``edges(src, dst)``: the smallest node it can reach, itself included.
 
     Alternates two star steps until the edges no longer change: every node hands its larger neighbours to the
     smallest of its neighbours and itself, then every node hands its smaller neighbours to the smallest of them. Both
     keep who is connected with whom and flatten trees quickly, whatever their depth: a chain of n nodes takes about
     log n rounds. The joins on a hub node can be split by adaptive execution. Each round is a table in the shared
-    folder.
+    folder. With ``keys``, edges never leave their key, node ids count within it, and the keys are in the result.
     """
+    keys = keys or []
     kind = edges.schema["src"].dataType
-    now = edges.select(F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("u < v").distinct()
+    now = edges.select(*keys, F.greatest("src", "dst").alias("v"), F.least("src", "dst").alias("u")).where("u < v").distinct()
     now = cut_lineage(now)
     mark = None
     while True:
-        both = now.select(F.col("u").alias("n"), F.col("v").alias("o")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("o")))
-        least = both.groupBy("n").agg(F.least(F.min("o"), F.first("n")).alias("m"))
-        large = both.where("o > n").join(least, "n").select(F.col("o").alias("v"), F.col("m").alias("u")).distinct()
+        both = now.select(*keys, F.col("u").alias("n"), F.col("v").alias("o")).unionByName(now.select(*keys, F.col("v").alias("n"), F.col("u").alias("o")))
+        least = both.groupBy(*keys, "n").agg(F.min("o").alias("m")).withColumn("m", F.least("m", "n"))
+        large = both.where("o > n").join(least, [*keys, "n"]).select(*keys, F.col("o").alias("v"), F.col("m").alias("u")).distinct()
         large = cut_lineage(large.where("u < v"))
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
-        now = cut_lineage(small.select("e.v", "e.u").where("u < v").distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h")).first()
+        least = large.groupBy(*keys, "v").agg(F.min("u").alias("m"))
+        small = large.join(least, [*keys, "v"]).select(*keys, F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
+        now = cut_lineage(small.select(*keys, "e.v", "e.u").where("u < v").distinct())
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "v", "u").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break
         mark = (seen["n"], seen["h"])
-    stars = now.select(F.col("v").cast(kind).alias("node"), F.col("u").cast(kind).alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    stars = now.select(*keys, F.col("v").cast(kind).alias("node"), F.col("u").cast(kind).alias("component"))
+    return stars.unionByName(stars.select(*keys, F.col("component").alias("node"), "component").distinct())
 
 
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:

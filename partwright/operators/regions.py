@@ -27,6 +27,8 @@ MIN_AREA_SHARE = 0.001
 
 BOX = ["x0", "y0", "x1", "y1"]
 SALTS = 64
+#: A tile of a page is 2^TILE sub-cells wide and high.
+TILE = 7
 
 
 def has_area() -> Column:
@@ -64,7 +66,8 @@ def frontiers(placed: DataFrame) -> DataFrame:
 
 
 def linked_subcells(placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
-    """Pairs of different sub-cells that hold neighbouring boxes; the second lies right of, or below, the first."""
+    """Pairs of different sub-cells that hold neighbouring boxes; the second lies right of, or below, the first. A pair
+    may be there once per corner that reaches."""
     edge = frontiers(placed)
     steps = [(dx, dy) for dx in range(4) for dy in range(-3, 4) if dx > 0 or dy > 0]
     offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit("pm" if dy < 0 else "pp").alias("k")) for dx, dy in steps])
@@ -79,7 +82,7 @@ def linked_subcells(placed: DataFrame, distance: float = MERGE_DISTANCE) -> Data
         "page_id", F.col("sx").alias("bx"), F.col("sy").alias("by"), "kind", F.col("u").alias("bu"), F.col("v").alias("bv")
     )
     reach = ((F.col("dx") == 0) | (F.col("au") + F.col("bu") > -distance)) & ((F.col("dy") == 0) | (F.col("av") + F.col("bv") > -distance))
-    return first.join(second, ["page_id", "bx", "by", "kind"]).where(reach).select("page_id", "ax", "ay", "bx", "by").distinct()
+    return first.join(second, ["page_id", "bx", "by", "kind"]).where(reach).select("page_id", "ax", "ay", "bx", "by")
 
 
 def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
@@ -91,36 +94,46 @@ def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
 def stroke_links(strokes: DataFrame, placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
     """Strokes with the sub-cells that hold a later neighbour of theirs, one row per stroke and sub-cell.
 
-    A stroke meets the boxes of the sub-cells in its own and the adjoining cells only.
+    A stroke meets the boxes of the sub-cells in its own and the adjoining cells only. Further columns are kept.
     """
+    rest = [c for c in strokes.columns if c not in {"page_id", "seq", *BOX, "sx", "sy"}]
     around = lambda c: F.sequence((F.floor(F.col(c) / 2) - 1) * 2, (F.floor(F.col(c) / 2) + 1) * 2 + 1)
-    own = strokes.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("seq", *BOX)], F.explode(around("sx")).alias("sx"), "sy")
+    own = strokes.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("seq", *BOX)], *rest, F.explode(around("sx")).alias("sx"), "sy")
     own = own.withColumn("sy", F.explode(around("sy")))
     later = F.col("seq") > F.col("s_seq")
     reach = [F.col(f"s_{a}0") - distance < F.col(f"{a}1") for a in "xy"] + [F.col(f"{a}0") < F.col(f"s_{a}1") + distance for a in "xy"]
     met = own.join(placed.select("page_id", "sx", "sy", "seq", *BOX), ["page_id", "sx", "sy"]).where(later & reach[0] & reach[1] & reach[2] & reach[3])
-    return met.select("page_id", "sx", "sy", *[F.col(f"s_{c}").alias(c) for c in ("seq", *BOX)]).distinct()
+    return met.select("page_id", "sx", "sy", *[F.col(f"s_{c}").alias(c) for c in ("seq", *BOX)], *rest).distinct()
 
 
 def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS) -> DataFrame:
     """Boxes of connected groups with at least ``min_members`` (two or more) boxes, strokes included."""
     whole = in_subcells(rects, distance)
     placed, strokes = whole.where(has_area()), whole.where(~has_area())
-    node = lambda x, y: F.concat_ws(":", "page_id", x, y)
     cells = placed.groupBy("page_id", "sx", "sy").agg(*[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]], F.count(F.lit(1)).alias("n"))
-    cells = cells.select("page_id", node("sx", "sy").alias("node"), *BOX, "n")
-    links = linked_subcells(placed, distance).select("page_id", node("ax", "ay").alias("src"), node("bx", "by").alias("dst"))
-    named = F.concat_ws(":", "page_id", F.lit("stroke"), "seq", *BOX)
-    drawn = cut_lineage(stroke_links(strokes, placed, distance).select("page_id", named.alias("node"), node("sx", "sy").alias("dst")))
-    links = links.unionByName(drawn.select("page_id", F.col("node").alias("src"), "dst"))
-    # Strokes alike in all columns are one node that counts as many; a stroke without a link is in no group.
-    counted = strokes.select("page_id", named.alias("node"), *BOX).groupBy("page_id", "node", *BOX).agg(F.count(F.lit(1)).alias("n"))
-    nodes = cells.unionByName(counted.join(drawn.select("node").distinct(), "node", "left_semi").select(cells.columns))
-    labels = graph.components_within(spark, nodes, links, "page_id")
-    grown = _grown(nodes.join(labels, ["page_id", "node"]), F.col("component"), F.col("n"))
+    cells = cells.select("page_id", _cell("sx", "sy").alias("node"), *BOX, "n")
+    links = linked_subcells(placed, distance).select("page_id", _cell("ax", "ay").alias("src"), _cell("bx", "by").alias("dst"))
+    # A stroke binds the sub-cells it reaches together and counts with the first of them; without any it is in no group.
+    alike = strokes.groupBy("page_id", "seq", *BOX, "sx", "sy").agg(F.count(F.lit(1)).alias("n"))
+    drawn = stroke_links(alike, placed, distance).groupBy("page_id", "seq", *BOX, "n").agg(F.array_sort(F.collect_set(_cell("sx", "sy"))).alias("reached"))
+    drawn = cut_lineage(drawn.select("page_id", F.col("reached")[0].alias("node"), *BOX, "n", "reached"))
+    bound = drawn.select("page_id", F.col("node").alias("src"), F.explode(F.slice("reached", 2, F.size("reached"))).alias("dst"))
+    nodes = cells.unionByName(drawn.drop("reached"))
+    tile = [F.shiftright("src", 32 + TILE), F.shiftright(F.shiftleft("src", 32), 32 + TILE)]
+    labels = graph.connected_in_tiles(links.unionByName(bound), ["page_id"], ["page_id", *tile])
+    grown = _grown(_labelled(nodes, labels), F.col("component"), F.col("n"))
     return grown.where(F.col("members") >= min_members).select("page_id", *BOX, "members")
 
 
+def _cell(x: str, y: str) -> Column:
+    """A sub-cell of a page as one number; 32 bits for each axis."""
+    return F.shiftleft(F.col(x), 32).bitwiseOR(F.col(y).bitwiseAND((1 << 32) - 1))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, ["page_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _level(width: Column, height: Column) -> Column:
     return F.greatest(F.ceil(F.log2(F.greatest(width, height, F.lit(1.0)))), F.lit(0)).cast("int")
 
@@ -143,7 +156,7 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
     Each box lies in the grid of its own size; a smaller box probes the grids of larger sizes, where it
     touches a few cells only.
     """
-    named = cut_lineage(boxes.withColumn("node", F.concat_ws(":", "page_id", *BOX)))
+    named = cut_lineage(boxes.withColumn("node", F.monotonically_increasing_id()))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     sized = named.select("page_id", "node", *BOX, F.sqrt(w * w + h * h).alias("diag"), _level(w, h).alias("own"))
     large = _cells(sized, F.col("own"), *[F.col(c) for c in BOX]).select(
@@ -158,9 +171,9 @@ def merged(spark: SparkSession, boxes: DataFrame, fraction: float = MERGE_FRACTI
         (F.col("node") != F.col("dst")) & (F.col("diag") <= F.col("ddiag"))
         & (F.col("x0") - reach < F.col("dx1")) & (F.col("dx0") < F.col("x1") + reach) & (F.col("y0") - reach < F.col("dy1")) & (F.col("dy0") < F.col("y1") + reach)
     )
-    edges = pairs.select("page_id", F.col("node").alias("src"), "dst").distinct()
-    labels = graph.components_within(spark, named, edges, "page_id")
-    return _grown(named.join(labels, ["page_id", "node"]), F.col("component"), F.col("members")).select("page_id", *BOX, "members")
+    edges = pairs.select("page_id", F.col("node").alias("src"), "dst")
+    labels = graph.connected_in_tiles(edges, ["page_id"], ["page_id"])
+    return _grown(_labelled(named, labels), F.col("component"), F.col("members")).select("page_id", *BOX, "members")
 
 
 def members_per_region(regions: DataFrame, rects: DataFrame) -> DataFrame:

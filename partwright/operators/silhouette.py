@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from partwright.operators import graph
+from partwright.session import cut_lineage
+
 
 # ---- fixed values ---------------------------------------------------------------------------
 CANVAS = 260
@@ -39,9 +42,60 @@ def otsu_thresholds(pixels: DataFrame) -> DataFrame:
     return h.groupBy("photo_id").agg(F.max_by("grey", F.struct(spread.alias("s"), (-F.col("grey")).alias("g"))).alias("threshold"))
 
 
+def runs(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``photo_id, y, x0, x1, dark, edge``: the pictures as runs of dark or light pixels within a row, written once.
+
+    ``edge`` marks light runs at the border of the picture or beside pixels that are not there.
+    """
+    lit = pixels.join(thresholds, "photo_id").select("photo_id", "x", "y", (F.col("grey") <= F.col("threshold")).alias("dark")).distinct()
+    at = F.row_number().over(Window.partitionBy("photo_id", "y", "dark").orderBy("x"))
+    found = lit.withColumn("run", F.col("x") - at).groupBy("photo_id", "y", "dark", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    row = Window.partitionBy("photo_id", "y").orderBy("x0")
+    open_ends = (F.coalesce(F.lag("x1").over(row), F.col("x0")) != F.col("x0") - 1) | (F.coalesce(F.lead("x0").over(row), F.col("x1")) != F.col("x1") + 1)
+    photo = Window.partitionBy("photo_id")
+    border = (F.col("y") == F.min("y").over(photo)) | (F.col("y") == F.max("y").over(photo))
+    return cut_lineage(found.select("photo_id", "y", "x0", "x1", "dark", (~F.col("dark") & (open_ends | border)).alias("edge")))
+
+
+def _node(y: str, x: str) -> Column:
+    """A run as one number within its picture, in reading order; 32 bits for each axis."""
+    return F.shiftleft(F.col(y).cast("long"), 32) + F.col(x)
+
+
+def _joined_runs(parts: DataFrame, reach: int, below: list[int]) -> DataFrame:
+    """Links ``photo_id, src, dst`` of runs that touch, ``reach`` pixels diagonally allowed, in rows ``below`` apart."""
+    upper = parts.select("photo_id", _node("y", "x0").alias("src"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(F.array(*[F.col("y") + k for k in below])).alias("y"))
+    lower = parts.select("photo_id", "y", _node("y", "x0").alias("dst"), "x0", "x1")
+    met = upper.join(lower, ["photo_id", "y"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach))
+    return met.select("photo_id", "src", "dst")
+
+
+def outlines(parts: DataFrame) -> DataFrame:
+    """Runs ``photo_id, y, x0, x1`` of each picture's silhouette: the largest dark part with all it encloses.
+
+    Light runs that touch along edges are one part; what is linked to the border (node -1) lies outside. All else,
+    linked along edges and corners, falls into filled parts; the one with the most pixels is kept, of equal ones the
+    one that comes first in reading order. A picture without dark pixels has none.
+    """
+    light = parts.where(~F.col("dark"))
+    sea = light.where("edge").select("photo_id", _node("y", "x0").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    reached = graph.connected_in_tiles(_joined_runs(light, 0, [1]).unionByName(sea), ["photo_id"], ["photo_id"])
+    outside = reached.where((F.col("component") == -1) & (F.col("node") != -1)).select("photo_id", F.col("node").alias("_n"))
+    named = parts.withColumn("node", _node("y", "x0"))
+    solid = named.join(outside, (named["photo_id"] == outside["photo_id"]) & (F.col("node") == F.col("_n")), "left_anti")
+    solid = cut_lineage(solid.select("photo_id", "y", "x0", "x1", "node"))
+    labels = graph.connected_in_tiles(_joined_runs(solid, 1, [0, 1]), ["photo_id"], ["photo_id"])
+    labelled = solid.join(labels, ["photo_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
+    sized = labelled.groupBy("photo_id", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
+    best = sized.groupBy("photo_id").agg(F.max_by("component", F.struct("area", (-F.col("component")).alias("first"))).alias("component"))
+    return labelled.join(best, ["photo_id", "component"], "left_semi").select("photo_id", "y", "x0", "x1")
+
+
 def masks(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Dark pixels of each photo."""
-    return pixels.join(thresholds, "photo_id").where(F.col("grey") <= F.col("threshold")).select("photo_id", "x", "y")
+    """Pixels of each photo's silhouette (``outlines``), holes filled."""
+    found = outlines(runs(pixels, thresholds))
+    kind = pixels.schema["x"].dataType
+    return found.select("photo_id", F.explode(F.sequence(F.col("x0").cast(kind), F.col("x1").cast(kind))).alias("x"), "y")
 
 
 def shapes(mask: DataFrame, target: float = TARGET_DIAMETER) -> DataFrame:
@@ -75,45 +129,49 @@ def rasters(mask: DataFrame, width: int, target: float = TARGET_DIAMETER) -> Dat
 
 
 def _sampled(dark, cx, cy, scale, dx, dy, width, height):
-    image = np.zeros(width * height, dtype=bool)
+    """The silhouette at the given offsets from its centroid, for offsets of any shape."""
+    image = np.zeros(width * height + 1, dtype=bool)
     image[np.asarray(dark, dtype=np.int64)] = True
     sx = np.floor(cx + dx / scale + 0.5).astype(np.int64)
     sy = np.floor(cy + dy / scale + 0.5).astype(np.int64)
     inside = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
-    out = np.zeros(dx.shape, dtype=bool)
-    out[inside] = image[sy[inside] * width + sx[inside]]
-    return out
+    return image[np.where(inside, sy * width + sx, width * height)]
 
 
 def best_rotations(pairs: DataFrame, raster: DataFrame, width: int, height: int, canvas: int = CANVAS) -> DataFrame:
     """Best overlap of the actual silhouette over 24 rotations of the common canvas, the first best angle wins.
 
-    One row holds both rasters of a pair, so the work is spread by pair; pixels are sampled as arrays.
-    Pairs with a missing silhouette give a null score.
+    Rasters are written once. One row holds both rasters of a pair, and pairs are dealt out by their ids, so that a
+    reference of many pictures is compared in many tasks; all angles are sampled as one array. Pairs with a missing
+    silhouette give a null score.
     """
-    ref = raster.select(*[F.col(c).alias(f"ref_{c}" if c != "photo_id" else "ref_id") for c in ("photo_id", "dark", "cx", "cy", "scale")])
-    joined = pairs.join(raster.select("photo_id", "dark", "cx", "cy", "scale"), "photo_id", "left").join(ref, "ref_id", "left")
+    raster = cut_lineage(raster.select("photo_id", "dark", "cx", "cy", "scale"))
+    ref = raster.select(*[F.col(c).alias(f"ref_{c}" if c != "photo_id" else "ref_id") for c in raster.columns])
+    joined = pairs.join(raster, "photo_id", "left").join(ref, "ref_id", "left")
+    workers = pairs.sparkSession.sparkContext.defaultParallelism
+    joined = joined.repartition(max(workers, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "photo_id", "ref_id")
     schema = T.StructType([T.StructField("photo_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("score", T.DoubleType()),
                            T.StructField("angle", T.IntegerType())])
 
     def compare(batches):
         ys, xs = np.mgrid[0:canvas, 0:canvas]
         dx, dy = xs - canvas / 2, ys - canvas / 2
+        cos, sin = (np.array(t)[:, None, None] for t in zip(*TURNS))
+        turned_dx, turned_dy = dx * cos - dy * sin, dx * sin + dy * cos
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                if r.dark is None or r.ref_dark is None:
-                    rows.append((r.photo_id, r.ref_id, None, None))
+            for pair in zip(*(batch[c] for c in ("photo_id", "ref_id", "dark", "cx", "cy", "scale", "ref_dark", "ref_cx", "ref_cy", "ref_scale"))):
+                photo, ref, own, other = *pair[:2], pair[2:6], pair[6:]
+                if own[0] is None or other[0] is None:
+                    rows.append((photo, ref, None, None))
                     continue
-                fixed = _sampled(r.ref_dark, r.ref_cx, r.ref_cy, r.ref_scale, dx, dy, width, height)
-                best, best_angle = -1.0, 0
-                for angle, (cos, sin) in zip(ANGLES, TURNS):
-                    turned = _sampled(r.dark, r.cx, r.cy, r.scale, dx * cos - dy * sin, dx * sin + dy * cos, width, height)
-                    union = np.count_nonzero(fixed | turned)
-                    score = np.count_nonzero(fixed & turned) / union if union else 0.0
-                    if score > best:
-                        best, best_angle = score, angle
-                rows.append((r.photo_id, r.ref_id, best, best_angle))
+                fixed = _sampled(*other, dx, dy, width, height)
+                turned = _sampled(*own, turned_dx, turned_dy, width, height)
+                both = np.count_nonzero(turned & fixed, axis=(1, 2))
+                union = np.count_nonzero(turned, axis=(1, 2)) + np.count_nonzero(fixed) - both
+                scores = np.divide(both, union, out=np.zeros(len(ANGLES)), where=union > 0)
+                best = int(np.argmax(scores))
+                rows.append((photo, ref, float(scores[best]), ANGLES[best]))
             yield pd.DataFrame(rows, columns=["photo_id", "ref_id", "score", "angle"]).astype({"angle": "Int32", "score": "Float64"})
 
     return joined.mapInPandas(compare, schema)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from partwright.llm.common import small_batches, text_or_empty
 from partwright.session import cut_lineage
 
-#: Terms a task holds before it hands on what it has counted so far: bounds memory, not results.
-HELD = 200_000
+#: Terms of sources a task holds before it hands on what it has counted so far: bounds memory, not results.
+HELD = 400_000
 SCALE = 1_000_000_000
 SMOOTH = 5
 #: Every byte that is no term byte is a space, A-Z is lower-cased. Bytes of other characters are above 0x7F.
@@ -26,43 +26,59 @@ def terms(text: str) -> list[bytes]:
 
 
 def partial_counts(docs: DataFrame, digest_bits: int = 64) -> DataFrame:
-    """``lang, source, digest, term, n, df``: occurrences and documents of terms, summed per task as far as memory allows;
-    a row without term for every (lang, source) that a task meets. Written once; the columns are read apart."""
+    """``lang, digest, term, df, sources, counts``: per language and term its documents, the sources that have it and its
+    occurrences in each, summed per task as far as memory allows; a row without term names the sources a task meets.
+    Written once; the columns are read apart."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        occurrences: dict[str, dict[str, Counter]] = {}
+        documents: dict[str, Counter] = {}
 
         def rows() -> pa.RecordBatch:
-            lang, source, term, n, df = [], [], [], [], []
-            for (g, s), (occurrences, documents) in kept.items():
-                lang += [g] * (len(documents) + 1)
-                source += [s] * (len(documents) + 1)
-                term += [None, *documents]
-                n += [0, *map(occurrences.__getitem__, documents)]
-                df += [0, *documents.values()]
-            kept.clear()
-            return pa.record_batch([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(df, pa.int64())], ["lang", "source", "term", "n", "df"])
+            lang, term, df, sources, counts = [], [], [], [], []
+            for g, own in occurrences.items():
+                by: dict[bytes, tuple[list, list]] = {t: ([], []) for t in documents[g]}
+                for s, found in sorted(own.items()):
+                    for t, n in found.items():
+                        of, ns = by[t]
+                        of.append(s)
+                        ns.append(n)
+                lang += [g] * (len(by) + 1)
+                term += [None, *by]
+                df += [0, *documents[g].values()]
+                sources += [sorted(own), *(of for of, _ in by.values())]
+                counts += [[0] * len(own), *(ns for _, ns in by.values())]
+            occurrences.clear()
+            documents.clear()
+            return pa.record_batch(
+                [pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(df, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
+                ["lang", "term", "df", "sources", "counts"],
+            )
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                occurrences, documents = kept.setdefault((lang, source), (Counter(), Counter()))
                 own = terms(text)
-                occurrences.update(own)
-                documents.update(set(own))
-            if sum(len(d) for _, d in kept.values()) > HELD:
+                occurrences.setdefault(lang, {}).setdefault(source, Counter()).update(own)
+                documents.setdefault(lang, Counter()).update(set(own))
+            if sum(len(c) for own in occurrences.values() for c in own.values()) > HELD:
                 yield rows()
         yield rows()
 
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
-    counted = docs.select(*named, text_or_empty("text").alias("text")).mapInArrow(count, "lang string, source string, term string, n long, df long")
+    counted = docs.select(*named, text_or_empty("text").alias("text")).mapInArrow(count, "lang string, term string, df long, sources array<string>, counts array<long>")
     digest = F.xxhash64("term").bitwiseAND((1 << digest_bits) - 1 if digest_bits < 64 else -1)
-    return cut_lineage(counted.select("lang", "source", F.when(F.col("term").isNotNull(), digest).alias("digest"), "term", "n", "df"))
+    return cut_lineage(counted.select("lang", F.when(F.col("term").isNotNull(), digest).alias("digest"), "term", "df", "sources", "counts"))
 
 
 def _by_term(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """One row per term of a language in at least ``least`` documents, with its count in every source that has it."""
-    source = counts.groupBy("lang", "source", *keys).agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    """One row per term of a language in at least ``least`` documents, with its count in every source that has it.
+
+    Tasks have one row per term, so no key is hot: rows are dealt out by language and term once, both sums follow.
+    """
+    dealt = counts.repartition("lang", *keys).select("lang", *keys, F.posexplode(F.arrays_zip("sources", "counts")).alias("at", "e"), "df")
+    once = F.when(F.col("at") == 0, F.col("df")).otherwise(0)
+    source = dealt.groupBy("lang", *keys, F.col("e.sources").alias("source")).agg(F.sum("e.counts").alias("n"), F.sum(once).alias("df"))
     item = F.struct("source", "n")
     return source.groupBy("lang", *keys).agg(F.sum("df").alias("df"), F.sum("n").alias("total"), F.collect_list(item).alias("by")).where(F.col("df") >= least).drop("df")
 
@@ -75,7 +91,7 @@ def kept_terms(partial: DataFrame, least: int) -> DataFrame:
     string (``split``, else null). No term is lost: a shared digest has at least the documents of each of its terms.
     """
     counted = partial.where("digest is not null")
-    merged = cut_lineage(_by_term(counted.select("lang", "source", "digest", "n", "df"), ["digest"], least))
+    merged = cut_lineage(_by_term(counted.drop("term"), ["digest"], least))
     known = counted.select("lang", "digest", "term").join(merged.select("lang", "digest"), ["lang", "digest"], "left_semi")
     extremes = known.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
     shared = cut_lineage(extremes.where("low <> high").select("lang", "digest"))
@@ -112,19 +128,20 @@ def source_divergence(docs: DataFrame, least: int = 30, ranks: int = 50, digest_
     # Per language its number of kept terms and their occurrences, per source its occurrences: small tables.
     v = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all_n"))
     own = kept.select("lang", F.explode("by").alias("b")).groupBy("lang", F.col("b.source").alias("source")).agg(F.sum("b.n").alias("n"))
-    groups = partial.where("digest is null").select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(v, "lang", "left")
+    groups = partial.where("digest is null").select("lang", F.explode("sources").alias("source")).distinct().join(own, ["lang", "source"], "left").join(v, "lang", "left")
     groups = cut_lineage(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all_n", F.lit(0)).alias("all_n")))
 
-    # Pairs: the shares of all sources side by side per term; sums of their differences are formed before the shuffle.
-    # A source that lacks a term has the share of count 0.
-    sides = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n", "v"))).alias("sides"))
-    counts = F.map_from_entries("by")
-    share = F.transform("sides", lambda s: F.struct(s["source"].alias("source"), _share(F.coalesce(F.element_at("counts", s["source"]), F.lit(0)), s["n"], s["v"]).alias("p")))
-    shares = kept.select("lang", counts.alias("counts")).join(sides, "lang").select("lang", share.alias("shares"))
-    first = shares.select("lang", F.posexplode("shares").alias("at", "a"), "shares")
-    second = first.select("lang", "a", F.explode(F.slice("shares", F.col("at") + 2, F.size("shares"))).alias("b"))
-    far = second.groupBy("lang", F.col("a.source").alias("x"), F.col("b.source").alias("y")).agg(F.sum(F.abs(F.col("a.p") - F.col("b.p"))).alias("value"))
-    far = far.select("lang", F.explode(F.array(F.struct(F.col("x").alias("source"), F.col("y").alias("item")), F.struct(F.col("y").alias("source"), F.col("x").alias("item")))).alias("e"), "value").select("lang", "e.*", "value")
+    # Pairs: the shares of all sources side by side per term, as numbers in the order of the sources; sums of their
+    # differences are formed before the shuffle. A source that lacks a term has the share of count 0.
+    sides = cut_lineage(groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n", "v"))).alias("sides")))
+    share = F.transform("sides", lambda s: _share(F.coalesce(F.element_at("counts", s["source"]), F.lit(0)), s["n"], s["v"]))
+    shares = kept.select("lang", F.map_from_entries("by").alias("counts")).join(sides, "lang").select("lang", share.alias("p"))
+    first = shares.select("lang", "p", F.posexplode("p").alias("i", "a"))
+    second = first.select("lang", "i", "a", F.posexplode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("k", "b"))
+    far = second.groupBy("lang", "i", (F.col("i") + F.col("k") + 1).alias("j")).agg(F.sum(F.abs(F.col("a") - F.col("b"))).alias("value")).join(sides, "lang")
+    name = lambda at: F.col("sides")[F.col(at)]["source"]
+    both = F.array(F.struct(name("i").alias("source"), name("j").alias("item")), F.struct(name("j").alias("source"), name("i").alias("item")))
+    far = far.select("lang", F.inline(both), "value")
     names = groups.groupBy("lang").agg(F.collect_list("source").alias("names"))
     pairs = groups.select("lang", "source").join(names, "lang").select("lang", "source", F.explode("names").alias("item")).where("item <> source")
     met = pairs.join(far, ["lang", "source", "item"], "left")

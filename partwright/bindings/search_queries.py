@@ -14,20 +14,34 @@ from partwright.functions import numbers as nx
 from partwright.operators import search as se
 from partwright.operators import silhouette as si
 from partwright.plans import quality
+from partwright.sources import reference
 
 add = REGISTRY.add
-# (rank, table, row id, searched columns, summary columns): the first four tables count as the first database.
+# (rank, table, row id, searched columns, summary columns). The tables of the reference come first, in the order the
+# assistant asks them; then the driver's tables, whole texts included.
+REFERENCE_TARGETS = [
+    (1, "material", "id", ["grade", "gost_standard", "application", "chemical_composition"], ["grade", "gost_standard", "application", "machinability_index"]),
+    (2, "equipment_model", "id", ["model_name", "control_system"], ["model_name", "control_system"]),
+    (3, "tooling", "id", ["designation"], ["designation"]),
+    (4, "operation_type", "id", ["code", "name", "gost_code"], ["code", "name"]),
+    (5, "workpiece_type", "id", ["code", "name"], ["code", "name"]),
+    (6, "am_material", "id", ["trade_name"], ["trade_name"]),
+    (7, "am_technology", "id", ["code", "name"], ["code", "name"]),
+    (8, "printer_model", "id", ["model_name"], ["model_name"]),
+    (9, "part_application_class", "id", ["code", "name"], ["code", "name"]),
+]
 TARGETS = [
-    (1, "part", "p_partkey", ["p_name", "p_brand", "p_type"], ["p_name", "p_brand", "p_type"]),
-    (2, "supplier", "s_suppkey", ["s_name"], ["s_name", "s_nationkey"]),
-    (3, "nation", "n_nationkey", ["n_name"], ["n_name"]),
-    (4, "region", "r_regionkey", ["r_name"], ["r_name"]),
-    (5, "benchmark", "item_id", ["text"], ["item_id"]),
-    (6, "pages", "page_id", ["url"], ["url"]),
+    (10, "part", "p_partkey", ["p_name", "p_brand", "p_type"], ["p_name", "p_brand", "p_type"]),
+    (11, "supplier", "s_suppkey", ["s_name"], ["s_name", "s_nationkey"]),
+    (12, "nation", "n_nationkey", ["n_name"], ["n_name"]),
+    (13, "region", "r_regionkey", ["r_name"], ["r_name"]),
+    (14, "benchmark", "item_id", ["text"], ["item_id"]),
+    (15, "pages", "page_id", ["url", "html"], ["url"]),
+    (16, "documents", "doc_id", ["text"], ["lang", "source"]),
 ]
 FACT_SQL["idx"] = " UNION ALL ".join(
     f"SELECT {rank} AS table_rank, '{name}' AS table_name, CAST({key} AS BIGINT) AS row_id, lower({c}) AS text, concat_ws(' · ', {', '.join(s)}) AS summary FROM {name}"
-    for rank, name, key, cols, s in TARGETS for c in cols
+    for rank, name, key, cols, s in REFERENCE_TARGETS + TARGETS for c in cols
 )
 FACT_SQL["asked"] = f"SELECT DISTINCT conv_id, turn, unnest({q.keywords('text')}) AS keyword FROM conversations WHERE role = 'user'"
 FACT_SQL["kw_row"] = """SELECT keyword, table_rank, row_id FROM (SELECT DISTINCT keyword FROM asked) k JOIN (SELECT DISTINCT table_rank, row_id, text FROM idx) i
@@ -39,7 +53,8 @@ KEYS = ["conv_id", "turn"]
 
 
 def index(spark, d):
-    parts = [se.index_of(facts.read(spark, d, name), rank, name, key, cols, s) for rank, name, key, cols, s in TARGETS]
+    parts = [se.index_of(reference.load(spark, target[1]), *target) for target in REFERENCE_TARGETS]
+    parts += [se.index_of(facts.read(spark, d, name), rank, name, key, cols, s) for rank, name, key, cols, s in TARGETS]
     return reduce(DataFrame.unionByName, parts)
 
 

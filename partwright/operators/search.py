@@ -1,16 +1,22 @@
-"""Keyword search of many questions over many reference texts without a cross join.
+"""Keyword search of many questions over many texts, however long, without a cross join.
 
-Texts and keywords are reduced to distinct values first. A keyword meets only the texts that hold its
-rarest three-letter run; the candidate is then verified. Only the first rows per keyword and table can
-reach an answer, so each level keeps just those.
+Texts are not cut up. All distinct keywords form one automaton (in shares, where they are too many for one), and a
+single pass over the texts finds every keyword in each of them. Only the first rows per keyword and table can reach an
+answer, so a task hands on just those, and each later level keeps just its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwright.functions import text as tx
+from partwright.session import cut_lineage
 
 # ---- fixed values ---------------------------------------------------------------------------
 ROWS_PER_TABLE = 3
@@ -19,8 +25,10 @@ NO_MATCH_TEXT = "По вашему вопросу не найдено запис
 FOUND_TEXT = "По вашему вопросу найдено в базе НСИ"
 # ---------------------------------------------------------------------------------------------
 
-GRAM = 3
-ANY = "*"
+#: Keywords in one automaton: some 10 MB. Up to so many are handed to all tasks, more are dealt out in shares.
+KEYWORDS = 200_000
+#: What stands for any one letter in a keyword, as in SQL.
+ANY = "_"
 
 
 def index_of(table: DataFrame, rank: int, name: str, row_id: str, search: list[str], summary: list[str]) -> DataFrame:
@@ -37,48 +45,113 @@ def _first(df: DataFrame, keys: list[str], order: list[str], count: int) -> Data
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= count).drop("_rn")
 
 
-def distinct_texts(index: DataFrame) -> DataFrame:
-    """Distinct text per table with its first row ids."""
-    long = index.select("table_rank", "row_id", F.explode(F.array_distinct("texts")).alias("text"))
-    kept = _first(long, ["table_rank", "text"], ["row_id"], ROWS_PER_TABLE)
-    return kept.groupBy("table_rank", "text").agg(F.collect_list("row_id").alias("row_ids"))
-
-
-def text_grams(text: Column) -> Column:
-    """Distinct three-letter runs and letters of a text, and a mark every text has."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM)))
-    return F.array_distinct(F.concat(runs, F.split(text, ""), F.array(F.lit(ANY))))
-
-
-def keyword_grams(keyword: Column) -> Column:
-    """Runs a matching text must hold. ``_`` stands for any letter, so runs with it are left out; single
-    letters, and last the mark of every text, serve keywords without a full run."""
-    runs = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(keyword) - GRAM + 1, F.lit(1))), lambda i: F.substr(keyword, i, F.lit(GRAM))),
-        lambda g: ~g.contains("_") & (F.length(g) == GRAM),
-    )
-    letters = F.filter(F.split(keyword, ""), lambda g: (g != "_") & (g != ""))
-    return F.array_distinct(F.when(F.size(runs) > 0, runs).when(F.size(letters) > 0, letters).otherwise(F.array(F.lit(ANY))))
+class Finder:
+    """The first rows, per table, of texts that hold each of some keywords."""
+
+    def __init__(self, keywords: list[str]):
+        self.keywords = keywords
+        self.plain, self.wild, everywhere = ahocorasick.Automaton(), {}, []
+        at: dict[str, list[int]] = {}
+        for k, keyword in enumerate(keywords):
+            part = max(keyword.split(ANY), key=len)
+            if ANY in keyword:
+                self.wild[k] = re.compile(".".join(map(re.escape, keyword.split(ANY))), re.DOTALL)
+            if part:
+                at.setdefault(part, []).append(k)
+            else:
+                everywhere.append(k)
+        for part, held in at.items():
+            self.plain.add_word(part, held)
+        if at:
+            self.plain.make_automaton()
+        self.everywhere, self.empty = everywhere, not at
+        self.first: dict[tuple[int, int], list[int]] = {}
+
+    def read(self, rank: int, row_id: int, text: str) -> None:
+        held = set(self.everywhere)
+        if not self.empty:
+            for _, found in self.plain.iter(text):
+                held.update(found)
+        for k in held:
+            rows = self.first.setdefault((k, rank), [])
+            if row_id in rows or (len(rows) == ROWS_PER_TABLE and row_id > rows[-1]):
+                continue
+            if k in self.wild and not self.wild[k].search(text):
+                continue
+            rows.append(row_id)
+            rows.sort()
+            del rows[ROWS_PER_TABLE:]
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(self.keywords[k], rank, row_id) for (k, rank), rows in self.first.items() for row_id in rows]
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["keyword", "table_rank", "row_id"])
+
+
+FOUND = "keyword string, table_rank int, row_id long"
+
+
+def _one_automaton(words: list[str], texts: DataFrame) -> DataFrame:
+    """One pass over the texts where they lie; no shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(words)
+        for batch in batches:
+            for rank, row_id, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for text in own:
+                    finder.read(rank, row_id, text)
+        yield finder.rows()
+
+    return texts.mapInArrow(scan, FOUND)
+
+
+def _in_shares(words: DataFrame, count: int, texts: DataFrame) -> DataFrame:
+    """Keywords fall into shares of about ``KEYWORDS``; a slot has the keywords of one share and a slice of the texts, and
+    builds its automaton from the rows that come first. Texts are shuffled once per share."""
+    shares = -(-count // KEYWORDS)
+    slices = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("keyword"), F.lit(shares)).cast("int")
+    word = words.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), share.alias("share"), F.lit(0).alias("kind"), "keyword", F.lit(0).alias("table_rank"), F.lit(0).cast("long").alias("row_id"), F.lit(None).cast("array<string>").alias("texts"))
+    text = texts.select(F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("keyword"), "table_rank", "row_id", "texts")
+    slots = word.unionByName(text).repartition(slices * shares, "share", "slice").sortWithinPartitions("share", "slice", "kind")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, words, finder = None, [], None
+        for batch in batches:
+            for slice_, share, kind, keyword, rank, row_id, own in zip(*(batch.column(c).to_pylist() for c in ("slice", "share", "kind", "keyword", "table_rank", "row_id", "texts"))):
+                if (share, slice_) != slot:
+                    if finder is not None:
+                        yield finder.rows()
+                    slot, words, finder = (share, slice_), [], None
+                if kind == 0:
+                    words.append(keyword)
+                    continue
+                finder = finder or Finder(words)
+                for text in own:
+                    finder.read(rank, row_id, text)
+        if finder is not None:
+            yield finder.rows()
+
+    return slots.mapInArrow(scan, FOUND)
 
 
 def keyword_hits(keywords: DataFrame, index: DataFrame) -> DataFrame:
-    """First matching rows of every distinct keyword and table: ``keyword, table_rank, row_id``."""
-    words = keywords.select("keyword").distinct()
-    texts = distinct_texts(index)
-    grams = texts.select("table_rank", "text", "row_ids", F.explode(text_grams(F.col("text"))).alias("gram"))
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    asked = words.select("keyword", F.explode(keyword_grams(F.col("keyword"))).alias("gram"))
-    rarest = asked.join(common, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.coalesce("texts", F.lit(0))).alias("gram"))
-    candidates = rarest.join(grams, "gram")
-    fits = F.when(F.col("keyword").contains("_"), F.expr("text LIKE concat('%', keyword, '%')")).otherwise(F.col("text").contains(F.col("keyword")))
-    rows = candidates.where(fits).select("keyword", "table_rank", F.explode("row_ids").alias("row_id"))
-    return _first(rows.distinct(), ["keyword", "table_rank"], ["row_id"], ROWS_PER_TABLE)
+    """First matching rows of every distinct keyword and table: ``keyword, table_rank, row_id``.
+
+    A keyword matches a text that holds it; ``_`` in it stands for any letter.
+    """
+    words = cut_lineage(keywords.select("keyword").where(F.length("keyword") > 0).distinct())
+    texts = index.select(F.col("table_rank").cast("int").alias("table_rank"), "row_id", "texts")
+    count = words.count()
+    found = _one_automaton([r.keyword for r in words.collect()], texts) if count <= KEYWORDS else _in_shares(words, count, texts)
+    return _first(found.distinct(), ["keyword", "table_rank"], ["row_id"], ROWS_PER_TABLE)
 
 
 def search(questions: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """Up to three rows per table and six per question, in table order: ``keys, place, table_name, row_id, summary``."""
     asked = questions.select(*keys, F.explode(F.array_distinct(tx.keywords(F.col("question")))).alias("keyword"))
-    found = asked.join(keyword_hits(asked, index), "keyword").select(*keys, "table_rank", "row_id").distinct()
+    hits = cut_lineage(keyword_hits(asked, index))
+    found = asked.join(hits, "keyword").select(*keys, "table_rank", "row_id").distinct()
     per_table = _first(found, [*keys, "table_rank"], ["row_id"], ROWS_PER_TABLE)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("table_rank", "row_id"))
     top = per_table.withColumn("place", place).where(F.col("place") <= ROWS_PER_QUESTION)

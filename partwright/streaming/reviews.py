@@ -6,22 +6,21 @@ The checks join the stream with small reference sides only, so the plan is the o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from partwright.plans import review
 from partwright.streaming import runs
 
 
-def review_stream(spark: SparkSession, drawings: DataFrame) -> DataFrame:
-    """Findings of every submitted drawing. However late it comes, a drawing is reviewed; one that is submitted again
-    counts as it came in the first batch that has it."""
+def review_stream(spark: SparkSession, drawings: DataFrame, base: str | None = None) -> DataFrame:
+    """Findings of every submitted drawing, there to be read once its batch has ended. However late it comes, a drawing
+    is reviewed; one that is submitted again gives nothing.
 
-    def make(batch: DataFrame) -> dict[str, DataFrame]:
-        once = batch.dropDuplicates(["part_id"])
-        return {"findings": review.drawing_findings(spark, once), "seen": once.select("part_id")}
-
-    read = runs.run_available(drawings, "reviews", make)
+    The ids reviewed so far are the keyed state of the stream, in RocksDB; no batch reads what earlier ones wrote.
+    ``base`` is the folder of findings and state, to go on from an earlier run.
+    """
+    runs.with_state_store(spark)
+    read = runs.run_available(
+        drawings.dropDuplicates(["part_id"]), base or runs.new_folder(spark, "reviews"), lambda batch: {"findings": review.drawing_findings(spark, batch)}
+    )
     empty = spark.createDataFrame([], drawings.schema)
-    found = read("findings", review.drawing_findings(spark, empty).schema)
-    first = read("seen", empty.select("part_id").schema).groupBy("part_id").agg(F.min("batch").alias("batch"))
-    return found.join(first, ["part_id", "batch"], "left_semi").drop("batch")
+    return read("findings", review.drawing_findings(spark, empty).schema).drop("batch")

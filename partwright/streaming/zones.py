@@ -6,8 +6,13 @@ windows in which a zone was only offline hold the value of the window before.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from partwright.operators import sequences as seq
 from partwright.streaming import runs
@@ -52,12 +57,112 @@ def window_loads(readings: DataFrame) -> DataFrame:
     return merged_loads(partial_loads(readings))
 
 
-def load_stream(readings: DataFrame) -> DataFrame:
-    """Loads of every window, the last ones and late readings included: batches write parts of windows, the parts are
-    put together when read, and the last load is held over them."""
-    read = runs.run_available(readings, "zones", lambda batch: {"parts": partial_loads(batch)})
-    empty = readings.sparkSession.createDataFrame([], readings.schema)
-    return hold_last(merged_loads(read("parts", partial_loads(empty).schema)))
+class HeldLoads(StatefulProcessor):
+    """Windows of one zone as readings arrive: gives every window whose status or load is new or has changed.
+
+    A window keeps its last reading, its last valid reading and the load held before it, so that readings in order need
+    the newest window only. A late reading is entered where it belongs, and the windows after it that hold its load
+    are given again. With ``late`` set, windows the watermark has passed are closed by timers: they leave the state, but
+    for the load they hand on.
+    """
+
+    COLUMNS = "zone_id long, window_ms long, status string, load double"
+
+    def __init__(self, late: bool):
+        self.late = late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.windows = handle.getMapState("windows", "window_ms long", "at long, at_id long, status string, own_at long, own_id long, own_load double, before double")
+        #: The newest window there was, and the newest closed one, with the loads they hand on.
+        self.ends = handle.getValueState("ends", "newest long, newest_load double, closed long, closed_load double")
+
+    @staticmethod
+    def _load(window: tuple) -> float | None:
+        return window[6] if window[5] is None else window[5]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        met: dict[int, list] = {}
+        for frame in rows:
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            for at, at_id, status, load in zip(micros.tolist(), frame["reading_id"].tolist(), frame["status"].tolist(), frame["load"].tolist()):
+                start = at // (WINDOW_MS * 1000) * WINDOW_MS
+                own = met.setdefault(start, [None, None])
+                if own[0] is None or (at, at_id) > own[0][:2]:
+                    own[0] = (at, at_id, status)
+                if status != OFFLINE and (own[1] is None or (at, at_id) > own[1][:2]):
+                    own[1] = (at, at_id, None if pd.isna(load) else min(LOAD_MAX, max(LOAD_MIN, load)))
+        ends = tuple(self.ends.get()) if self.ends.exists() else (None, None, None, None)
+        changed = sorted(met)
+        late = ends[0] is not None and changed[0] < ends[0]
+        order = sorted(k[0] for k in self.windows.keys()) if late else []
+        before = ends[1]
+        if late:
+            earlier = [k for k in order if k < changed[0]]
+            before = self._load(tuple(self.windows.getValue((earlier[-1],)))) if earlier else ends[3]
+        todo = sorted({*changed, *(k for k in order if k >= changed[0])})
+        out, newest = [], ends[:2]
+        for at in todo:
+            old = tuple(self.windows.getValue((at,))) if self.windows.containsKey((at,)) else None
+            if old is not None and not late:
+                before = old[6]
+            last, valid = met.get(at, (None, None))
+            now = list(old or (None,) * 7)
+            if last is not None and (old is None or last[:2] > old[:2]):
+                now[:3] = last
+            if valid is not None and (old is None or old[3] is None or valid[:2] > old[3:5]):
+                now[3:6] = valid
+            now[6] = before
+            new = tuple(now)
+            before = self._load(new)
+            if new != old:
+                self.windows.updateValue((at,), new)
+            if old is None or (old[2], self._load(old)) != (new[2], before):
+                out.append((key[0], at, new[2], before))
+            if old is None and self.late:
+                self.handle.registerTimer(at + WINDOW_MS)
+            if newest[0] is None or at >= newest[0]:
+                newest = (at, before)
+        self.ends.update((*newest, *ends[2:]))
+        yield pd.DataFrame(out, columns=["zone_id", "window_ms", "status", "load"]).astype({"load": "Float64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start = expiredTimerInfo.getExpiryTimeInMs() - WINDOW_MS
+        if self.windows.containsKey((start,)):
+            window = tuple(self.windows.getValue((start,)))
+            ends = tuple(self.ends.get())
+            if start != ends[0]:
+                self.windows.removeKey((start,))
+            if ends[2] is None or start > ends[2]:
+                self.ends.update((*ends[:2], start, self._load(window)))
+        yield pd.DataFrame({"zone_id": [], "window_ms": [], "status": [], "load": []}).astype({"zone_id": "int64", "window_ms": "int64", "status": "str", "load": "Float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_loads(readings: DataFrame, late: str | None = None) -> DataFrame:
+    """A stream of ``zone_id, window_ms, status, load``: windows as they begin and whenever their status or load changes,
+    the load held from the windows before included. State is kept per zone. Without ``late`` no reading is too late
+    and all windows stay in the state (on disk); with it (an interval) windows close behind the watermark."""
+    runs.with_state_store(readings.sparkSession)
+    timed = readings if late is None else readings.withWatermark("ts", late)
+    keyed = timed.select(F.col("zone_id").cast("long").alias("zone_id"), "ts", F.col("reading_id").cast("long").alias("reading_id"), "status", F.col("load").cast("double").alias("load"))
+    return keyed.groupBy("zone_id").transformWithStateInPandas(HeldLoads(late is not None), HeldLoads.COLUMNS, "Update", "None" if late is None else "EventTime")
+
+
+def load_stream(readings: DataFrame, base: str | None = None, late: str | None = None) -> DataFrame:
+    """Loads of every window as far as the stream has come, readable after every batch; ``base`` is the folder of results
+    and state, to go on from an earlier run. A window given several times counts as given last."""
+    spark = readings.sparkSession
+    read = runs.run_available(changed_loads(readings, late), base or runs.new_folder(spark, "zones"), lambda batch: {"loads": batch}, "update")
+    return latest_loads(read)
+
+
+def latest_loads(read) -> DataFrame:
+    given = read("loads", T.StructType.fromDDL(HeldLoads.COLUMNS))
+    newest = given.groupBy("zone_id", "window_ms").agg(F.max_by(F.struct("status", "load"), "batch").alias("l"))
+    return newest.select("zone_id", "window_ms", "l.status", "l.load")
 
 
 def hold_last(loads: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from partwright.functions import numbers as nx
 from partwright.operators import features as ft
 from partwright.operators import sequences as seq
 from partwright.operators import toolpath as tp
+from partwright.session import cut_lineage
 
 add = REGISTRY.add
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
@@ -180,7 +181,7 @@ def _(spark, d):
 
 
 def part_features(spark, d):
-    table = faces(spark, d)
+    table = cut_lineage(faces(spark, d))  # read four times
     holes = ft.holes(table, face_boxes(table)).select("part_id", "face_id", F.lit("hole").alias("feature"), F.col("diameter_mm").alias("size_mm"), F.col("through").alias("flag"))
     flats = ft.millable_faces(table).select("part_id", "face_id", F.lit("facing").alias("feature"), F.col("z_height_mm").alias("size_mm"), F.col("normal_up").alias("flag"))
     kept = ft.part_summary(table).where("NOT revolved").select("part_id")
@@ -252,7 +253,7 @@ def _(spark, d):
 @add("p16_path_statistics", """SELECT plan_id, op_no, start_step, end_step, CAST(printf('%.6f', length_mm) AS DOUBLE) AS length_mm, CAST(printf('%.2f', length_mm / 120) AS DOUBLE) AS time_min
     FROM op_ranges JOIN (SELECT plan_id, op_no, coalesce(sum(len), 0) AS length_mm FROM segs GROUP BY ALL) USING (plan_id, op_no)""")
 def _(spark, d):
-    table = moves(spark, d)
+    table = cut_lineage(moves(spark, d))  # read twice
     lengths = tp.path_lengths(table)
     return tp.step_ranges(table).join(lengths, ["plan_id", "op_no"]).select(
         "plan_id", "op_no", "start_step", "end_step", nx.exact_round(F.col("length_mm"), 6).alias("length_mm"),

@@ -29,7 +29,9 @@ SOFTWARE = r"(?iu)'(SolidWorks[^']*|C3D[^']*|КОМПАС[^']*|ASCON[^']*)'"
 # -----------------------------------------------------------------------------------------------
 
 
-ENTITY = "|".join(f"(?:{p})" for p in [POINT, FACE, STYLED_ITEM, *STYLE_CHAIN, COLOUR])
+_ID = r"#(\d+)\s*=\s*"
+#: Any of them; what all numbered ones begin with is matched once, not once per pattern.
+ENTITY = rf"{POINT}|{_ID}(?:{'|'.join(p.removeprefix(_ID) for p in [FACE, STYLED_ITEM, *STYLE_CHAIN, COLOUR])})"
 
 
 def entities(files: DataFrame) -> DataFrame:

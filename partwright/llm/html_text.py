@@ -33,7 +33,7 @@ DROPPED = {
     "head", "script", "style", "noscript", "template", "iframe", "object", "embed", "applet", "svg", "canvas", "nav", "aside", "footer", "form", "button", "select", "input",
     "textarea", "label", "fieldset", "dialog", "menu", "audio", "video", "title", "noframes", "noembed", "xmp", "annotation", "annotation-xml",
 }
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "form", "menu", "menubar", "toolbar"}
 UNWANTED = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "adbox", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist",
     "consent", "cookie", "cookies", "disclaimer", "disqus", "feedback", "footer", "form", "gdpr", "login", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification",
@@ -41,24 +41,47 @@ UNWANTED = {
     "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "taboola", "tags", "toolbar", "topbar", "tracking", "warning", "widget", "widgets", "alert", "discussion",
 }
 WANTED = {"article", "articlebody", "body", "content", "entry", "main", "maincontent", "post", "story", "text", "prose"}
+#: Names that stand for what is no part of an article, wherever it is, and words that only say what such a part is made of.
+APART = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "adbox", "banner", "banners", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies",
+    "disqus", "gdpr", "login", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "recommended",
+    "replies", "respond", "share", "sharing", "shoutbox", "sidebar", "signup", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "widgets",
+}
+MADE_OF = {
+    "area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "card", "cards", "container", "form", "footer", "header", "icons", "inline", "inner", "item", "items", "left", "link", "links", "list", "media", "mobile", "outer",
+    "page", "panel", "posts", "related", "right", "section", "site", "slot", "stories", "thread", "tools", "top", "unit", "wrap", "wrapper", "zone",
+}
+#: Two words that together name a list of other pages.
+OTHERS, PAGES = {"related", "popular", "trending"}, {"posts", "articles", "stories", "links", "news"}
 NEVER = {"html", "body", "article", "main"}
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Ends of clauses and sentences.
+MARKS = re.compile("[.,;!?،、，。！？]")
 #: What text inside an element of unwanted names counts for.
 SHADE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint", "doubtful", "whole")
+    __slots__ = ("tag", "up", "kids", "gone", "points", "chars", "linked", "hint", "doubtful", "whole", "named", "apart", "size", "links", "marks")
 
-    def __init__(self, tag: str, up: "Node | None", gone: bool = False, hint: float = 0.0, doubtful: bool = False):
-        self.tag, self.up, self.gone, self.hint, self.doubtful = tag, up, gone, hint, doubtful
+    def __init__(self, tag: str, up: "Node | None", gone: bool = False, hint: float = 0.0, named: bool = False, apart: bool = False):
+        self.tag, self.up, self.gone, self.hint, self.named, self.apart = tag, up, gone, hint, named, apart
+        #: Whether it or something around it has unwanted names only.
+        self.doubtful = named or up is not None and up.doubtful
         self.kids: list[Node | str] = []
+        self.size = self.links = self.marks = 0.0
         self.points = self.whole = self.chars = self.linked = 0.0
 
 
-def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float, bool]:
-    """Whether an element is left out with all it holds, points for its names, and whether only unwanted ones are there."""
-    doubtful = False
+def _words(value: str) -> list[list[str]]:
+    """The words of each name in a ``class`` or ``id``."""
+    return [[w for w in NAME_PARTS.split(CAMEL.sub("-", name).lower()) if w] for name in html.unescape(value).split()]
+
+
+def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float, bool, bool]:
+    """Whether an element is left out with all it holds, points for its names, whether only unwanted ones are there, and
+    whether they leave no doubt (one consists of ``APART`` words and of words for what it is made of or beside)."""
+    named = apart = False
     if tag in NEVER:
         gone, hint = False, 25.0 if tag in ("article", "main") else 0.0
     elif tag == "header":
@@ -66,19 +89,25 @@ def _judge(tag: str, attrs: str, inside: set[str]) -> tuple[bool, float, bool]:
     else:
         gone, hint = tag in DROPPED, 0.0
     if attrs.strip() and tag not in ("html", "body"):
-        names: list[str] = []
+        names: list[list[str]] = []
         for name, a, b, c in ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                names += NAME_PARTS.split(CAMEL.sub("-", html.unescape(value)).lower())
+                names += _words(value)
+            elif name == "role" and value.lower() == "alert":
+                names.append(["alert"])
             elif name == "role" and value.lower() in ROLES or name in ("hidden",) or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 gone = gone or tag not in NEVER
-        bad, good = UNWANTED & set(names), WANTED & set(names)
-        if "header" in names and not inside & {"article", "main"}:
+        words = {w for name in names for w in name}
+        bad, good = UNWANTED & words, WANTED & words
+        if "header" in words and not inside & {"article", "main"}:
             bad = bad | {"header"}
-        doubtful = bool(bad) and not good and (tag not in NEVER or tag == "article")
+        named = bool(bad) and not good and (tag not in NEVER or tag == "article")
+        known = APART | MADE_OF | WANTED
+        praised = any(WANTED & set(n) and not APART & set(n) for n in names)
+        apart = not praised and tag != "main" and any(APART & set(n) and known.issuperset(n) or OTHERS & set(n) and PAGES & set(n) for n in names)
         hint += 25.0 * bool(good) - 25.0 * bool(bad)
-    return gone, hint, doubtful
+    return gone, hint, named, apart
 
 
 def parse(page: str) -> Node:
@@ -125,8 +154,7 @@ def parse(page: str) -> Node:
             while up is not root:
                 inside.add(up.tag)
                 up = up.up
-        gone, hint, doubtful = _judge(name, m["attrs"], inside)
-        node = Node(name, now, gone, hint, doubtful or now.doubtful)
+        node = Node(name, now, *_judge(name, m["attrs"], inside))
         now.kids.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -196,7 +224,9 @@ def main_text(page: str) -> str:
     an ``article`` stands for that article. Within a ``main``, an ``article`` is taken instead if it scores above the
     ``main`` without it, and so is a container of wanted names if only headings and doubtful text stand beside it. The
     best one is kept with those siblings that score at least a fifth of it or are paragraphs that read like text, and
-    with the headings before it; all blocks of what is kept are returned, linked ones too.
+    with the headings before it. All blocks of what is kept are returned, linked ones too, but for those of elements
+    within it that are no headings and whose names leave no doubt (``apart``: comments, adverts, sharing, menus, notices,
+    ...) or are unwanted while their text is linked for the most part or has hardly a sentence.
     """
     found = blocks(parse(page))
     if not found:
@@ -213,6 +243,12 @@ def main_text(page: str) -> str:
             node.chars += len(text)
             node.linked += len(text) * link
             node, level = node.up, level + 1
+        marks, node = len(MARKS.findall(text)), owner
+        while node is not None:
+            node.size += len(text)
+            node.links += len(text) * link
+            node.marks += marks
+            node = node.up
     if not holders:
         return "\n".join(text for _, text, _ in found)
 
@@ -252,11 +288,18 @@ def main_text(page: str) -> str:
         elif beside is not None and id(kid) in holders and score(kid) >= floor:
             kept.add(id(kid))
 
+    def boilerplate(node: Node) -> bool:
+        if node.tag in HEADS:
+            return False
+        return node.apart or node.named and (node.links > 0.4 * node.size or node.marks * 200 < node.size)
+
     def wanted(owner: Node, text: str, link: float) -> bool:
         node = owner
         while node is not None:
             if id(node) in kept:
                 return True
+            if boilerplate(node):
+                return False
             node = node.up
         # A paragraph beside the best container.
         return (doubted or not owner.doubtful) and owner.tag in ("p", "h1") and owner.up is beside is not None and (owner.tag == "h1" or link < 0.25 and len(text) > 80)

@@ -94,6 +94,41 @@ def test_linked_blocks_of_the_article_are_kept():
         assert [lines[0], *lines[2:]] == ["Title", "One link only", "First reference", "Second"], shell
 
 
+READERS = "<p>I, for one, do not agree with this, and I have read it twice.</p><p>Thank you, this was, as ever, a pleasure to read.</p>"
+BOILERPLATE = [
+    f"<section class=comments id=comments><h3>Comments</h3>{READERS}</section>", f"<ol class='comment-list'><li><article class=comment>{READERS * 2}</article></li></ol>", f"<div id=disqus_thread>{READERS}</div>",
+    f"<article class=comment>{READERS}</article>", f"<div class=post-comments>{READERS}</div>", "<div class=ad>Buy now, while it is cheap, and tell your friends.</div>", "<div class=advert><p>Buy now, today, here.</p></div>",
+    "<div class=ad-slot-top>Advertisement</div>", "<div class='share social'><a href=x>Share</a> <a href=y>Send</a></div>", "<ul class=share-buttons><li>Share</li><li>Send</li></ul>",
+    "<div class=newsletter><h4>Stay informed</h4><p>Join our letter, it is free, and leave whenever you want.</p></div>", "<div class=newsletter-signup-box><p>Join us, please.</p></div>",
+    "<p class=cookie-notice>We use cookies, as everybody does, to make this site better.</p>", "<div class=notice>This site moves, on Monday, to a new address.</div>", "<div class=pagination>1 2 3 4</div>", "<div class=breadcrumbs>Home / News</div>",
+    "<div class=related><ul><li><a href=a>A first story to read</a></li><li><a href=b>A second story, to read after it</a></li></ul></div>", "<div class=related-posts><p>A story, and another story.</p></div>", "<div class=tags>one two three</div>",
+    "<div class=sidebar><p>About us, briefly, and where we are.</p></div>", "<div class=widget><p>The weather, today, is fine.</p></div>", "<ul class=menu><li>Home</li><li>News</li></ul>", "<div role=navigation>Home</div>", "<aside>Elsewhere, too.</aside>",
+    "<form><p>Name, please.</p></form>", "<div hidden>Not shown, at all.</div>", "<div style='display: none'>Not shown, at all.</div>", "<div class=login-form>Enter your name, and then your word.</div>",
+]
+
+
+def test_boilerplate_inside_the_article_is_left_out():
+    text = "\n".join(["Title", LONG[3:-4].strip(), LONG[3:-4].strip()])
+    for shell in ("<article><h1>Title</h1>{p}{x}{p}</article>", "<div class=content><h1>Title</h1>{p}{p}{x}</div>", "<main><h1>Title</h1><div>{p}{x}{p}</div></main>", "<div class='post-content has-sidebar'>{x}<h1>Title</h1>{p}{p}</div>"):
+        for x in [*BOILERPLATE, "".join(BOILERPLATE)]:
+            assert main_text(f"<html><body>{shell.format(p=LONG, x=x)}</body></html>") == text, (shell, x)
+
+
+def test_boilerplate_beside_the_article_is_left_out():
+    text = "\n".join(["Title", LONG[3:-4].strip(), LONG[3:-4].strip()])
+    for x in [*BOILERPLATE, "".join(BOILERPLATE)]:
+        assert main_text(f"<html><body><div>{x}<article><h1>Title</h1>{LONG * 2}</article>{x}</div></body></html>") == text, x
+
+
+def test_doubtful_names_with_sentences_stay():
+    said = "A sentence, and what follows from it, in full length. And a second one, to be sure."
+    for x in (f"<p class=warning>{said}</p>", f"<section id=discussion><p>{said}</p></section>", f"<section id=related-work><p>{said}</p></section>", f"<div role=alert><p>{said}</p></div>", f"<div class=comments-on-theory><p>{said}</p></div>",
+              f"<div id=search><p>{said}</p></div>", f"<div class=disclaimer>{said}</div>"):
+        assert said in main_text(f"<article><h1>Title</h1>{LONG}{x}</article>").split("\n"), x
+    for head in ("<h2 id=comments>Remarks</h2>", "<h2 class=share>Remarks</h2>", "<h3 id=related-work>Remarks</h3>"):
+        assert "Remarks" in main_text(f"<article><h1>Title</h1>{head}{LONG}</article>").split("\n")
+
+
 def test_article_and_main_are_ranked_with_the_others():
     long = LONG[3:-4].strip()
     card = "<article><h3>Card</h3><p>A teaser.</p></article>"
@@ -133,8 +168,8 @@ def test_odd_pages(spark):
 
 def test_registration():
     names = __spark_entry__.queries()
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")]
-    assert len(QUERIES) == 10 and "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == [n for k in range(1, 14) for n in QUERIES if n.startswith(f"op{k}_")]
+    assert len(QUERIES) == 13 and "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
 
 
 def test_pipeline_stage_by_stage(spark):

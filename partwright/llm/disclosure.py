@@ -21,7 +21,7 @@ KINDS = {
 }
 #: What every line with an ip, card or phone has.
 NUMBERS = r"[0-9][\x20().0-9-]{5}"
-TERM = r"[\p{L}\p{M}]{4,}"
+TERM = r"[\p{L}\p{M}]+"
 ORDER = [*KINDS, "term"]
 #: A part of an ip: at most 255, leading zeros allowed.
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -67,17 +67,22 @@ def private_spans(docs: DataFrame, alpha: float = 0.9, support: int = 2, id_col:
     document.
 
     Base kinds are matches of fixed patterns that pass their checks; no match crosses a line. They are the protected
-    values. A term (four letters or more) gives a value away if the pointwise mutual information of the two over all
-    lines of the corpus is at least ``alpha`` times the information of the value, and they meet in at least
-    ``support`` lines of different wording, so that copies of one line prove nothing. Such terms are spans of kind
-    ``term`` wherever they occur outside base spans in documents with the value; ``value`` is then the term.
+    values. A term (a run of letters of any length) meets a value in a line that holds the term if the value stands there
+    or in the line before or after it. It gives the value away if the pointwise mutual information of the two over all
+    lines of the corpus (the term in the line, the value there or beside it) is at least ``alpha`` times the information
+    of the value, and they meet in at least ``support`` lines of different wording (the lines beside them included), so
+    that copies of one place prove nothing. Such terms are spans of kind ``term`` wherever they occur outside base spans
+    in documents with the value; ``value`` is then the term.
 
     Lines of all documents count. Term frequencies are summed map-side before the shuffle, so a term or line of any
     frequency is one small row per task. Null texts are empty. Rows equal in id and text are one document here; a
     null id is allowed. Tables without rows give none; further columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    lines = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), "text")
+    split = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("lines"), "text")
+    n, edge = F.size("lines") - 1, F.array(F.lit(""))
+    beside = F.arrays_zip(F.col("lines").alias("line"), F.concat(edge, F.slice("lines", F.lit(1), n)).alias("above"), F.concat(F.slice("lines", F.lit(2), n), edge).alias("below"))
+    lines = split.select("doc_id", "text_hash", F.posexplode(beside).alias("pos", "l"), "text").select("doc_id", "text_hash", "pos", "l.*", "text")
     likely = F.col("text").contains("@") | F.col("text").rlike(NUMBERS)
     own = ["doc_id", "text_hash", "pos"]
     line_start = F.coalesce(F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id", "text_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -94,13 +99,16 @@ def private_spans(docs: DataFrame, alpha: float = 0.9, support: int = 2, id_col:
         right = right | ((F.col("kind") == kind) & _holds(kind, F.col("hit")))
     spans = _placed(found, own).where(right)
     value = F.when(F.col("kind") == "email", F.lower("hit")).when(F.col("kind") == "ip", F.col("hit")).otherwise(F.regexp_replace("hit", "[^0-9]", ""))
-    spans = cut_lineage(spans.withColumn("value", value).withColumn("wording", F.xxhash64("line")).select(*own, "kind", "start", "end", "value", "wording"))
+    spans = cut_lineage(spans.withColumn("value", value).select(*own, "kind", "start", "end", "value"))
 
-    # Lines in which a value and a term meet, of one wording or another.
+    # Lines at which a value and a term meet, of one wording or another.
     entity = F.xxhash64("kind", "value").alias("entity")
-    meets = spans.select(*own, entity, "wording").distinct()
-    words = held.select(*own, F.explode(_terms(F.col("line"))).alias("term"))
-    joint = meets.join(words, own).groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("wording").alias("wordings")).where(F.col("wordings") >= support)
+    around = F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1))
+    at_lines = held.select(*own, F.xxhash64("above", "line", "below").alias("wording"), "line")
+    near = spans.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), around.alias("p"), entity).distinct()
+    meets = cut_lineage(at_lines.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("pos") == F.col("p"))).select("entity", "wording", "line"))
+    joint = meets.select("entity", "wording", F.explode(_terms(F.col("line"))).alias("term"))
+    joint = joint.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("wording").alias("wordings")).where(F.col("wordings") >= support)
     joint = cut_lineage(joint.withColumn("t", F.xxhash64("term")))
     values = meets.groupBy("entity").agg(F.count("*").alias("with_value"))
     counted = base.select(F.explode(F.split("text", "\n", -1)).alias("line"))
@@ -113,7 +121,6 @@ def private_spans(docs: DataFrame, alpha: float = 0.9, support: int = 2, id_col:
     # Their places in the documents that have the value.
     doc = ["doc_id", "text_hash"]
     in_doc = spans.select(*doc, entity).distinct().join(telling, "entity").select(*doc, "term").distinct()
-    same = lambda a, b: (a["doc_id"].eqNullSafe(b["doc_id"])) & (a["text_hash"] == b["text_hash"])
     wanted = in_doc.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set("term").alias("terms"))
     read = held.join(wanted, held["doc_id"].eqNullSafe(F.col("d")) & (held["text_hash"] == F.col("h"))).where(F.arrays_overlap(_terms(F.col("line")), "terms"))
     at = read.select(*own, "line_start", "terms", F.explode(_matches("term", F.col("line"), TERM)).alias("m")).select(*own, "line_start", "terms", "m.*")

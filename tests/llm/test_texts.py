@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -111,8 +112,8 @@ def test_base_spans_and_no_terms_in_copies(odd, none, spark):
 
 def test_terms_that_give_a_value_away(spark):
     mail = "jo@x.org"
-    lines = [f"Zorblax wrote to {mail} on day {w}" for w in ("one", "two", "six")] + [f"nobody wrote a line about {w}" for w in ("rain", "wind", "snow", "hail", "dust", "heat")]
-    docs = spark.createDataFrame(list(enumerate(lines)) + [(50, f"Zorblax again, and {mail} too")], "doc_id long, text string")
+    lines = [f"Zorblax wrote to {mail} on day {w}" for w in ("one", "two", "six")] + [f"nobody wrote to us on a day of {w}" for w in ("rain", "wind", "snow", "hail", "dust", "too")]
+    docs = spark.createDataFrame(list(enumerate(lines)) + [(50, f"Zorblax wrote {mail} too")], "doc_id long, text string")
     found = [(r.doc_id, r.start, r.end, r.value) for r in private_spans(docs, alpha=0.9).where("kind = 'term'").collect()]
     assert sorted(found) == [(0, 0, 7, "zorblax"), (1, 0, 7, "zorblax"), (2, 0, 7, "zorblax"), (50, 0, 7, "zorblax")]
     # Counted by hand: value and term meet in 4 of 10 lines, each occurs in 4.
@@ -122,6 +123,81 @@ def test_terms_that_give_a_value_away(spark):
     assert private_spans(copies).where("kind = 'term'").count() == 0
 
 
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    """Base spans as the contract writes them: ``start, end, kind, value``."""
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            if kind == "card" and (not 12 <= len(digits) <= 19 or sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10):
+                continue
+            out.append((m.start(), m.end(), kind, m[0].lower() if kind == "email" else m[0] if kind == "ip" else digits))
+    return out
+
+
+def plain_terms(docs, alpha, support):
+    """Terms by counting, in every line, the values in it and beside it."""
+    words = lambda text: regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    total, with_value, with_term, both, wordings = 0, defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(set)
+    for text in docs.values():
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            total += 1
+            near = [lines[k - 1] if k else "", line, lines[k + 1] if k + 1 < len(lines) else ""]
+            values, found = {s[2:] for x in near for s in plain_spans(x)}, set(words(line))
+            for w in found:
+                with_term[w] += 1
+            for v in values:
+                with_value[v] += 1
+                for w in found:
+                    both[v, w] += 1
+                    wordings[v, w].add(tuple(near))
+    telling = {
+        (v, w) for (v, w), n in both.items() if len(wordings[v, w]) >= support and with_value[v] < total
+        and math.log(n * total / (with_term[w] * with_value[v])) >= alpha * math.log(total / with_value[v]) - 1e-12
+    }
+    out = set()
+    for i, text in docs.items():
+        base = plain_spans(text)
+        mine = {w for v, w in telling if v in {s[2:] for s in base}}
+        for m in regex.finditer(r"[\p{L}\p{M}]+", text):
+            if m[0].lower() in mine and not any(m.start() < e and m.end() > s for s, e, _, _ in base):
+                out.add((i, m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def test_spans_against_a_plain_scan(spark):
+    r = random.Random(7)
+    part = ["a@b.co", "x.y", "@", ".", "+1", "4111 1111 1111 1111", "10.0.0.1", "999.1.1.1", "7", " ", "-", "(", ")", "555", "\n", "é", "漢", "Ab", "%", "4242-4242-4242-4242", "1.2.3.4.5"]
+    docs = {i: "".join(r.choice(part) for _ in range(r.randint(0, 30))) for i in range(2500)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {(x.doc_id, x.start, x.end, x.kind, x.value) for x in private_spans(df).where("kind <> 'term'").collect()}
+    assert got == {(i, *s) for i, text in docs.items() for s in plain_spans(text)} and len(got) > 500
+
+
+def test_terms_against_counting(spark):
+    r = random.Random(8)
+    people = [("Ann Lee", "ann.lee@x.org"), ("李明", "lm@y.cn"), ("Bo", "+1 555 123 4567"), ("Chris Long", "chris@z.net")]
+    filler = ["the plan is good", "we met at noon", "it rains", "a b c", "Lee wind", ""]
+    docs = {}
+    for i in range(120):
+        lines = [r.choice(filler) + f" {r.choice('pqrs')}" for _ in range(r.randint(1, 5))]
+        if r.random() < 0.4:
+            name, address = r.choice(people)
+            lines += [f"{name}", f"{r.choice(['', 'write to '])}{address}"] if r.random() < 0.7 else [f"{name} has {address}"]
+        docs[i] = "\n".join(lines)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for alpha, support in ((0.9, 2), (0.6, 3)):
+        got = {(x.doc_id, x.start, x.end, x.value) for x in private_spans(df, alpha=alpha, support=support).where("kind = 'term'").collect()}
+        assert got == plain_terms(docs, alpha, support)
+        assert {"ann", "李明", "bo"} <= {x[3] for x in got}
+
+
 def test_long_runs_do_not_blow_up(spark):
     texts = ["a" * 200_000 + "@", "1." * 50_000, "1 " * 50_000, "a@b" + ".c" * 50_000, "+1" + " " * 50_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -196,9 +196,11 @@ def _(spark, d):
     UNION ALL SELECT u.id, e.parent_id, u.depth + 1 FROM up u JOIN equipment_type e ON e.id = u.parent_id WHERE e.parent_id IS NOT NULL)
     SELECT p.p_partkey AS part_id, u.parent_id AS ancestor_id, u.depth FROM part p JOIN up u ON u.id = 1 + p.p_partkey % 11""")
 def _(spark, d):
-    parents = load(spark, "equipment_type").where("parent_id IS NOT NULL").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
-    ancestors = settle(graph.closure(spark, parents)).select(F.col("src").alias("equipment_type_id"), F.col("dst").alias("ancestor_id"), "depth")
+    """Ancestors by their tours: an interval per node is kept, not the pairs."""
+    tours = settle(graph.euler_tours(load(spark, "equipment_type").select(F.col("id").alias("node"), F.col("parent_id").alias("parent"))))
     parts = facts.read(spark, d, "part").select(F.col("p_partkey").alias("part_id"), (1 + F.col("p_partkey") % 11).alias("equipment_type_id"))
+    found = graph.above(tours, parts.select(F.col("equipment_type_id").alias("node")))
+    ancestors = found.select(F.col("node").alias("equipment_type_id"), F.col("ancestor").alias("ancestor_id"), "depth")
     return lookup(parts, ancestors, "equipment_type_id", "inner").select("part_id", "ancestor_id", "depth")
 
 

@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partwright.session import cut_lineage
 
+class CycleError(ValueError):
+    """A hierarchy in which something is above itself."""
+
+
 #: Edges a task unites at once.
 EDGES = 2_000_000
 
@@ -133,6 +137,54 @@ def connected(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return stars.unionByName(stars.select(*keys, F.col("component").alias("node"), "component").distinct())
 
 
+def euler_tours(nodes: DataFrame) -> DataFrame:
+    """``node, root, enter, leave, depth`` of every row of ``nodes(node, parent)``; ``parent`` is null at a root.
+
+    The tour around a tree goes down to the first child by id, on to the next sibling when a child is done, and up after
+    the last; every node is entered and left once. Each step knows the next one, and the places of all steps come from
+    pointer jumping: every round doubles how far a step sees, so a chain of n nodes takes about log n rounds, each one
+    join of a table in the shared folder. ``above`` then asks two numbers; no pair of nodes is stored.
+
+    Node ids are unique; a parent that is no node is an error of the caller. Cycles raise ``CycleError``.
+    """
+    step = lambda node, leaving: F.struct(F.col(node).alias("node"), F.lit(leaving).alias("leaving"))
+    beside = Window.partitionBy("parent").orderBy("node")
+    sibling = nodes.where("parent is not null").select("node", "parent", F.lead("node").over(beside).alias("sibling"))
+    child = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.min("node").alias("child"))
+    linked = nodes.join(child, "node", "left").join(sibling.select("node", "sibling"), "node", "left")
+    down = F.struct(step("node", False).alias("at"), F.when(F.col("child").isNotNull(), step("child", False)).otherwise(step("node", True)).alias("to"), F.lit(1).cast("long").alias("w"))
+    up = F.struct(step("node", True).alias("at"), F.when(F.col("sibling").isNotNull(), step("sibling", False)).when(F.col("parent").isNotNull(), step("parent", True)).alias("to"), F.lit(-1).cast("long").alias("w"))
+    # ``far`` steps and ``w`` levels lie between ``at`` and ``to``, which is null once the end of the tour is in sight.
+    tour = linked.select(F.inline(F.array(down, up))).select("at", "to", F.lit(1).cast("long").alias("far"), "w", F.col("at").alias("last"))
+    tour = cut_lineage(tour)
+    reach, count = 1, tour.count()
+    while not tour.where("to is not null").isEmpty():
+        if reach > count:
+            raise CycleError("the hierarchy has a cycle")
+        ahead = tour.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
+        met = tour.join(ahead, "to", "left")
+        seen = F.col("to").isNotNull()
+        tour = cut_lineage(met.select(
+            "at", F.when(seen, F.col("to2")).alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
+            (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.when(seen, F.col("last2")).otherwise(F.col("last")).alias("last"),
+        ))
+        reach *= 2
+    # What is left to the end of the tour is turned round: places count down from it.
+    at = tour.groupBy(F.col("at.node").alias("node")).agg(
+        F.max(F.when(~F.col("at.leaving"), -F.col("far"))).alias("enter"), F.max(F.when(F.col("at.leaving"), -F.col("far"))).alias("leave"),
+        F.max(F.when(~F.col("at.leaving"), -F.col("w"))).alias("depth"), F.max("last.node").alias("root"),
+    )
+    return at.select("node", "root", "enter", "leave", "depth")
+
+
+def above(tours: DataFrame, of: DataFrame) -> DataFrame:
+    """``node, ancestor, depth``: the nodes whose tours enclose each distinct ``node`` of ``of``, and how far above."""
+    own = tours.join(of.select("node").distinct(), "node", "left_semi")
+    outer = tours.select("root", F.col("node").alias("ancestor"), F.col("enter").alias("e"), F.col("leave").alias("l"), F.col("depth").alias("d"))
+    met = own.join(outer, "root").where((F.col("e") < F.col("enter")) & (F.col("leave") < F.col("l")))
+    return met.select("node", "ancestor", (F.col("depth") - F.col("d")).alias("depth"))
+
+
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of the connected component of every node: ``node, component``."""
     found = connected(edges)

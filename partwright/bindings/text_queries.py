@@ -127,3 +127,20 @@ def _(spark, d):
     return lookup(parts, templates, "id", "inner").select(
         "part_id", "code", F.size("cols").cast("bigint").alias("n_columns"), F.array_join("cols", " | ").alias("columns_text")
     )
+
+
+@add(
+    "h35_json_scalar",
+    "SELECT p_partkey AS part_id, t.code, json_extract_string(layout_schema, '$.columns[0]') AS first_column,"
+    " json_extract_string(layout_schema, '$.columns[' || (p_partkey % 9) || ']') AS column_text"
+    " FROM part JOIN document_template t ON t.id = p_partkey % 5",
+)
+def _(spark, d):
+    """Single values of a template's JSON; a place beyond its columns is null."""
+    from partwright.sources import reference
+    from partwright.sources.joins import lookup
+
+    parts = facts.read(spark, d, "part").select(F.col("p_partkey").alias("part_id"), (F.col("p_partkey") % 5).alias("id"))
+    templates = reference.load(spark, "document_template").select("id", "code", tx.layout_columns(F.col("layout_schema")).alias("cols"))
+    at = (F.col("part_id") % 9).cast("int")
+    return lookup(parts, templates, "id", "inner").select("part_id", "code", F.get("cols", F.lit(0)).alias("first_column"), F.get("cols", at).alias("column_text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from partwright.session import cut_lineage
+from partwright.session import cut_lineage, drop_step
 
 class CycleError(ValueError):
     """A hierarchy in which something is above itself."""
@@ -35,7 +35,8 @@ def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
         first = known.select("src", F.col("dst").alias("mid"), F.col("depth").alias("d1"))
         second = known.select(F.col("src").alias("mid"), "dst", F.col("depth").alias("d2"))
         longer = first.join(second, "mid").select("src", "dst", (F.col("d1") + F.col("d2")).alias("depth"))
-        known = cut_lineage(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
+        old, known = known, cut_lineage(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
+        drop_step(old)
 
 
 def _stars(keys: list[str], batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -102,7 +103,9 @@ def connected_in_tiles(edges: DataFrame, keys: list[str], tile: list[Column | st
     """
     stars = cut_lineage(contracted(edges, keys, tile))
     if not _all_stars(stars, keys):
-        return connected(stars.select(*keys, F.col("v").alias("src"), F.col("u").alias("dst")), keys)
+        found = connected(stars.select(*keys, F.col("v").alias("src"), F.col("u").alias("dst")), keys)
+        drop_step(stars)
+        return found
     labels = stars.select(*keys, F.col("v").alias("node"), F.col("u").alias("component"))
     return labels.unionByName(labels.select(*keys, F.col("component").alias("node"), "component").distinct())
 
@@ -128,7 +131,9 @@ def connected(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
         large = cut_lineage(large.where("u < v"))
         least = large.groupBy(*keys, "v").agg(F.min("u").alias("m"))
         small = large.join(least, [*keys, "v"]).select(*keys, F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
-        now = cut_lineage(small.select(*keys, "e.v", "e.u").where("u < v").distinct())
+        old, now = now, cut_lineage(small.select(*keys, "e.v", "e.u").where("u < v").distinct())
+        drop_step(large)
+        drop_step(old)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*keys, "v", "u").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break
@@ -164,10 +169,11 @@ def euler_tours(nodes: DataFrame) -> DataFrame:
         ahead = tour.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("w").alias("w2"), F.col("last").alias("last2"))
         met = tour.join(ahead, "to", "left")
         seen = F.col("to").isNotNull()
-        tour = cut_lineage(met.select(
+        old, tour = tour, cut_lineage(met.select(
             "at", F.when(seen, F.col("to2")).alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
             (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.when(seen, F.col("last2")).otherwise(F.col("last")).alias("last"),
         ))
+        drop_step(old)
         reach *= 2
     # What is left to the end of the tour is turned round: places count down from it.
     at = tour.groupBy(F.col("at.node").alias("node")).agg(

@@ -52,11 +52,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a step of an iteration to the shared folder and go on from the written table.
 
-    Computed once, survives lost executors, and the files give the planner real sizes.
+    Computed once, survives lost executors, and the files give the planner real sizes. The folder goes when the
+    application ends, or before with ``drop_step``.
     """
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._step = path
+    return written
+
+
+def drop_step(step: DataFrame) -> None:
+    """Delete the folder of a table that ``cut_lineage`` gave, once nothing is read from it any more."""
+    path = getattr(step, "_step", None)
+    if path is not None:
+        fs, where = _file_system(step.sparkSession, path)
+        fs.delete(where, True)

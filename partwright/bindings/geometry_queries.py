@@ -19,18 +19,25 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_sh
 TOOL_DIAMETER_MM = 1.0
 
 
-def moves(spark, d):
+def unnumbered_moves(spark, d):
     """One move per line item: x quantity, y and z from the percentages, rapid where returned."""
     lines = facts.read(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    placed = seq.dense_position(lines, ["l_orderkey"], [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)], LINE_ORDER, "move_no")
-    return placed.select(
-        F.col("l_orderkey").alias("plan_id"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("op_no"), "move_no",
+    return lines.select(
+        F.col("l_orderkey").alias("plan_id"), F.floor((F.col("l_linenumber") + 1) / 2).cast("int").alias("op_no"),
         F.when(F.col("l_returnflag") == "R", "rapid").otherwise("linear").alias("kind"), F.col("l_quantity").alias("x"),
         (F.round(F.col("l_discount") * 100) + 0.0).alias("y"), (F.round(F.col("l_tax") * 100) + 0.0).alias("z"),
-        F.lit(TOOL_DIAMETER_MM).alias("tool_diameter"),
+        F.lit(TOOL_DIAMETER_MM).alias("tool_diameter"), *LINE_ORDER,
     )
 
 
+def coarse_order():
+    return [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000)]
+
+
+def moves(spark, d):
+    return seq.dense_position(unnumbered_moves(spark, d), ["plan_id"], coarse_order(), LINE_ORDER, "move_no").drop(*LINE_ORDER)
+
+
 FACT_SQL["moves"] = f"""SELECT l_orderkey AS plan_id, CAST((l_linenumber + 1) // 2 AS INT) AS op_no,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS move_no,
   CASE WHEN l_returnflag = 'R' THEN 'rapid' ELSE 'linear' END AS kind, l_quantity AS x, round(l_discount * 100) + 0e0 AS y,
@@ -253,9 +260,8 @@ def _(spark, d):
 @add("p16_path_statistics", """SELECT plan_id, op_no, start_step, end_step, CAST(printf('%.6f', length_mm) AS DOUBLE) AS length_mm, CAST(printf('%.2f', length_mm / 120) AS DOUBLE) AS time_min
     FROM op_ranges JOIN (SELECT plan_id, op_no, coalesce(sum(len), 0) AS length_mm FROM segs GROUP BY ALL) USING (plan_id, op_no)""")
 def _(spark, d):
-    table = cut_lineage(moves(spark, d))  # read twice
-    lengths = tp.path_lengths(table)
-    return tp.step_ranges(table).join(lengths, ["plan_id", "op_no"]).select(
+    passed = tp.scanned(unnumbered_moves(spark, d), coarse_order(), LINE_ORDER)
+    return tp.path_statistics(passed).select(
         "plan_id", "op_no", "start_step", "end_step", nx.exact_round(F.col("length_mm"), 6).alias("length_mm"),
         nx.exact_round(F.col("length_mm") / 120, 2).alias("time_min"),
     )

@@ -6,6 +6,8 @@ run per (group, bucket) and the few per-bucket totals carry the state across buc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,43 +18,64 @@ def bucket(position: str, size: int = BUCKET_ROWS) -> Column:
     return F.floor((F.col(position) - 1) / size)
 
 
-def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], name: str = "position") -> DataFrame:
-    """1-based rank inside ``keys`` by ``order``; ``coarse`` is monotone in ``order`` and cuts big groups.
+Values = Callable[[str], Column]
+
+
+def scan(
+    df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], position: str = "position", row: list[str] | None = None,
+    sums: dict[str, Callable[[Values, Values], Column]] | None = None,
+) -> DataFrame:
+    """One pass over ``df`` in ``order`` within ``keys``: adds the 1-based place ``position``, the columns ``row`` of the row
+    before as ``prev_<column>`` (null for a first row), and for every item of ``sums`` the running total of what it
+    makes of the values of a row and of the row before it (``row`` columns; null counts as nothing).
 
-    Rows are ranked inside (keys, coarse); counts of earlier buckets are added.
+    ``coarse`` is monotone in ``order`` and cuts big groups into buckets; the table is shuffled by group and bucket. A
+    bucket has a summary (its rows, first and last row, its totals without the first row); summaries are few, and in
+    their order each learns the last row and the totals before its bucket, which is all its rows need. Without ``sums``
+    summaries come from partial sums, so the table itself is shuffled once; with them it is ordered for them as well.
     """
+    sums, row = sums or {}, row or []
+    coarse = coarse or [F.lit(0)]
     cuts = [f"_c{i}" for i in range(len(coarse))]
     cut = df.select("*", *[c.alias(n) for c, n in zip(coarse, cuts)])
-    local = F.row_number().over(Window.partitionBy(*keys, *cuts).orderBy(*order))
-    counts = cut.groupBy(*keys, *cuts).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    ranked = cut.withColumn("_local", local)
-    joined = ranked.join(offsets, [*keys, *cuts])
-    return joined.withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint")).drop("_local", "_before", *cuts)
+    w = Window.partitionBy(*keys, *cuts).orderBy(*order)
+    values = F.struct(*row) if row else F.struct(F.lit(1).alias("_"))
+    local = cut.select("*", F.row_number().over(w).alias("_local"), F.lag(values).over(w).alias("_prev"), values.alias("_row"))
+    of = lambda struct: lambda name: F.col(struct)[name]
+    local = local.select("*", *[F.when(F.col("_local") > 1, add(of("_row"), of("_prev"))).alias(f"_v_{n}") for n, add in sums.items()])
+    summary = local.groupBy(*keys, *cuts).agg(
+        F.count("*").alias("_n"), F.min_by("_row", F.struct(*order)).alias("_first"), F.max_by("_row", F.struct(*order)).alias("_last"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
+    )
+    over = Window.partitionBy(*keys).orderBy(*cuts)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    summary = summary.select("*", F.lag("_last").over(over).alias("_carry"), none(F.sum("_n").over(earlier)).alias("_before"))
+    summary = summary.select("*", *[add(of("_first"), of("_carry")).alias(f"_a_{n}") for n, add in sums.items()])
+    start = [(none(F.sum(none(F.col(f"_a_{n}")) + none(F.col(f"_t_{n}"))).over(earlier)) + none(F.col(f"_a_{n}"))).alias(f"_s_{n}") for n in sums]
+    summary = summary.select(*keys, *cuts, "_carry", "_before", *start)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = local.select("*", *[none(F.sum(f"_v_{n}").over(upto)).alias(f"_r_{n}") for n in sums]).join(summary, [*keys, *cuts])
+    before = F.coalesce("_prev", "_carry")
+    return out.select(
+        *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(position), *[before[c].alias(f"prev_{c}") for c in row],
+        *[(F.col(f"_s_{n}") + F.col(f"_r_{n}")).alias(n) for n in sums],
+    )
+
+
+def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], name: str = "position") -> DataFrame:
+    """1-based rank inside ``keys`` by ``order``; ``coarse`` is monotone in ``order`` and cuts big groups."""
+    return scan(df, keys, coarse, order, name)
 
 
 def with_previous(df: DataFrame, keys: list[str], position: str, values: list[str], size: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``prev_<value>`` columns: the row before in the group by the dense ``position``."""
-    cut = df.withColumn("_b", bucket(position, size))
-    w = Window.partitionBy(*keys, "_b").orderBy(position)
-    row = F.struct(*values)
-    last = cut.groupBy(*keys, "_b").agg(F.max_by(row, F.col(position)).alias("_last"))
-    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_last")
-    out = cut.withColumn("_prev", F.lag(row).over(w)).join(carried, [*keys, "_b"])
-    prev = F.coalesce("_prev", "_carry")
-    return out.select(*df.columns, *[prev[v].alias(f"prev_{v}") for v in values])
+    return scan(df, keys, [bucket(position, size)], [position], "_at", values).drop("_at")
 
 
 def running_sum(df: DataFrame, keys: list[str], position: str, value: Column, name: str, size: int = BUCKET_ROWS) -> DataFrame:
     """Adds the running total of ``value`` in order of ``position`` within ``keys``."""
-    cut = df.withColumn("_b", bucket(position, size)).withColumn("_v", value)
-    w = Window.partitionBy(*keys, "_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cut.groupBy(*keys, "_b").agg(F.sum("_v").alias("_t"))
-    before = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.withColumn("_before", before).drop("_t")
-    out = cut.withColumn("_run", F.sum("_v").over(w)).join(offsets, [*keys, "_b"])
-    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.coalesce("_run", F.lit(0))).drop("_b", "_v", "_run", "_before")
+    valued = df.withColumn("_value", value)
+    return scan(valued, keys, [bucket(position, size)], [position], "_at", ["_value"], {name: lambda now, _: now("_value")}).drop("_at", "_value", "prev__value")
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, slot: Column, value: str, name: str) -> DataFrame:

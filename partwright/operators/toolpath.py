@@ -26,11 +26,30 @@ SCHEDULE_MS = 15000
 POINT = ["x", "y", "z"]
 
 
+ROW = ["op_no", "kind", *POINT]
+
+
+def _cuts(now, before) -> Column:
+    """Whether a move that follows ``before`` cuts: not the first of its operation, and not rapid."""
+    return (before("op_no") == now("op_no")) & (now("kind") != "rapid")
+
+
+def scanned(moves: DataFrame, coarse: list[Column] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Moves in one pass: ``move_no`` (unless they have it), the point before them in the same operation (``prev_x`` is null
+    for a first move), and ``step``, the number of cutting moves of the plan so far.
+
+    Without ``move_no``, ``order`` gives the order within a plan and ``coarse`` cuts large plans.
+    """
+    step = {"step": lambda now, before: F.when(_cuts(now, before), F.lit(1).cast("long"))}
+    at = "move_no" if order else "_at"
+    out = seq.scan(moves, ["plan_id"], coarse or [seq.bucket("move_no")], order or ["move_no"], at, ROW, step)
+    same = F.col("prev_op_no") == F.col("op_no")
+    return out.select(*moves.columns, *(["move_no"] if order else []), *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in POINT], "step")
+
+
 def segments(moves: DataFrame) -> DataFrame:
     """Moves with the point before them in the same operation; ``prev_x`` is null for a first move."""
-    out = seq.with_previous(moves, ["plan_id"], "move_no", ["op_no", *POINT])
-    same = F.col("prev_op_no") == F.col("op_no")
-    return out.select(*moves.columns, *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in POINT])
+    return scanned(moves).drop("step")
 
 
 def segment_length() -> Column:
@@ -43,17 +62,26 @@ def path_lengths(moves: DataFrame) -> DataFrame:
     return segments(moves).groupBy("plan_id", "op_no").agg(F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
 
 
+def _ranges(own: DataFrame) -> DataFrame:
+    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step")
+    return out.withColumn("start_step", F.col("end_step") - F.col("own")).drop("own")
+
+
 def step_ranges(moves: DataFrame) -> DataFrame:
     """Step range of every operation: non-rapid moves counted on across the plan."""
     own = moves.groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("own"))
-    out = seq.running_sum(own, ["plan_id"], "op_no", F.col("own"), "end_step")
-    return out.select("plan_id", "op_no", (F.col("end_step") - F.col("own")).alias("start_step"), "end_step")
+    return _ranges(own).select("plan_id", "op_no", "start_step", "end_step")
+
+
+def path_statistics(passed: DataFrame) -> DataFrame:
+    """``plan_id, op_no, start_step, end_step, length_mm`` of every operation, from ``scanned`` moves."""
+    both = passed.groupBy("plan_id", "op_no").agg(F.count_if(F.col("kind") != "rapid").alias("own"), F.coalesce(F.sum(segment_length()), F.lit(0.0)).alias("length_mm"))
+    return _ranges(both).select("plan_id", "op_no", "start_step", "end_step", "length_mm")
 
 
 def cutting_steps(moves: DataFrame) -> DataFrame:
     """Segments with their global step: +1 for each non-rapid segment, across operations of the plan."""
-    cut = segments(moves).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
-    return seq.running_sum(cut, ["plan_id"], "move_no", F.col("cuts").cast("bigint"), "step")
+    return scanned(moves).withColumn("cuts", F.col("prev_x").isNotNull() & (F.col("kind") != "rapid"))
 
 
 def active_operation(probes: DataFrame, ranges: DataFrame) -> DataFrame:

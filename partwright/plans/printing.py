@@ -221,10 +221,11 @@ def recommend(spark: SparkSession, requests: DataFrame) -> DataFrame:
     hit = F.size("known_ids") > 0
     matched = hit & F.coalesce(F.arrays_overlap("known_ids", "rule_conditions"), F.lit(False))
     base = F.array(F.lit(0).cast("bigint"))
-    out = out.withColumn("fallback", hit & ~matched & F.col("class_id").isNotNull())
+    out = out.withColumn("fallback", hit & ~matched & F.col("class_id").isNotNull()).withColumn("base_rule", ~matched)
     out = out.withColumn("rule_condition", F.explode(F.when(matched, F.array_intersect("known_ids", "rule_conditions")).otherwise(base)))
-    keyed = rules.withColumn("rule_condition", F.coalesce("condition_id", F.lit(0).cast("bigint")))
-    return lookup(out, keyed, ["class_id", "rule_condition"])
+    # Base rules are told apart by a key of their own, so that no condition's id can be taken for theirs.
+    keyed = rules.withColumn("rule_condition", F.coalesce("condition_id", F.lit(0).cast("bigint"))).withColumn("base_rule", F.col("condition_id").isNull())
+    return lookup(out, keyed, ["class_id", "rule_condition", "base_rule"]).drop("base_rule")
 
 
 @settled

@@ -27,7 +27,10 @@ def exact_round(c: Column, digits: int) -> Column:
 
 
 def short(c: Column) -> Column:
-    """Six significant digits without trailing zeros, exponents below 1e-4 and from 1e6 on (C's ``%g``)."""
+    """Six significant digits without trailing zeros, exponents below 1e-4 and from 1e6 on (C's ``%g``).
+
+    The rounded number decides: 9.999999e-5 becomes 0.0001.
+    """
     x = c.cast("double")
     size = F.abs(x)
     digits = (5 - F.floor(F.log10(size))).cast("int")
@@ -41,9 +44,10 @@ def short(c: Column) -> Column:
     mantissa = F.concat(F.substring(six, 1, 1), F.lit("."), F.substring(six, 2, 5))
     power = F.concat(
         F.when(x < 0, "-").otherwise(""), F.regexp_replace(mantissa, r"\.?0*$", ""),
-        F.when(carried < 0, "e-").otherwise("e+"), F.lpad(F.abs(carried).cast("string"), 2, "0"),
+        F.when(carried < 0, "e-").otherwise("e+"), F.when(F.abs(carried) < 10, "0").otherwise(""), F.abs(carried).cast("string"),
     )
-    return F.when(size == 0, "0").when((size >= 1e-4) & (size < 999999.5), plain).when(x.isNotNull(), power)
+    special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(size == 0, "0")
+    return special.when((carried >= -4) & (size < 999999.5), plain).when(x.isNotNull(), power)
 
 
 def span(low: Column, high: Column, prefix: str = "") -> Column:

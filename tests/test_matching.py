@@ -95,6 +95,11 @@ def test_short_number(spark, value):
     assert spark.range(1).select(nx.short(F.lit(value))).first()[0] == f"{value:g}"
 
 
+@pytest.mark.parametrize("value", [9.999999e-5, 9.999995e-5, 9.9999949e-5, -9.9999996e-5, 1e100, 1.5e-100, float("nan"), float("-inf")])
+def test_short_number_is_judged_once_rounded(spark, value):
+    assert spark.range(1).select(nx.short(F.lit(value))).first()[0] == f"{value:g}"
+
+
 def test_step_text_decoding(spark, tmp_path):
     from partwright.sources.catalog import read_step_files
 

@@ -44,7 +44,7 @@ def rects(spark, d):
 @add("j21_linked_cells", 'SELECT DISTINCT page_id, ax, ay, bx, "by" FROM rect_pairs WHERE full_boxes AND (bx > ax OR (bx = ax AND "by" > ay))')
 def _(spark, d):
     table = rects(spark, d)
-    return rg.linked_subcells(rg.in_subcells(rg.with_area(table))).distinct()
+    return rg.linked_subcells(table)
 
 
 @add("a14_cluster_boxes", "SELECT page_id, x0, y0, x1, y1, members FROM protos")

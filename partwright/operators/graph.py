@@ -39,6 +39,20 @@ def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
         drop_step(old)
 
 
+def united(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes of some edges, in order, and for each the place of the smallest its component has."""
+    nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    v, u = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[v], root[u]), np.maximum(root[v], root[u])
+        if np.array_equal(low, high):
+            return nodes, root
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
 def _stars(keys: list[str], batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     """Edges ``v, u`` from every node to the smallest one its component has within these batches."""
     table = pa.Table.from_batches(batches)
@@ -48,16 +62,9 @@ def _stars(keys: list[str], batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
     ends = np.concatenate([table.column(c).to_numpy() for c in ("v", "u")])
     ids, at = np.unique(ends, return_inverse=True)
-    nodes, first, at = np.unique(np.concatenate([group, group]) * len(ids) + at, return_index=True, return_inverse=True)
-    v, u = np.split(at, 2)
-    root = np.arange(len(nodes))
-    while True:
-        low, high = np.minimum(root[v], root[u]), np.maximum(root[v], root[u])
-        if np.array_equal(low, high):
-            break
-        np.minimum.at(root, high, low)
-        while not np.array_equal(root, up := root[root]):
-            root = up
+    named = np.concatenate([group, group]) * len(ids) + at
+    first = np.unique(named, return_index=True)[1]
+    nodes, root = united(*np.split(named, 2))
     inner = np.flatnonzero(root != np.arange(len(nodes)))
     rows = pa.array(first[inner] % table.num_rows)
     columns = [table.column(key).combine_chunks().take(rows) for key in keys]

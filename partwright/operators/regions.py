@@ -8,11 +8,19 @@ strokes are neighbours of boxes with area that are drawn after them.
 Boxes are not compared pairwise. Boxes with area whose corners share a sub-cell of one merge distance are always
 neighbours, so a sub-cell is one node; two sub-cells are linked if the outermost edges of the one reach
 the outermost edges of the other, for which each side keeps only its undominated corners.
+
+Boxes are dealt out once, by page and tile, with those a few sub-cells beyond a tile's border; a task finds the links
+of its tiles and hands on parts, not boxes. It holds some ``ROWS`` boxes at a time: of a tile with more it keeps its
+strokes and, per sub-cell, the boxes with an undominated corner.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwright.operators import graph
@@ -26,9 +34,11 @@ MIN_AREA_SHARE = 0.001
 # ---------------------------------------------------------------------------------------------
 
 BOX = ["x0", "y0", "x1", "y1"]
-SALTS = 64
-#: A tile of a page is 2^TILE sub-cells wide and high.
-TILE = 7
+#: A tile of a page is TILE sub-cells wide and high; neighbours lie at most BORDER sub-cells away.
+TILE, BORDER = 64, 3
+WIDE = TILE + 2 * BORDER
+#: Boxes a task reads at once, and pairs of a stroke and a box it looks at in one go.
+ROWS, PAIRS = 500_000, 2_000_000
 
 
 def has_area() -> Column:
@@ -39,50 +49,217 @@ def with_area(rects: DataFrame) -> DataFrame:
     return rects.where(has_area())
 
 
-def in_subcells(rects: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
-    return rects.withColumn("sx", F.floor(F.col("x0") / distance)).withColumn("sy", F.floor(F.col("y0") / distance))
-
+def _undominated(code: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rows whose point (u, v) no other point of the code exceeds in both; by code, ``u`` falling and ``v`` rising."""
+    order = np.lexsort((-v, -u, code))
+    values = np.unique(v)
+    key = code[order] * len(values) + np.searchsorted(values, v[order])
+    best = np.maximum.accumulate(key)
+    return order[np.concatenate([[True], key[1:] > best[:-1]]) if len(key) else np.array([], bool)]
+
+
+def _corners(x0, y0, x1, y1) -> dict[str, tuple]:
+    return {"pp": (x1, y1), "mm": (-x0, -y0), "pm": (x1, -y0), "mp": (-x0, y1)}
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of whole numbers from 0 on, in order."""
+    base = int(b.max()) + 1 if len(b) else 1
+    return np.divmod(np.unique(a * base + b), base)
+
+
+def _pairs(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ``i, j`` with ``low[i] <= j < high[i]``, about ``PAIRS`` at a time."""
+    count = high - low
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = count[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, np.arange(len(i)) + np.repeat(low[at:to] - (np.cumsum(n) - n), n)
+        at = to
+
+
+class _Tiles:
+    """The boxes and strokes of some tiles. A code is a tile's number and a sub-cell's place in the widened tile."""
+
+    def __init__(self, rows: dict[str, np.ndarray], distance: float):
+        self.rows, self.distance = rows, distance
+        change = [rows[c][1:] != rows[c][:-1] for c in ("page_id", "tx", "ty")]
+        starts = np.concatenate([[0], np.flatnonzero(change[0] | change[1] | change[2]) + 1])
+        self.tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows["tx"]))))
+        self.page, self.tx, self.ty = (rows[c][starts] for c in ("page_id", "tx", "ty"))
+        self.sx, self.sy = (np.floor(rows[c] / distance).astype(np.int64) for c in ("x0", "y0"))
+        self.code = self.coded(self.tile, self.sx, self.sy)
+        self.area = (rows["x1"] > rows["x0"]) & (rows["y1"] > rows["y0"])
+
+    def coded(self, tile, sx, sy):
+        return (tile * WIDE + sx - self.tx[tile] * TILE + BORDER) * WIDE + sy - self.ty[tile] * TILE + BORDER
+
+    def places(self, code):
+        """Page, ``sx`` and ``sy`` of codes, whether the sub-cell is the tile's own, and whether other tiles meet it."""
+        tile, x, y = code // WIDE**2, code // WIDE % WIDE, code % WIDE
+        inside = lambda margin: (np.minimum(x, y) >= margin) & (np.maximum(x, y) < WIDE - margin)
+        return self.page[tile], self.tx[tile] * TILE + x - BORDER, self.ty[tile] * TILE + y - BORDER, inside(BORDER), ~inside(2 * BORDER)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of linked sub-cells, each pair once; the first is the tile's own, the second lies right of, or below, it."""
+        at = np.flatnonzero(self.area)
+        code = self.code[at]
+        corner = {k: (c[0][at], c[1][at]) for k, c in _corners(*(self.rows[c] for c in BOX)).items()}
+        found = []
+        for first, second, steps in (("pp", "mm", range(BORDER + 1)), ("pm", "mp", range(-BORDER, 0))):
+            (u, v), (bu, bv) = corner[first], corner[second]
+            a = _undominated(code, u, v)
+            a = a[self.places(code[a])[3]]
+            b = _undominated(code, bu, bv)[::-1]  # codes fall, u rises and v falls within a code
+            b = b[np.argsort(code[b], kind="stable")]
+            values = np.unique(bu[b])
+            key = code[b] * (len(values) + 1) + np.searchsorted(values, bu[b])
+            over = np.searchsorted(values, -(u[a] + self.distance), "right")
+            sx, sy = self.sx[at][a], self.sy[at][a]
+            for dx in range(BORDER + 1):
+                for dy in steps:
+                    if dx == 0 and dy <= 0:
+                        continue
+                    near = (np.abs((sx + dx) // 2 - sx // 2) <= 1) & (np.abs((sy + dy) // 2 - sy // 2) <= 1)
+                    own = a[near]
+                    target = code[own] + dx * WIDE + dy
+                    # Of the corners that reach in u, the one with the smallest u reaches farthest in v.
+                    place = np.searchsorted(key, target * (len(values) + 1) + (over[near] if dx else 0))
+                    there = np.flatnonzero(place < len(b))
+                    there = there[code[b[place[there]]] == target[there]]
+                    if dy:
+                        there = there[bv[b[place[there]]] > -(v[own[there]] + self.distance)]
+                    one = code[own[there]]
+                    if len(one):
+                        one = one[np.concatenate([[True], one[1:] != one[:-1]])]
+                    found.append((one, one + dx * WIDE + dy))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def reached(self) -> tuple[np.ndarray, np.ndarray]:
+        """Strokes (rows) with the codes of sub-cells that hold a later neighbour of theirs."""
+        strokes, boxes = np.flatnonzero(~self.area), np.flatnonzero(self.area)
+        boxes = boxes[np.argsort(self.code[boxes], kind="stable")]
+        codes, r, found = self.code[boxes], self.rows, [(np.empty(0, np.int64),) * 2]
+        corner = self.coded(self.tile[strokes], (self.sx[strokes] // 2 - 1) * 2, (self.sy[strokes] // 2 - 1) * 2)
+        for column in range(6):
+            low = corner + column * WIDE
+            for i, j in _pairs(np.searchsorted(codes, low), np.searchsorted(codes, low + 5, "right")):
+                s, b = strokes[i], boxes[j]
+                near = r["seq"][b] > r["seq"][s]
+                for axis in "xy":
+                    near &= (r[f"{axis}0"][s] - self.distance < r[f"{axis}1"][b]) & (r[f"{axis}0"][b] < r[f"{axis}1"][s] + self.distance)
+                found.append(_distinct(s[near], self.code[b[near]]))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def kept(self, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """Rows of one tile: the strokes, and boxes with an undominated corner, the first of a sub-cell counting for all."""
+        strokes, boxes = rows[~self.area[rows]], rows[self.area[rows]]
+        code = self.code[boxes]
+        outer = [_undominated(code, u[boxes], v[boxes]) for u, v in _corners(*(self.rows[c] for c in BOX)).values()]
+        outer = np.unique(np.concatenate(outer))
+        _, first, of = np.unique(code[outer], return_index=True, return_inverse=True)
+        sums = np.bincount(np.searchsorted(code[outer][first], code), self.rows["n"][boxes], len(first)).astype(np.int64)
+        n = np.zeros(len(outer), np.int64)
+        n[first] = sums
+        left = np.concatenate([strokes, boxes[outer]])
+        return {k: v[left] for k, v in self.rows.items()} | {"n": np.concatenate([self.rows["n"][strokes], n])}
+
+
+def _by_tile(rects: DataFrame, distance: float, found: Callable[[_Tiles, tuple, int], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``found`` makes of some tiles, their strokes with the sub-cells reached, and the first tile not yet whole."""
+    def tiles(c):
+        s = F.floor(F.col(c) / distance)
+        return F.sequence(F.floor((s - F.when(has_area(), BORDER).otherwise(0)) / TILE), F.floor((s + F.when(has_area(), BORDER).otherwise(0)) / TILE))
+
+    seq = F.coalesce(F.col("seq").cast("long"), F.when(has_area(), -(2**63)).otherwise(2**63 - 1))
+    whole = rects.where(has_area().isNotNull() & F.col("page_id").isNotNull()).select("page_id", seq.alias("seq"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    dealt = whole.withColumn("tx", F.explode(tiles("x0"))).withColumn("ty", F.explode(tiles("y0"))).repartition("page_id", "tx", "ty")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, hits = None, [], (np.empty(0, np.int64),) * 2
+        batches, more = iter(batches), True
+        while more:
+            batch = next(batches, None)
+            more = batch is not None
+            if more:
+                rows.append(batch)
+            if not rows and held is None or more and sum(b.num_rows for b in rows) < ROWS:
+                continue
+            new = pa.Table.from_batches(rows) if rows else None
+            new = {c: new.column(c).to_numpy() for c in new.column_names} | {"n": np.ones(new.num_rows, np.int64)} if rows else {}
+            rows = []
+            now = {c: np.concatenate([t[c] for t in (held, new) if t]) for c in held or new}
+            if not len(now["n"]):
+                continue
+            tiles = _Tiles(now, distance)
+            hits = _distinct(*(np.concatenate(c) for c in zip(hits, tiles.reached())))
+            last = len(tiles.page) - 1 if more else len(tiles.page)
+            if last:
+                yield from found(tiles, hits, last)
+            if more:
+                # Strokes come first in a tile, so those kept are the first rows of tile 0 next time.
+                ours, of = np.flatnonzero(tiles.tile == last), tiles.tile[hits[0]] == last
+                held, hits = tiles.kept(ours), (hits[0][of] - ours[0], hits[1][of] - last * WIDE**2)
+
+    return dealt.sortWithinPartitions("page_id", "tx", "ty", has_area()).mapInArrow(run, schema)
+def linked_subcells(rects: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
+    """Pairs of different sub-cells that hold neighbouring boxes, each once; the second lies right of, or below, the first."""
+    def found(tiles: _Tiles, hits: tuple, last: int) -> Iterator[pa.RecordBatch]:
+        a, b = tiles.links()
+        whole = a // WIDE**2 < last
+        page, ax, ay, _, _ = tiles.places(a[whole])
+        _, bx, by, _, _ = tiles.places(b[whole])
+        yield pa.record_batch([pa.array(c) for c in (page, ax, ay, bx, by)], ["page_id", "ax", "ay", "bx", "by"])
+
+    page = rects.schema["page_id"].dataType.simpleString()
+    return _by_tile(with_area(rects), distance, found, f"page_id {page}, ax long, ay long, bx long, by long")
+
+
+def _parts(tiles: _Tiles, hits: tuple, last: int) -> Iterator[pa.RecordBatch]:
+    """Connected parts of every tile as ``node`` with a box and members, and edges ``node, other`` from the sub-cells that
+    other tiles meet to the part they are in. A stroke binds the sub-cells it reaches together and counts with the first
+    of them; without any it is in no group."""
+    a, b = tiles.links()
+    whole = a // WIDE**2 < last
+    strokes, codes = (c[tiles.tile[hits[0]] < last] for c in hits)
+    lead = np.diff(strokes, prepend=-1) != 0
+    first = codes[lead]
+    bound = first[np.cumsum(lead) - 1]
+    boxes = np.flatnonzero(tiles.area & (tiles.tile < last))
+    boxes = boxes[tiles.places(tiles.code[boxes])[3]]
+    rows, at = np.concatenate([boxes, strokes[lead]]), np.concatenate([tiles.code[boxes], first])
+    if not len(rows):
+        return
+    nodes, root = graph.united(np.concatenate([a[whole], bound, at]), np.concatenate([b[whole], codes, at]))
+    part = root[np.searchsorted(nodes, at)]
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    rows = rows[order]
+    folded = [f.reduceat(tiles.rows[c][rows], starts) for f, c in ((np.minimum, "x0"), (np.minimum, "y0"), (np.maximum, "x1"), (np.maximum, "y1"), (np.add, "n"))]
+    met = np.flatnonzero(tiles.places(nodes)[4] & (root != np.arange(len(nodes))))
+
+    def named(code):
+        page, sx, sy, _, _ = tiles.places(code)
+        return pa.array(page), pa.array((sx << 32) | (sy & ((1 << 32) - 1)))
+
+    names = ["page_id", "node", "other", *BOX, "members"]
+    kinds = [pa.float64()] * 4 + [pa.int64()]
+    page, node = named(nodes[part[order][starts]])
+    yield pa.record_batch([page, node, pa.nulls(len(node), pa.int64()), *[pa.array(c, k) for c, k in zip(folded, kinds)]], names)
+    page, node = named(nodes[met])
+    yield pa.record_batch([page, node, named(nodes[root[met]])[1], *[pa.nulls(len(node), k) for k in kinds]], names)
 
-def _undominated(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points (u, v) that no other point of the key exceeds in both."""
-    before = F.max("v").over(Window.partitionBy(*keys).orderBy(F.desc("u")).rowsBetween(Window.unboundedPreceding, -1))
-    return points.withColumn("_m", before).where(F.col("_m").isNull() | (F.col("v") > F.col("_m"))).drop("_m")
 
-
-def frontiers(placed: DataFrame) -> DataFrame:
-    """Outermost corners of every sub-cell toward its four diagonal neighbours.
-
-    A sub-cell is reduced in salted shares first; the frontier of the shares' frontiers is the frontier of the whole.
-    """
-    corner = lambda kind, u, v: F.struct(F.lit(kind).alias("kind"), u.alias("u"), v.alias("v"))
-    x0, y0, x1, y1 = (F.col(c) for c in BOX)
-    long = placed.select("page_id", "sx", "sy", F.inline(F.array(
-        corner("pp", x1, y1), corner("mm", -x0, -y0), corner("pm", x1, -y0), corner("mp", -x0, y1)
-    )))
-    keys = ["page_id", "sx", "sy", "kind"]
-    best = long.groupBy(*keys, "u").agg(F.max("v").alias("v"))
-    best = _undominated(best.withColumn("salt", F.pmod(F.hash("u"), F.lit(SALTS))), [*keys, "salt"]).drop("salt")
-    return _undominated(best, keys)
-
-
-def linked_subcells(placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
-    """Pairs of different sub-cells that hold neighbouring boxes; the second lies right of, or below, the first. A pair
-    may be there once per corner that reaches."""
-    edge = frontiers(placed)
-    steps = [(dx, dy) for dx in range(4) for dy in range(-3, 4) if dx > 0 or dy > 0]
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit("pm" if dy < 0 else "pp").alias("k")) for dx, dy in steps])
-    near = lambda s, step: (F.floor((s + step) / 2) - F.floor(s / 2)).between(-1, 1)
-    first = edge.where(F.col("kind").isin("pp", "pm")).withColumn("o", F.explode(F.filter(offsets, lambda o: o["k"] == F.col("kind"))))
-    dx, dy = F.col("o.dx"), F.col("o.dy")
-    first = first.where(near(F.col("sx"), dx) & near(F.col("sy"), dy)).select(
-        "page_id", F.col("sx").alias("ax"), F.col("sy").alias("ay"), (F.col("sx") + dx).alias("bx"), (F.col("sy") + dy).alias("by"),
-        F.when(F.col("kind") == "pp", "mm").otherwise("mp").alias("kind"), F.col("u").alias("au"), F.col("v").alias("av"), dx.alias("dx"), dy.alias("dy"),
-    )
-    second = edge.where(F.col("kind").isin("mm", "mp")).select(
-        "page_id", F.col("sx").alias("bx"), F.col("sy").alias("by"), "kind", F.col("u").alias("bu"), F.col("v").alias("bv")
-    )
-    reach = ((F.col("dx") == 0) | (F.col("au") + F.col("bu") > -distance)) & ((F.col("dy") == 0) | (F.col("av") + F.col("bv") > -distance))
-    return first.join(second, ["page_id", "bx", "by", "kind"]).where(reach).select("page_id", "ax", "ay", "bx", "by")
+def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS) -> DataFrame:
+    """Boxes of connected groups with at least ``min_members`` (two or more) boxes, strokes included."""
+    page = rects.schema["page_id"].dataType.simpleString()
+    found = cut_lineage(_by_tile(rects, distance, _parts, f"page_id {page}, node long, other long, x0 double, y0 double, x1 double, y1 double, members long"))
+    edges = found.where("other is not null").select("page_id", F.col("node").alias("src"), F.col("other").alias("dst"))
+    labels = graph.connected_in_tiles(edges, ["page_id"], ["page_id"])
+    grown = _grown(_labelled(found.where("other is null"), labels), F.col("component"), F.col("members"))
+    return grown.where(F.col("members") >= min_members).select("page_id", *BOX, "members")
 
 
 def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
@@ -91,45 +268,6 @@ def _grown(rows: DataFrame, key: Column, count: Column) -> DataFrame:
     )
 
 
-def stroke_links(strokes: DataFrame, placed: DataFrame, distance: float = MERGE_DISTANCE) -> DataFrame:
-    """Strokes with the sub-cells that hold a later neighbour of theirs, one row per stroke and sub-cell.
-
-    A stroke meets the boxes of the sub-cells in its own and the adjoining cells only. Further columns are kept.
-    """
-    rest = [c for c in strokes.columns if c not in {"page_id", "seq", *BOX, "sx", "sy"}]
-    around = lambda c: F.sequence((F.floor(F.col(c) / 2) - 1) * 2, (F.floor(F.col(c) / 2) + 1) * 2 + 1)
-    own = strokes.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("seq", *BOX)], *rest, F.explode(around("sx")).alias("sx"), "sy")
-    own = own.withColumn("sy", F.explode(around("sy")))
-    later = F.col("seq") > F.col("s_seq")
-    reach = [F.col(f"s_{a}0") - distance < F.col(f"{a}1") for a in "xy"] + [F.col(f"{a}0") < F.col(f"s_{a}1") + distance for a in "xy"]
-    met = own.join(placed.select("page_id", "sx", "sy", "seq", *BOX), ["page_id", "sx", "sy"]).where(later & reach[0] & reach[1] & reach[2] & reach[3])
-    return met.select("page_id", "sx", "sy", *[F.col(f"s_{c}").alias(c) for c in ("seq", *BOX)], *rest).distinct()
-
-
-def clusters(spark: SparkSession, rects: DataFrame, distance: float = MERGE_DISTANCE, min_members: int = MIN_MEMBERS) -> DataFrame:
-    """Boxes of connected groups with at least ``min_members`` (two or more) boxes, strokes included."""
-    whole = in_subcells(rects, distance)
-    placed, strokes = whole.where(has_area()), whole.where(~has_area())
-    cells = placed.groupBy("page_id", "sx", "sy").agg(*[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]], F.count(F.lit(1)).alias("n"))
-    cells = cells.select("page_id", _cell("sx", "sy").alias("node"), *BOX, "n")
-    links = linked_subcells(placed, distance).select("page_id", _cell("ax", "ay").alias("src"), _cell("bx", "by").alias("dst"))
-    # A stroke binds the sub-cells it reaches together and counts with the first of them; without any it is in no group.
-    alike = strokes.groupBy("page_id", "seq", *BOX, "sx", "sy").agg(F.count(F.lit(1)).alias("n"))
-    drawn = stroke_links(alike, placed, distance).groupBy("page_id", "seq", *BOX, "n").agg(F.array_sort(F.collect_set(_cell("sx", "sy"))).alias("reached"))
-    drawn = cut_lineage(drawn.select("page_id", F.col("reached")[0].alias("node"), *BOX, "n", "reached"))
-    bound = drawn.select("page_id", F.col("node").alias("src"), F.explode(F.slice("reached", 2, F.size("reached"))).alias("dst"))
-    nodes = cells.unionByName(drawn.drop("reached"))
-    tile = [F.shiftright("src", 32 + TILE), F.shiftright(F.shiftleft("src", 32), 32 + TILE)]
-    labels = graph.connected_in_tiles(links.unionByName(bound), ["page_id"], ["page_id", *tile])
-    grown = _grown(_labelled(nodes, labels), F.col("component"), F.col("n"))
-    return grown.where(F.col("members") >= min_members).select("page_id", *BOX, "members")
-
-
-def _cell(x: str, y: str) -> Column:
-    """A sub-cell of a page as one number; 32 bits for each axis."""
-    return F.shiftleft(F.col(x), 32).bitwiseOR(F.col(y).bitwiseAND((1 << 32) - 1))
-
-
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, ["page_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -193,10 +331,12 @@ def members_per_region(regions: DataFrame, rects: DataFrame) -> DataFrame:
     keys = ["page_id", "level", "cx", "cy"]
     region_levels = _levels(regions.select(*[F.col(f"r{c}").alias(c) for c in BOX]))
     rect_levels = _levels(rects)
+    lowest = F.broadcast(regions.agg(F.min(r_level).alias("lowest")))  # one row
     small_rects = rects.crossJoin(F.broadcast(region_levels)).withColumn("at", F.explode(F.filter("levels", lambda l: l >= b_level))).drop("levels")  # one row
     inside = _cells(regions, r_level, *region_box).join(_cells(small_rects, F.col("at"), *rect_box).drop("at"), keys)
     small_regions = regions.crossJoin(F.broadcast(rect_levels)).withColumn("at", F.explode(F.filter("levels", lambda l: l > r_level))).drop("levels")  # one row
-    around = _cells(small_regions, F.col("at"), *region_box).drop("at").join(_cells(rects, b_level, *rect_box), keys)
+    large_rects = rects.join(lowest, b_level > F.col("lowest")).drop("lowest")
+    around = _cells(small_regions, F.col("at"), *region_box).drop("at").join(_cells(large_rects, b_level, *rect_box), keys)
     names = ["page_id", *[f"r{c}" for c in BOX]]
     found = inside.where(overlap & corner).select(*names).unionByName(around.where(overlap & corner).select(*names))
     counted = found.groupBy(*names).agg(F.count(F.lit(1)).alias("element_count"))

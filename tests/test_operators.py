@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from partwright.operators import features as ft
@@ -83,6 +85,39 @@ def test_clusters_equal_pairwise_union(spark):
         assert r.element_count == sum(q[0] == r.page_id and q[4] > q[2] and q[5] > q[3] and q[2] < r.x1 and r.x0 < q[4] and q[3] < r.y1 and r.y0 < q[5] for q in rects)
 
 
+def drawn_rects(width, count, seed):
+    random.seed(seed)
+    places = [(p, float(random.randint(-width, width)), float(random.randint(-width, width) // 4)) for p in (1, 2) for _ in range(count)]
+    return [(p, k, x, y, x + random.choice([0.0, 1.0, 4.0, 30.0]), y + random.choice([0.0, 1.0, 6.0, 22.0])) for k, (p, x, y) in enumerate(places)]
+
+
+@pytest.mark.parametrize("width, rows", [(1500, 500_000), (1500, 40), (60, 40)])
+def test_clusters_beyond_a_tile_and_tiles_beyond_a_task(spark, monkeypatch, width, rows):
+    monkeypatch.setattr(rg, "ROWS", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        rects = drawn_rects(width, 400, 6)
+        df = spark.createDataFrame(rects, "page_id long, seq long, x0 double, y0 double, x1 double, y1 double")
+        assert sorted(map(tuple, rg.clusters(spark, df).collect())) == brute_clusters(rects)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_linked_subcells_come_once_and_boxes_are_shuffled_once(spark):
+    rects = drawn_rects(150, 200, 7)
+    df = spark.createDataFrame(rects, "page_id long, seq long, x0 double, y0 double, x1 double, y1 double")
+    want = set()
+    solid = [(r[0], int(r[2] // 15), int(r[3] // 15), *r[2:]) for r in rects if r[4] > r[2] and r[5] > r[3]]
+    for a in solid:
+        for b in solid:
+            near = a[0] == b[0] and all(abs(a[k] // 2 - b[k] // 2) <= 1 for k in (1, 2)) and b[1:3] > a[1:3]
+            if near and a[3] - 15 < b[5] and b[3] < a[5] + 15 and a[4] - 15 < b[6] and b[4] < a[6] + 15:
+                want.add((a[0], a[1], a[2], b[1], b[2]))
+    links = rg.linked_subcells(df)
+    assert sorted(map(tuple, links.collect())) == sorted(want)
+    assert links._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2  # the plan, before and after it ran
+
+
 def test_components_within_keys(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (1, "c", "b"), (1, "d", "e"), (2, "p", "q"), (2, "a", "p")], "k long, src string, dst string")
     nodes = spark.createDataFrame([(1, n) for n in "abcdef"] + [(2, n) for n in "apq"], "k long, node string")

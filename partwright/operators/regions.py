@@ -39,6 +39,8 @@ TILE, BORDER = 64, 3
 WIDE = TILE + 2 * BORDER
 #: Boxes a task reads at once, and pairs of a stroke and a box it looks at in one go.
 ROWS, PAIRS = 500_000, 2_000_000
+#: Members are counted in grid cells of 2^COARSE or larger: below that, levels cost more rows than they spare pairs.
+COARSE = 9
 
 
 def has_area() -> Column:
@@ -321,16 +323,16 @@ def members_per_region(regions: DataFrame, rects: DataFrame) -> DataFrame:
     the corner of their overlap, so nothing is counted twice and no pair list is kept.
     """
     regions = regions.select("page_id", *[F.col(c).alias(f"r{c}") for c in BOX])
-    r_level = _level(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0"))
-    b_level = _level(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    coarse = lambda level: F.greatest(level, F.lit(COARSE))
+    r_level = coarse(_level(F.col("rx1") - F.col("rx0"), F.col("ry1") - F.col("ry0")))
+    b_level = coarse(_level(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
     region_box, rect_box = [F.col(f"r{c}") for c in BOX], [F.col(c) for c in BOX]
     rects = with_area(rects).select("page_id", *BOX)
     size = F.pow(F.lit(2.0), F.col("level"))
     corner = (F.floor(F.greatest("rx0", "x0") / size) == F.col("cx")) & (F.floor(F.greatest("ry0", "y0") / size) == F.col("cy"))
     overlap = (F.col("x0") < F.col("rx1")) & (F.col("rx0") < F.col("x1")) & (F.col("y0") < F.col("ry1")) & (F.col("ry0") < F.col("y1"))
     keys = ["page_id", "level", "cx", "cy"]
-    region_levels = _levels(regions.select(*[F.col(f"r{c}").alias(c) for c in BOX]))
-    rect_levels = _levels(rects)
+    region_levels, rect_levels = (df.groupBy().agg(F.array_sort(F.collect_set(level)).alias("levels")) for df, level in ((regions, r_level), (rects, b_level)))
     lowest = F.broadcast(regions.agg(F.min(r_level).alias("lowest")))  # one row
     small_rects = rects.crossJoin(F.broadcast(region_levels)).withColumn("at", F.explode(F.filter("levels", lambda l: l >= b_level))).drop("levels")  # one row
     inside = _cells(regions, r_level, *region_box).join(_cells(small_rects, F.col("at"), *rect_box).drop("at"), keys)

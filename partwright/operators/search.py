@@ -1,8 +1,10 @@
 """Keyword search of many questions over many texts, however long, without a cross join.
 
-Texts are not cut up. All distinct keywords form one automaton (in shares, where they are too many for one), and a
-single pass over the texts finds every keyword in each of them. Only the first rows per keyword and table can reach an
-answer, so a task hands on just those, and each later level keeps just its own.
+A keyword lies within one word of a text, and a row among the first with the keyword is among the first with that word.
+So one pass over the texts gives every distinct word with its first rows, and keywords meet words, not texts. All
+distinct keywords form one automaton (in shares, where they are too many for one). Keywords that may reach beyond a
+word, which hold ``_`` or a separator, are sought in the whole texts. Only the first rows per keyword and table can
+reach an answer, so a task hands on just those, and each later level keeps just its own.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ FOUND_TEXT = "По вашему вопросу найдено в базе НСИ
 KEYWORDS = 200_000
 #: What stands for any one letter in a keyword, as in SQL.
 ANY = "_"
+#: What ends a word, here and in Java: ASCII other than letters, digits, hyphen and underscore. Other signs stay in words.
+SEPARATORS = r"[\x00-\x2C\x2E\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
+#: Words and their characters a task holds before it hands them on.
+WORDS, LETTERS = 400_000, 20_000_000
 
 
 def index_of(table: DataFrame, rank: int, name: str, row_id: str, search: list[str], summary: list[str]) -> DataFrame:
@@ -105,11 +111,10 @@ def _one_automaton(words: list[str], texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(scan, FOUND)
 
 
-def _in_shares(words: DataFrame, count: int, texts: DataFrame) -> DataFrame:
+def _in_shares(words: DataFrame, count: int, texts: DataFrame, slices: int) -> DataFrame:
     """Keywords fall into shares of about ``KEYWORDS``; a slot has the keywords of one share and a slice of the texts, and
     builds its automaton from the rows that come first. Texts are shuffled once per share."""
     shares = -(-count // KEYWORDS)
-    slices = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.pmod(F.xxhash64("keyword"), F.lit(shares)).cast("int")
     word = words.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), share.alias("share"), F.lit(0).alias("kind"), "keyword", F.lit(0).alias("table_rank"), F.lit(0).cast("long").alias("row_id"), F.lit(None).cast("array<string>").alias("texts"))
     text = texts.select(F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("keyword"), "table_rank", "row_id", "texts")
@@ -135,6 +140,46 @@ def _in_shares(words: DataFrame, count: int, texts: DataFrame) -> DataFrame:
     return slots.mapInArrow(scan, FOUND)
 
 
+def first_rows_of_words(texts: DataFrame) -> DataFrame:
+    """``table_rank, row_id, texts``: the distinct words of the texts, each with its first rows per table only."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, seen, held, letters = re.compile(SEPARATORS), {}, 0, 0
+
+        def rows() -> pa.RecordBatch:
+            found = [(rank, word, first) for rank, words in seen.items() for word, first in words.items()]
+            ranks, words, firsts = list(zip(*found)) or [(), (), ()]
+            return pa.record_batch([pa.array(ranks, pa.int32()), pa.array(words, pa.string()), pa.array(firsts, pa.list_(pa.int64()))], ["table_rank", "word", "first"])
+
+        for batch in batches:
+            for rank, row_id, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                known = seen.setdefault(rank, {})
+                for word in {word for text in own for word in apart.split(text)}:
+                    first = known.get(word)
+                    if first is None:
+                        known[word] = (row_id,)
+                        held, letters = held + 1, letters + len(word)
+                    elif (len(first) < ROWS_PER_TABLE or row_id < first[-1]) and row_id not in first:
+                        known[word] = tuple(sorted((*first, row_id))[:ROWS_PER_TABLE])
+                if held >= WORDS or letters >= LETTERS:
+                    yield rows()
+                    seen, held, letters = {}, 0, 0
+        yield rows()
+
+    found = texts.mapInArrow(cut, "table_rank int, word string, first array<bigint>").where("word <> ''")
+    # A task hands on three rows per word and table, so the set of one word stays small.
+    firsts = F.slice(F.array_sort(F.collect_set("row_id")), 1, ROWS_PER_TABLE)
+    first = found.select("table_rank", "word", F.explode("first").alias("row_id")).groupBy("table_rank", "word").agg(firsts.alias("first"))
+    return first.select("table_rank", F.explode("first").alias("row_id"), F.array("word").alias("texts"))
+
+
+def _hits(words: DataFrame, count: int, texts: DataFrame, least: int) -> DataFrame:
+    """Keywords against texts; of many keywords each slot builds its automaton for at least so many texts."""
+    if count <= KEYWORDS:
+        return _one_automaton([r.keyword for r in words.collect()], texts)
+    slices = min(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.count() // least + 1)
+    return _in_shares(words, count, texts, slices)
+
+
 def keyword_hits(keywords: DataFrame, index: DataFrame) -> DataFrame:
     """First matching rows of every distinct keyword and table: ``keyword, table_rank, row_id``.
 
@@ -142,19 +187,27 @@ def keyword_hits(keywords: DataFrame, index: DataFrame) -> DataFrame:
     """
     words = cut_lineage(keywords.select("keyword").where(F.length("keyword") > 0).distinct())
     texts = index.select(F.col("table_rank").cast("int").alias("table_rank"), "row_id", "texts")
-    count = words.count()
-    found = _one_automaton([r.keyword for r in words.collect()], texts) if count <= KEYWORDS else _in_shares(words, count, texts)
+    beyond = F.contains("keyword", F.lit(ANY)) | F.col("keyword").rlike(SEPARATORS)
+    counts = words.agg(F.count_if(~beyond).alias("within"), F.count_if(beyond).alias("beyond")).first()
+    found = _hits(words.where(~beyond), counts["within"], cut_lineage(first_rows_of_words(texts)), KEYWORDS)
+    if counts["beyond"]:
+        found = found.unionByName(_hits(words.where(beyond), counts["beyond"], texts, 1))
     return _first(found.distinct(), ["keyword", "table_rank"], ["row_id"], ROWS_PER_TABLE)
 
 
 def search(questions: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
-    """Up to three rows per table and six per question, in table order: ``keys, place, table_name, row_id, summary``."""
-    asked = questions.select(*keys, F.explode(F.array_distinct(tx.keywords(F.col("question")))).alias("keyword"))
-    hits = cut_lineage(keyword_hits(asked, index))
-    found = asked.join(hits, "keyword").select(*keys, "table_rank", "row_id").distinct()
-    per_table = _first(found, [*keys, "table_rank"], ["row_id"], ROWS_PER_TABLE)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("table_rank", "row_id"))
-    top = per_table.withColumn("place", place).where(F.col("place") <= ROWS_PER_QUESTION)
+    """Up to three rows per table and six per question, in table order: ``keys, place, table_name, row_id, summary``.
+
+    Of a keyword's rows only the first six can reach an answer: each one before takes a place, or its table has three.
+    """
+    asked = cut_lineage(questions.select(*keys, F.explode(F.array_distinct(tx.keywords(F.col("question")))).alias("keyword")))
+    row = F.struct("table_rank", "row_id")
+    hits = keyword_hits(asked, index).groupBy("keyword").agg(F.slice(F.array_sort(F.collect_list(row)), 1, ROWS_PER_QUESTION).alias("rows"))
+    met = asked.join(cut_lineage(hits), "keyword").groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rows")))).alias("rows"))
+    # In order, a row is beyond the third of its table if the one three places before is of the same table.
+    third = F.filter("rows", lambda r, i: (i < ROWS_PER_TABLE) | (F.get(F.col("rows"), i - ROWS_PER_TABLE)["table_rank"] != r["table_rank"]))
+    top = met.select(*keys, F.posexplode(F.slice(third, 1, ROWS_PER_QUESTION)).alias("at", "row"))
+    top = top.select(*keys, (F.col("at") + 1).alias("place"), "row.*")
     return top.join(index.drop("texts"), ["table_rank", "row_id"]).select(*keys, "place", "table_name", "row_id", "summary")
 
 

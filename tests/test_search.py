@@ -58,3 +58,26 @@ def test_table_order_and_limits(spark):
     texts = {r.q: r.answer for r in se.answers(asks.select("q"), se.search(asks, index, ["q"]), ["q"]).collect()}
     assert texts[1].startswith(se.FOUND_TEXT + " (6):\n— one · bolt 0") and texts[2] == texts[3] == se.NO_MATCH_TEXT
     assert se.search(asks.where(F.lit(False)), index, ["q"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [400_000, 2])
+def test_words_are_handed_on_with_their_first_rows_only(spark, monkeypatch, most):
+    monkeypatch.setattr(se, "WORDS", most)
+    texts = spark.createDataFrame([(1, k, [f"bolt, м{k % 2} (nut)bolt", "a_b"] if k < 50 else []) for k in range(60)], "table_rank int, row_id long, texts array<string>").repartition(3)
+    got = sorted((r.texts[0], r.row_id) for r in se.first_rows_of_words(texts).collect())
+    assert got == sorted([(w, k) for w in ("bolt", "nut", "a_b") for k in range(3)] + [("м0", k) for k in (0, 2, 4)] + [("м1", k) for k in (1, 3, 5)])
+    asked = spark.createDataFrame([("t_b",), ("ol",), (", м1",), ("a_b",), ("м",)], "keyword string")
+    hits = {}
+    for r in se.keyword_hits(asked, texts.select("table_rank", "row_id", "texts")).collect():
+        hits.setdefault(r.keyword, set()).add(r.row_id)
+    assert hits == {"t_b": {0, 1, 2}, "ol": {0, 1, 2}, ", м1": {1, 3, 5}, "a_b": {0, 1, 2}, "м": {0, 1, 2}}
+
+
+def test_answers_take_tables_in_order_whatever_the_keyword(spark):
+    tables = [se.index_of(spark.createDataFrame([(k, f"{w} {k}") for k in range(5) for w in own], "id long, name string"), rank, f"t{rank}", "id", ["name"], ["name"])
+              for rank, own in ((1, ["screw"]), (2, ["bolt"]), (3, ["screw", "bolt"]))]
+    index = tables[0].unionByName(tables[1]).unionByName(tables[2].dropDuplicates(["row_id"]))
+    asks = spark.createDataFrame([(1, "screw bolt"), (2, "bolt")], "q long, question string")
+    got = se.search(asks, index, ["q"]).select("q", "place", "table_name", "row_id").collect()
+    assert sorted(map(tuple, got))[:6] == [(1, k + 1, "t1", k) for k in range(3)] + [(1, k + 4, "t2", k) for k in range(3)]
+    assert sorted((r.place, r.table_name, r.row_id) for r in got if r.q == 2)[:3] == [(k + 1, "t2", k) for k in range(3)]

@@ -39,7 +39,9 @@ def step_files(spark, d):
     whole = cat("ISO-10303-21;\nFILE_NAME('part.stp','", software, "');\n#1=PRODUCT('", text(key), "','", ESCAPED_NAME, " ", text(key), "');\n",
                 F.array_join(points, ""), F.array_join(faces, ""), again, "END-ISO-10303-21;\n")
     content = F.when(key % 4 == 0, tx.to_windows_1251(whole)).otherwise(F.encode(whole, "utf-8"))
-    return facts.read(spark, d, "part").select(key.alias("file_id"), content.alias("content"))
+    # Rows of part are small and lie in few splits; the texts made of them are not.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return facts.read(spark, d, "part").select("p_partkey", "p_size").repartition(tasks).select(key.alias("file_id"), content.alias("content"))
 
 
 def step_texts(spark, d):

@@ -186,3 +186,11 @@ def test_streams_of_three_batches_with_late_rows_equal_batch(spark, tmp_path):
     got = reviews.review_stream(spark, sq.as_submissions(stream))
     want = review.drawing_findings(spark, sq.as_submissions(events))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_step_texts_of_a_small_table_are_made_in_many_tasks(spark, tmp_path):
+    from partwright.bindings import document_queries as dq
+
+    spark.range(1, 40).selectExpr("id AS p_partkey", "id % 9 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = dq.step_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() >= 4 and files.select("file_id").distinct().count() == 39

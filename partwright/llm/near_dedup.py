@@ -21,6 +21,8 @@ from partwright.session import cut_lineage
 REGISTERS, BAND = 200, 5
 MANTISSA = 10
 SETS_PER_TILE = 1024
+#: Pairs of one search that are estimated at once.
+PAIRS = 32768
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -110,6 +112,52 @@ def _slack(n: np.ndarray, sigmas: float = 5.0) -> np.ndarray:
     return sigmas * np.sqrt(0.16 / np.minimum(n, REGISTERS))
 
 
+def linked_in_buckets(few: pd.DataFrame, many: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """``src, dst``: links between ``few`` and ``many`` of one bucket and different components, for any number of buckets.
+
+    ``many`` has all rows of a bucket (or of its tile), ``few`` those outside its largest component ``main``, so a pair
+    outside ``main`` is looked at from its smaller id only. A pair is looked at in the first of its common buckets;
+    likely partners are confirmed best first, until one of a component is. ``PAIRS`` are estimated at once.
+    """
+    out = []
+    if len(few) and len(many):
+        many = many.sort_values("bucket", kind="stable")
+        by_chance = accident()
+        few_regs, many_regs = _registers_of(few["regs"]), _registers_of(many["regs"])
+        few_bands, many_bands = band_hashes(few_regs), band_hashes(many_regs)
+        bucket, ids, main, component = (few[c].to_numpy() for c in ("bucket", "doc_id", "main", "component"))
+        other_bucket, other_ids, other_component = (many[c].to_numpy() for c in ("bucket", "doc_id", "component"))
+        sets, other_sets = few["s"].to_numpy(), many["s"].to_numpy()
+        size, other_size = (np.array([len(s) // 8 for s in of]) for of in (sets, other_sets))
+        before = np.arange(few_bands.shape[1]) < (few_bands == bucket[:, None]).argmax(axis=1)[:, None]
+        low, high = (np.searchsorted(other_bucket, bucket, side) for side in ("left", "right"))
+        upto = np.concatenate([[0], np.cumsum(high - low)])
+        begin = 0
+        while begin < len(few):
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + PAIRS, "right")) - 1)
+            i = np.repeat(np.arange(begin, end), (high - low)[begin:end])
+            j = np.arange(upto[begin], upto[end]) - upto[i] + low[i]
+            begin = end
+            fit = (component[i] != other_component[j]) & ((other_component[j] == main[i]) | (ids[i] < other_ids[j]))
+            fit &= 100 * np.minimum(size[i], other_size[j]) >= percent * np.maximum(size[i], other_size[j])
+            i, j = i[fit], j[fit]
+            fit = ~((many_bands[j] == few_bands[i]) & before[i]).any(axis=1)
+            i, j = i[fit], j[fit]
+            estimate = ((many_regs[j] == few_regs[i]).mean(axis=1) - by_chance) / (1 - by_chance)
+            hopeful = estimate >= percent / 100 - _slack(np.minimum(size[i], other_size[j]))
+            i, j, estimate = i[hopeful], j[hopeful], estimate[hopeful]
+            met = set()
+            for k in np.lexsort((-estimate, i)):
+                one, two = i[k], j[k]
+                if (one, other_component[two]) not in met:
+                    a, b = np.frombuffer(sets[one], dtype=np.uint64), np.frombuffer(other_sets[two], dtype=np.uint64)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        met.add((one, other_component[two]))
+                        out.append((ids[one], other_ids[two]))
+    return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row.
 
@@ -121,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
        pairs whose sizes or corrected estimate rule a link out are dropped, the others are confirmed on full sets.
     3. Buckets that still hold several components are searched in tiles of bounded size: members outside the bucket's
        largest component meet all members of others, each pair in the first bucket they share, by sizes, estimate and
-       full sets; one link per member and component is enough.
+       full sets; one link per member and component is enough. Small buckets share a call.
     So a bucket is never expanded into all its pairs, and no link between bucket mates of different components is lost.
 
     Sets are compared by 64-bit hashes of shingles. Empty sets (null or empty texts) link with nothing. Rows that
@@ -206,41 +254,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tiles = placed.join(mixed, "bucket").withColumn("tiles", F.ceil(F.col("members") / SETS_PER_TILE).cast("int"))
     tiles = tiles.join(sets, "doc_id").join(classes.select("doc_id", "regs"), "doc_id").select("bucket", "tiles", "main", "doc_id", "component", "s", "regs")
     tiles = cut_lineage(tiles)
+    # Buckets of one tile are mostly a few rows: many of them go through one call together, about a tile's rows in each.
+    small = mixed.where(F.col("members") <= SETS_PER_TILE).agg(F.sum("members").alias("n")).first()["n"] or 0
+    alone = F.col("tiles") > 1
+    pack = F.when(alone, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(max(1, math.ceil(small / SETS_PER_TILE)))))
+    tiles = tiles.select(alone.alias("alone"), pack.alias("pack"), *tiles.columns)
     own_tile = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    right = tiles.select("bucket", own_tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), "doc_id", "component", "s", "regs")
+    row = ["bucket", "doc_id", "component", "s", "regs"]
+    right = tiles.select("alone", "pack", own_tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), *row)
     right = right.toDF(*right.columns)
-    left = tiles.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), own_tile.alias("part"), "doc_id", "component", "s", "regs")
+    left = tiles.where("component <> main").select("alone", "pack", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), own_tile.alias("part"), "main", *row)
 
     def search(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        """A pair is looked at in the first of its common buckets only; likely partners are confirmed best first, until
-        one of a component is."""
-        out = []
-        if len(few) and len(many):
-            by_chance = accident()
-            few_regs, many_regs = _registers_of(few["regs"]), _registers_of(many["regs"])
-            few_bands, many_bands = band_hashes(few_regs), band_hashes(many_regs)
-            band = int(np.flatnonzero(few_bands[0] == few["bucket"].iloc[0])[0])
-            sets_of = [np.frombuffer(s, dtype=np.uint64) for s in many["s"]]
-            size = np.array([len(s) for s in sets_of])
-            component, ids = many["component"].to_numpy(), many["doc_id"].to_numpy()
-            for i, (doc, comp, s) in enumerate(zip(few["doc_id"], few["component"], few["s"])):
-                own = np.frombuffer(s, dtype=np.uint64)
-                fit = (component != comp) & (100 * np.minimum(size, len(own)) >= percent * np.maximum(size, len(own)))
-                fit[fit] = ~(many_bands[fit, :band] == few_bands[i, :band]).any(axis=1)
-                near = np.flatnonzero(fit)
-                estimate = ((many_regs[near] == few_regs[i]).mean(axis=1) - by_chance) / (1 - by_chance)
-                hopeful = estimate >= percent / 100 - _slack(np.minimum(size[near], len(own)))
-                near, estimate = near[hopeful], estimate[hopeful]
-                met = set()
-                for j in near[np.argsort(-estimate, kind="stable")]:
-                    if component[j] not in met:
-                        both = len(np.intersect1d(own, sets_of[j], assume_unique=True))
-                        if 100 * both >= percent * (len(own) + size[j] - both):
-                            met.add(component[j])
-                            out.append((doc, ids[j]))
-        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
-
-    more = left.groupBy("bucket", "tile", "part").cogroup(right.groupBy("bucket", "tile", "part")).applyInPandas(search, "src long, dst long")
+        return linked_in_buckets(few, many, percent)
+
+    packed = ["alone", "pack", "tile", "part"]
+    more = left.groupBy(*packed).cogroup(right.groupBy(*packed)).applyInPandas(search, "src long, dst long")
     joined = more.distinct()
     over = joined.join(found.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src", "left").join(found.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst", "left")
     over = connected(over.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")))

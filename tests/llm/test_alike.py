@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from partwright.llm.near_dedup import accident, near_duplicates, registers, shingle_set
+from partwright.llm import near_dedup
+from partwright.llm.near_dedup import accident, band_hashes, linked_in_buckets, near_duplicates, registers, shingle_set
 from partwright.llm.nearest import nearest
 from partwright.llm.piecewise import alike, edit_distances, fingerprint, fingerprints, with_next
 from partwright.llm.queries import _compared, edited
@@ -56,6 +58,28 @@ def test_a_large_group_of_drifting_copies_loses_no_link(spark):
     assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=str) == brute_components(rows, 2, 80)
 
 
+def test_one_call_searches_many_buckets(monkeypatch):
+    r = random.Random(6)
+    rows = []
+    for family in range(30):
+        seed = [f"f{family}w{k}" for k in range(80)]
+        for copy in range(4):
+            words = [f"c{copy}" if r.random() < 0.02 * copy else w for w in seed]
+            s = shingle_set(" ".join(words), 1)
+            for band, bucket in enumerate(band_hashes(registers(s)[None, :])[0].tolist()):
+                rows.append((bucket, band, 10 * family + copy, 10 * family + copy, s.tobytes(), registers(s).tobytes()))
+    table = pd.DataFrame(rows, columns=["bucket", "band", "doc_id", "component", "s", "regs"])
+    table["main"] = table.groupby("bucket")["component"].transform("max")
+    few = table[table["component"] != table["main"]].sample(frac=1, random_state=1)
+    sets = {row.doc_id: set(np.frombuffer(row.s, dtype=np.uint64).tolist()) for row in table.itertuples()}
+    shared = {(a.doc_id, b) for _, bucket in table.groupby("bucket") for a in bucket.itertuples() for b in bucket["doc_id"] if a.doc_id < b}
+    want = {(a, b) for a, b in shared if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    for pairs in (near_dedup.PAIRS, 7):
+        monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+        got = linked_in_buckets(few, table, 80)
+        assert {tuple(sorted(p)) for p in got.itertuples(index=False)} == want and len(got) == len(want) > 60
+
+
 def test_corrected_estimates():
     r = random.Random(8)
     for share in (0.2, 0.5, 0.8):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partwright.functions import text as tx
 
@@ -40,16 +44,40 @@ def _known() -> Column:
     return F.col("text").isin(KNOWN_LABELS)
 
 
+LINE = ["doc_id", "block_num", "par_num", "line_num"]
+_BOX = [("x0", "min"), ("y0", "min"), ("x1", "max"), ("y1", "max")]
+
+
+def _parts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a line that lie in one batch as one row: their box, and their numbers and texts as lists."""
+    made = [*_BOX, ("x1_nan", "any"), ("y1_nan", "any"), ("word_no", "list"), ("text", "list")]
+    for batch in batches:
+        if batch.num_rows:
+            parts = pa.Table.from_batches([batch]).group_by(LINE, use_threads=False).aggregate(made)
+            parts = parts.select([*LINE, *[f"{c}_{f}" for c, f in made]]).rename_columns([*LINE, *[c for c, _ in made]])
+            yield from parts.combine_chunks().to_batches()
+
+
 def words_to_lines(words: DataFrame, zoom: float) -> DataFrame:
     """Words grouped by (block, paragraph, line): box of the words, text joined by a space; blank words dropped.
 
-    The group is one printed line, whose text becomes one value.
+    The group is one printed line, whose text becomes one value. Words of a line mostly come together, so each batch
+    makes them one row before anything is shuffled; words may come in any order and a line in any number of batches.
     """
-    kept = words.where(tx.strip(F.col("text")) != "")
-    ordered = F.array_sort(F.collect_list(F.struct("word_no", "text")))
-    return kept.groupBy("doc_id", "block_num", "par_num", "line_num").agg(
-        (F.min("left") / zoom).alias("x0"), (F.min("top") / zoom).alias("y0"), (F.max(F.col("left") + F.col("width")) / zoom).alias("x1"),
-        (F.max(F.col("top") + F.col("height")) / zoom).alias("y1"), F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"),
+    right, bottom = F.col("left") + F.col("width"), F.col("top") + F.col("height")
+    kept = words.where(tx.strip(F.col("text")) != "").select(
+        *LINE, F.col("left").alias("x0"), F.col("top").alias("y0"), right.alias("x1"), bottom.alias("y1"),
+        F.isnan(right).alias("x1_nan"), F.isnan(bottom).alias("y1_nan"), "word_no", "text",
+    )
+    listed = {"word_no", "text"}
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType) if f.name in listed else f.dataType) for f in kept.schema])
+    parts = kept.mapInArrow(_parts_of_lines, schema).repartition(*LINE)
+    ordered = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("word_no", "text"))))
+    # Arrow's largest value leaves NaN out, which is the largest there is.
+    largest = lambda c: F.when(F.bool_or(f"{c}_nan"), F.lit(float("nan"))).otherwise(F.max(c))
+    return parts.groupBy(*LINE).agg(
+        (F.min("x0") / zoom).alias("x0"), (F.min("y0") / zoom).alias("y0"), (largest("x1") / zoom).alias("x1"),
+        (largest("y1") / zoom).alias("y1"), F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"),
     )
 
 

@@ -194,3 +194,24 @@ def test_step_texts_of_a_small_table_are_made_in_many_tasks(spark, tmp_path):
     spark.range(1, 40).selectExpr("id AS p_partkey", "id % 9 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     files = dq.step_files(spark, str(tmp_path))
     assert files.rdd.getNumPartitions() >= 4 and files.select("file_id").distinct().count() == 39
+
+
+def test_words_become_lines_before_they_are_shuffled(spark):
+    random.seed(12)
+    rows = []
+    for doc, line in ((d, l) for d in (1, 2, None) for l in range(40)):
+        for no in range(random.randint(1, 12)):
+            left = random.choice([None, math.nan, 1.0, 7.5, -3.0, math.inf]) if line % 7 == 0 else random.random()
+            rows.append((doc, line % 3, line // 5, line, no, left, random.random(), 2.0, random.choice([1.0, math.nan]), random.choice(["a", "b c", " ", "", None, "ж"])))
+    words = spark.createDataFrame(rows, "doc_id long, block_num int, par_num int, line_num int, word_no int, left double, top double, width double, height double, text string")
+    keys = ["doc_id", "block_num", "par_num", "line_num"]
+    kept = words.where("trim(text) <> ''")
+    want = kept.groupBy(*keys).agg(
+        (F.min("left") / 2).alias("x0"), (F.min("top") / 2).alias("y0"), (F.max(F.col("left") + 2) / 2).alias("x1"), (F.max(F.col("top") + F.col("height")) / 2).alias("y1"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " ").alias("text"),
+    )
+    for given in (words.coalesce(1), words.repartition(3, F.rand(1))):
+        got = ly.words_to_lines(given, 2.0)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        written = got._jdf.queryExecution().executedPlan().toString()
+        assert written.index("Exchange") < written.index("MapInArrow")  # the plan is printed from its end

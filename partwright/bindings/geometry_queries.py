@@ -57,7 +57,7 @@ def _(spark, d):
 
 @add("w10_step_ranges", "SELECT plan_id, op_no, start_step, end_step FROM op_ranges")
 def _(spark, d):
-    return tp.step_ranges(moves(spark, d))
+    return tp.step_ranges(unnumbered_moves(spark, d))
 
 
 @add("w11_time_boundaries", """SELECT plan_id, op_no, start_step / (CASE WHEN total = 0 THEN 1 ELSE total END) * 15000 AS start_ms,
@@ -77,7 +77,7 @@ def _(spark, d):
     FROM (SELECT o_orderkey AS plan_id, o_custkey % 6 AS step FROM orders) p WHERE p.plan_id IN (SELECT plan_id FROM op_ranges)""")
 def _(spark, d):
     probes = facts.read(spark, d, "orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_custkey") % 6).alias("step"))
-    return tp.active_operation(probes, tp.step_ranges(moves(spark, d)))
+    return tp.active_operation(probes, tp.step_ranges(unnumbered_moves(spark, d)))
 
 
 BOX = ["plan_id", "x_min", "x_max", "y_min", "y_max", "z_min", "z_max"]

@@ -7,10 +7,14 @@ run per (group, bucket) and the few per-bucket totals carry the state across buc
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwright.session import cut_lineage
+
 BUCKET_ROWS = 65536
 
 
@@ -23,7 +27,7 @@ Values = Callable[[str], Column]
 
 def scan(
     df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], position: str = "position", row: list[str] | None = None,
-    sums: dict[str, Callable[[Values, Values], Column]] | None = None,
+    sums: dict[str, Callable[[Values, Values], Column]] | None = None, fine: bool = False,
 ) -> DataFrame:
     """One pass over ``df`` in ``order`` within ``keys``: adds the 1-based place ``position``, the columns ``row`` of the row
     before as ``prev_<column>`` (null for a first row), and for every item of ``sums`` the running total of what it
@@ -33,17 +37,31 @@ def scan(
     bucket has a summary (its rows, first and last row, its totals without the first row); summaries are few, and in
     their order each learns the last row and the totals before its bucket, which is all its rows need. Without ``sums``
     summaries come from partial sums, so the table itself is shuffled once; with them it is ordered for them as well.
+
+    ``fine`` says that ``coarse`` cuts small groups as well, into buckets of hardly a row each. Groups are counted first
+    then, and only those of more than ``BUCKET_ROWS`` rows are cut and have summaries; the others lie in one bucket each.
     """
     sums, row = sums or {}, row or []
     coarse = coarse or [F.lit(0)]
     cuts = [f"_c{i}" for i in range(len(coarse))]
-    cut = df.select("*", *[c.alias(n) for c, n in zip(coarse, cuts)])
+    if fine:
+        large = cut_lineage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET_ROWS).select(*keys, F.lit(True).alias("_large")))
+        df_cut = df.join(large, keys, "left").withColumn("_large", F.coalesce("_large", F.lit(False)))
+        cut = df_cut.select(*df.columns, "_large", *[F.when(F.col("_large"), c).alias(n) for c, n in zip(coarse, cuts)])
+    else:
+        cut = df.select("*", F.lit(True).alias("_large"), *[c.alias(n) for c, n in zip(coarse, cuts)])
     w = Window.partitionBy(*keys, *cuts).orderBy(*order)
     values = F.struct(*row) if row else F.struct(F.lit(1).alias("_"))
-    local = cut.select("*", F.row_number().over(w).alias("_local"), F.lag(values).over(w).alias("_prev"), values.alias("_row"))
     of = lambda struct: lambda name: F.col(struct)[name]
-    local = local.select("*", *[F.when(F.col("_local") > 1, add(of("_row"), of("_prev"))).alias(f"_v_{n}") for n, add in sums.items()])
-    summary = local.groupBy(*keys, *cuts).agg(
+    # The first row of a large group's bucket follows the bucket before; all others follow a row at hand or none.
+    at_hand = ~F.col("_large") | (F.col("_local") > 1)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        found = rows.select("*", F.row_number().over(w).alias("_local"), F.lag(values).over(w).alias("_prev"), values.alias("_row"))
+        return found.select("*", *[F.when(at_hand, add(of("_row"), of("_prev"))).alias(f"_v_{n}") for n, add in sums.items()])
+
+    local = placed(cut)
+    summary = (placed(cut.where("_large")) if fine else local).groupBy(*keys, *cuts).agg(
         F.count("*").alias("_n"), F.min_by("_row", F.struct(*order)).alias("_first"), F.max_by("_row", F.struct(*order)).alias("_last"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
     )
     over = Window.partitionBy(*keys).orderBy(*cuts)
@@ -54,7 +72,14 @@ def scan(
     start = [(none(F.sum(none(F.col(f"_a_{n}")) + none(F.col(f"_t_{n}"))).over(earlier)) + none(F.col(f"_a_{n}"))).alias(f"_s_{n}") for n in sums]
     summary = summary.select(*keys, *cuts, "_carry", "_before", *start)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = local.select("*", *[none(F.sum(f"_v_{n}").over(upto)).alias(f"_r_{n}") for n in sums]).join(summary, [*keys, *cuts])
+    local = local.select("*", *[none(F.sum(f"_v_{n}").over(upto)).alias(f"_r_{n}") for n in sums])
+    if fine:
+        # Null-safe: null is a value like others in an order.
+        known = cut_lineage(summary).withColumnsRenamed({c: f"_of_{c}" for c in [*keys, *cuts]})
+        out = local.join(known, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, *cuts]]), "left")
+        out = out.withColumns({c: none(F.col(c)) for c in ["_before", *[f"_s_{n}" for n in sums]]})
+    else:
+        out = local.join(summary, [*keys, *cuts])
     before = F.coalesce("_prev", "_carry")
     return out.select(
         *df.columns, (F.col("_local") + F.col("_before")).cast("bigint").alias(position), *[before[c].alias(f"prev_{c}") for c in row],
@@ -64,7 +89,7 @@ def scan(
 
 def dense_position(df: DataFrame, keys: list[str], coarse: list[Column], order: list[str], name: str = "position") -> DataFrame:
     """1-based rank inside ``keys`` by ``order``; ``coarse`` is monotone in ``order`` and cuts big groups."""
-    return scan(df, keys, coarse, order, name)
+    return scan(df, keys, coarse, order, name, fine=bool(coarse))
 
 
 def with_previous(df: DataFrame, keys: list[str], position: str, values: list[str], size: int = BUCKET_ROWS) -> DataFrame:
@@ -85,6 +110,7 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, slot: Column, valu
     known = F.when(F.col(value).isNotNull(), F.col(order))
     lasts = cut.groupBy(*keys, "_s").agg(F.max_by(value, known).alias("_l"))
     over = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.withColumn("_carry", F.last("_l", ignorenulls=True).over(over)).drop("_l")
-    out = cut.withColumn("_own", F.last(value, ignorenulls=True).over(w)).join(carried, [*keys, "_s"])
+    # A group of one slot, as most are, has nothing to hand on.
+    carried = lasts.withColumn("_carry", F.last("_l", ignorenulls=True).over(over)).drop("_l").where("_carry is not null")
+    out = cut.withColumn("_own", F.last(value, ignorenulls=True).over(w)).join(carried, [*keys, "_s"], "left")
     return out.withColumn(name, F.coalesce("_own", "_carry")).drop("_s", "_own", "_carry")

@@ -42,7 +42,7 @@ def scanned(moves: DataFrame, coarse: list[Column] | None = None, order: list[st
     """
     step = {"step": lambda now, before: F.when(_cuts(now, before), F.lit(1).cast("long"))}
     at = "move_no" if order else "_at"
-    out = seq.scan(moves, ["plan_id"], coarse or [seq.bucket("move_no")], order or ["move_no"], at, ROW, step)
+    out = seq.scan(moves, ["plan_id"], coarse or [seq.bucket("move_no")], order or ["move_no"], at, ROW, step, fine=bool(coarse))
     same = F.col("prev_op_no") == F.col("op_no")
     return out.select(*moves.columns, *(["move_no"] if order else []), *[F.when(same, F.col(f"prev_{c}")).alias(f"prev_{c}") for c in POINT], "step")
 

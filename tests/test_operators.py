@@ -215,3 +215,27 @@ def test_words_become_lines_before_they_are_shuffled(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         written = got._jdf.queryExecution().executedPlan().toString()
         assert written.index("Exchange") < written.index("MapInArrow")  # the plan is printed from its end
+
+
+def test_only_large_groups_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(seq, "BUCKET_ROWS", 6)
+    random.seed(7)
+    rows = [(k, random.choice([None, 1, 2, 3]), p, random.randint(0, 9)) for k, n in ((1, 40), (2, 3), (3, 6), (None, 4), (5, 17)) for p in range(n)]
+    df = spark.createDataFrame(rows, "k long, c int, p int, v int").repartition(3)
+    sums = {"up": lambda now, before: F.when(F.coalesce(before("v") < now("v"), F.lit(True)), now("v"))}
+    got = seq.scan(df, ["k"], [F.col("c"), F.floor(F.col("p") / 2)], ["c", "p"], "at", ["v"], sums, fine=True).collect()
+    want = []
+    for key in (1, 2, 3, None, 5):
+        total, before = 0, None
+        for at, (k, c, p, v) in enumerate(sorted([r for r in rows if r[0] == key], key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
+            total += v if before is None or before < v else 0
+            want.append((k, c, p, v, at, before, total))
+            before = v
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_values_are_carried_over_slots_and_null_keys(spark):
+    rows = [(k, o, 10 * o if o in (0, 5) else None) for k in (1, None) for o in range(9)]
+    df = spark.createDataFrame(rows, "k int, o int, v int")
+    held = seq.carry_forward(df, ["k"], "o", F.floor(F.col("o") / 9), "v", "h").collect()
+    assert sorted([(r.k, r.o, r.h) for r in held], key=str) == sorted([(k, o, 50 if o >= 5 else 0) for k, o, _ in rows], key=str)

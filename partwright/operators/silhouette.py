@@ -14,6 +14,10 @@ from partwright.operators import graph
 from partwright.session import cut_lineage
 
 
+# Tables with rows for every picture grow with the input, and as files they look far smaller than their rows are in
+# memory: they are joined by shuffle, so that none passes through the driver.
+SHUFFLED = "merge"
+
 # ---- fixed values ---------------------------------------------------------------------------
 CANVAS = 260
 TARGET_DIAMETER = 140.0
@@ -47,7 +51,7 @@ def runs(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     ``edge`` marks light runs at the border of the picture or beside pixels that are not there.
     """
-    lit = pixels.join(thresholds, "photo_id").select("photo_id", "x", "y", (F.col("grey") <= F.col("threshold")).alias("dark")).distinct()
+    lit = pixels.join(thresholds.hint(SHUFFLED), "photo_id").select("photo_id", "x", "y", (F.col("grey") <= F.col("threshold")).alias("dark")).distinct()
     at = F.row_number().over(Window.partitionBy("photo_id", "y", "dark").orderBy("x"))
     found = lit.withColumn("run", F.col("x") - at).groupBy("photo_id", "y", "dark", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     row = Window.partitionBy("photo_id", "y").orderBy("x0")
@@ -66,7 +70,7 @@ def _joined_runs(parts: DataFrame, reach: int, below: list[int]) -> DataFrame:
     """Links ``photo_id, src, dst`` of runs that touch, ``reach`` pixels diagonally allowed, in rows ``below`` apart."""
     upper = parts.select("photo_id", _node("y", "x0").alias("src"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.explode(F.array(*[F.col("y") + k for k in below])).alias("y"))
     lower = parts.select("photo_id", "y", _node("y", "x0").alias("dst"), "x0", "x1")
-    met = upper.join(lower, ["photo_id", "y"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach))
+    met = upper.join(lower.hint(SHUFFLED), ["photo_id", "y"]).where((F.col("a0") <= F.col("x1") + reach) & (F.col("x0") <= F.col("a1") + reach))
     return met.select("photo_id", "src", "dst")
 
 
@@ -82,13 +86,13 @@ def outlines(parts: DataFrame) -> DataFrame:
     reached = graph.connected_in_tiles(_joined_runs(light, 0, [1]).unionByName(sea), ["photo_id"], ["photo_id"])
     outside = reached.where((F.col("component") == -1) & (F.col("node") != -1)).select("photo_id", F.col("node").alias("_n"))
     named = parts.withColumn("node", _node("y", "x0"))
-    solid = named.join(outside, (named["photo_id"] == outside["photo_id"]) & (F.col("node") == F.col("_n")), "left_anti")
+    solid = named.join(outside.hint(SHUFFLED), (named["photo_id"] == outside["photo_id"]) & (F.col("node") == F.col("_n")), "left_anti")
     solid = cut_lineage(solid.select("photo_id", "y", "x0", "x1", "node"))
     labels = graph.connected_in_tiles(_joined_runs(solid, 1, [0, 1]), ["photo_id"], ["photo_id"])
-    labelled = solid.join(labels, ["photo_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = solid.join(labels.hint(SHUFFLED), ["photo_id", "node"], "left").withColumn("component", F.coalesce("component", "node"))
     sized = labelled.groupBy("photo_id", "component").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     best = sized.groupBy("photo_id").agg(F.max_by("component", F.struct("area", (-F.col("component")).alias("first"))).alias("component"))
-    return labelled.join(best, ["photo_id", "component"], "left_semi").select("photo_id", "y", "x0", "x1")
+    return labelled.join(best.hint(SHUFFLED), ["photo_id", "component"], "left_semi").select("photo_id", "y", "x0", "x1")
 
 
 def masks(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -146,8 +150,9 @@ def best_rotations(pairs: DataFrame, raster: DataFrame, width: int, height: int,
     silhouette give a null score.
     """
     raster = cut_lineage(raster.select("photo_id", "dark", "cx", "cy", "scale"))
-    ref = raster.select(*[F.col(c).alias(f"ref_{c}" if c != "photo_id" else "ref_id") for c in raster.columns])
-    joined = pairs.join(raster, "photo_id", "left").join(ref, "ref_id", "left")
+    wanted = raster.join(pairs.select(F.col("ref_id").alias("photo_id")).distinct().hint(SHUFFLED), "photo_id", "left_semi")
+    ref = cut_lineage(wanted).select(*[F.col(c).alias(f"ref_{c}" if c != "photo_id" else "ref_id") for c in raster.columns])
+    joined = pairs.join(raster.hint(SHUFFLED), "photo_id", "left").join(ref, "ref_id", "left")
     workers = pairs.sparkSession.sparkContext.defaultParallelism
     joined = joined.repartition(max(workers, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "photo_id", "ref_id")
     schema = T.StructType([T.StructField("photo_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("score", T.DoubleType()),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partwright.operators import graph
 from partwright.operators import silhouette as si
+from partwright.session import cut_lineage
 
 
 def table(spark, pictures):
@@ -113,3 +114,12 @@ def test_tiles_of_a_graph(spark, monkeypatch, chunk):
         assert graph.connected_in_tiles(df.limit(0), ["k"], ["k"]).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_tables_of_all_pictures_are_not_broadcast(spark):
+    pixels = spark.range(40 * 36).selectExpr("id div 36 as photo_id", "id % 6 as x", "cast(id % 36 div 6 as int) as y", "cast(pmod(hash(id), 256) as int) as grey")
+    mask = cut_lineage(si.masks(pixels, si.otsu_thresholds(pixels)))
+    for table in (si._joined_runs(si.runs(pixels, si.otsu_thresholds(pixels)), 1, [0, 1]), si.masks(pixels, si.otsu_thresholds(pixels))):
+        table.collect()
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    assert mask.select("photo_id").distinct().count() == 40

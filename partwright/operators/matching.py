@@ -158,13 +158,17 @@ def check_title_block(drawings: DataFrame, fields: DataFrame, standards: DataFra
     )
 
 
+def first_bad_position() -> Column:
+    """Aggregate: the first list position whose item number differs from it, null if there is none."""
+    return F.min(F.when(F.col("number") != F.col("pos"), F.col("pos")))
+
+
 def check_numbering(requirements: DataFrame) -> DataFrame:
     """Item numbers must be 1..n in listed order; drawings without items give no row.
 
     The list position is a column, so this is one aggregate with map-side combine.
     """
-    bad = F.min(F.when(F.col("number") != F.col("pos"), F.col("pos")))
-    return requirements.groupBy("part_id").agg(F.count(F.lit(1)).alias("items"), bad.alias("first_bad_pos")).select(
+    return requirements.groupBy("part_id").agg(F.count(F.lit(1)).alias("items"), first_bad_position().alias("first_bad_pos")).select(
         "part_id", F.lit("numbering").alias("check_code"), F.lit("ГОСТ Р 2.316-2023").alias("standard_designation"),
         F.lit("6.6").alias("clause_number"),
         F.when(F.col("first_bad_pos").isNull(), PASSED).otherwise(VIOLATED).alias("status"), "items", "first_bad_pos",

@@ -119,3 +119,29 @@ def test_reference_build_overwrites_and_can_be_empty(spark, tmp_path):
     assert tables["material"].count() == 21
     assert catalog.preview(tables, "material; DROP TABLE x", ["id"]) is None
     assert catalog.orphans(tables["material"], "material_group_id", tables["material_group"], "id", "x").first().violations == 0
+
+
+def test_documents_hold_all_findings_and_classify_each_line_once(spark):
+    import json
+
+    from partwright.bindings import facts
+
+    given = facts.drawings(spark, "/root/testdata/sf0.001").withColumn("has_drawing", F.col("part_id") % 5 != 0)
+    # Lines of some drawings only: numbers that skip, stay or are missing, texts that are missing, one of no drawing.
+    lines = spark.createDataFrame(
+        [(1, 1, 1, "Материал: сталь 45"), (1, 2, 3, "Смазать маслом"), (1, 3, None, "Смазать маслом"), (2, 2, 2, "Цементация"), (2, 1, 1, None),
+         (5, 1, 2, "Смазать маслом"), (-7, 1, 1, "Смазать маслом")], "part_id long, pos int, number int, text string")
+    found = review.review_findings(spark, given, lines)
+    want = {(r.part_id, r.severity, r.finding_code, r.arg) for r in found.collect() if r.part_id != -7}
+    summaries = {r.part_id: (r.summary, r.has_blocking) for r in review.summaries(given, found).collect()}
+    documents = review.documents(spark, given, lines)
+    rows = {r.part_id: json.loads(r.document) for r in documents.collect()}
+    assert {(k, f["severity"], f["code"], f["arg"]) for k, v in rows.items() for f in v["findings"]} == want
+    assert {k: (v["summary"], v["has_blocking_findings"]) for k, v in rows.items()} == summaries
+    assert [(x["number"], x["category"]) for x in rows[1]["technical_requirement_checks"]] == [(1, "material"), (3, None), (None, None)]
+    assert [(x["number"], x["is_recognized"]) for x in rows[2]["technical_requirement_checks"]] == [(1, False), (2, True)]
+    assert (1, "info", "requirements_unrecognised", "3") in want and (1, "warning", "numbering_violated", "2") in want
+    assert rows[3]["technical_requirement_checks"] == []
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("азотирован") == 1  # one pattern of the line categories
+    assert plan.count("Relation [p_partkey") == 1  # drawings are read and checked once

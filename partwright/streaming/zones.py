@@ -24,6 +24,8 @@ OFFLINE = "offline"
 # ---------------------------------------------------------------------------------------------
 
 SLOT_MS = 24 * 3600 * 1000
+#: The stream keeps its state per zone and span of this length: what a task holds is bounded by the windows of a span.
+SPAN_MS = 6 * 3600 * 1000
 
 
 def clamp(load: Column) -> Column:
@@ -58,12 +60,13 @@ def window_loads(readings: DataFrame) -> DataFrame:
 
 
 class HeldLoads(StatefulProcessor):
-    """Windows of one zone as readings arrive: gives every window whose status or load is new or has changed.
+    """Windows of one zone and span as readings arrive: gives every window whose status or load is new or has changed.
 
-    A window keeps its last reading, its last valid reading and the load held before it, so that readings in order need
-    the newest window only. A late reading is entered where it belongs, and the windows after it that hold its load
-    are given again. With ``late`` set, windows the watermark has passed are closed by timers: they leave the state, but
-    for the load they hand on.
+    A window keeps its last reading and its last valid reading; its load is the last valid one up to it within the span,
+    null before the first. A late reading is entered where it belongs, and the windows after it that hold its load are
+    given again. The windows of a span are read and written in one call each: they are some thousands at most, however many
+    readings there are. With ``late`` set, windows the watermark has passed are closed by timers: they leave the state, but
+    for the load they hand on, and that goes with the span.
     """
 
     COLUMNS = "zone_id long, window_ms long, status string, load double"
@@ -73,13 +76,21 @@ class HeldLoads(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.windows = handle.getMapState("windows", "window_ms long", "at long, at_id long, status string, own_at long, own_id long, own_load double, before double")
-        #: The newest window there was, and the newest closed one, with the loads they hand on.
-        self.ends = handle.getValueState("ends", "newest long, newest_load double, closed long, closed_load double")
-
-    @staticmethod
-    def _load(window: tuple) -> float | None:
-        return window[6] if window[5] is None else window[5]
+        self.windows = handle.getListState("windows", "window_ms long, at long, at_id long, status string, own_at long, own_id long, own_load double")
+        #: The load that closed windows hand on.
+        self.closed = handle.getValueState("closed", "load double")
+
+    def _kept(self) -> tuple[dict[int, tuple], float | None]:
+        windows = {w[0]: tuple(w[1:]) for w in self.windows.get()} if self.windows.exists() else {}
+        return windows, self.closed.get()[0] if self.late and self.closed.exists() else None
+
+    def _keep(self, windows: dict[int, tuple]) -> None:
+        if windows:
+            self.windows.put([(at, *windows[at]) for at in sorted(windows)])
+            if self.late:
+                self.handle.registerTimer(min(windows) + WINDOW_MS)
+        else:
+            self.windows.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         met: dict[int, list] = {}
@@ -92,49 +103,41 @@ class HeldLoads(StatefulProcessor):
                     own[0] = (at, at_id, status)
                 if status != OFFLINE and (own[1] is None or (at, at_id) > own[1][:2]):
                     own[1] = (at, at_id, None if pd.isna(load) else min(LOAD_MAX, max(LOAD_MIN, load)))
-        ends = tuple(self.ends.get()) if self.ends.exists() else (None, None, None, None)
-        changed = sorted(met)
-        late = ends[0] is not None and changed[0] < ends[0]
-        order = sorted(k[0] for k in self.windows.keys()) if late else []
-        before = ends[1]
-        if late:
-            earlier = [k for k in order if k < changed[0]]
-            before = self._load(tuple(self.windows.getValue((earlier[-1],)))) if earlier else ends[3]
-        todo = sorted({*changed, *(k for k in order if k >= changed[0])})
-        out, newest = [], ends[:2]
-        for at in todo:
-            old = tuple(self.windows.getValue((at,))) if self.windows.containsKey((at,)) else None
-            if old is not None and not late:
-                before = old[6]
+        windows, held = self._kept()
+        out, was, load = [], held, held
+        for at in sorted({*windows, *met}):
+            old = windows.get(at)
             last, valid = met.get(at, (None, None))
-            now = list(old or (None,) * 7)
+            now = list(old or (None,) * 6)
             if last is not None and (old is None or last[:2] > old[:2]):
                 now[:3] = last
             if valid is not None and (old is None or old[3] is None or valid[:2] > old[3:5]):
-                now[3:6] = valid
-            now[6] = before
-            new = tuple(now)
-            before = self._load(new)
-            if new != old:
-                self.windows.updateValue((at,), new)
-            if old is None or (old[2], self._load(old)) != (new[2], before):
-                out.append((key[0], at, new[2], before))
-            if old is None and self.late:
-                self.handle.registerTimer(at + WINDOW_MS)
-            if newest[0] is None or at >= newest[0]:
-                newest = (at, before)
-        self.ends.update((*newest, *ends[2:]))
+                now[3:] = valid
+            windows[at] = tuple(now)
+            load = load if now[5] is None else now[5]
+            if old is not None:
+                was = was if old[5] is None else old[5]
+            if old is None or (old[2], was) != (now[2], load):
+                out.append((key[0], at, now[2], load))
+        self._keep(windows)
         yield pd.DataFrame(out, columns=["zone_id", "window_ms", "status", "load"]).astype({"load": "Float64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - WINDOW_MS
-        if self.windows.containsKey((start,)):
-            window = tuple(self.windows.getValue((start,)))
-            ends = tuple(self.ends.get())
-            if start != ends[0]:
-                self.windows.removeKey((start,))
-            if ends[2] is None or start > ends[2]:
-                self.ends.update((*ends[:2], start, self._load(window)))
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        windows, held = self._kept()
+        past = sorted(at for at in windows if at + WINDOW_MS <= upto)
+        for at in past:
+            own = windows.pop(at)[5]
+            held = held if own is None else own
+        if past:
+            self._keep(windows)
+        end = (key[1] + 1) * SPAN_MS + WINDOW_MS
+        if end <= upto and not windows:
+            self.closed.clear()
+        elif held is not None:
+            self.closed.update((held,))
+            if not windows:
+                self.handle.registerTimer(end)
         yield pd.DataFrame({"zone_id": [], "window_ms": [], "status": [], "load": []}).astype({"zone_id": "int64", "window_ms": "int64", "status": "str", "load": "Float64"})
 
     def close(self) -> None:
@@ -143,12 +146,15 @@ class HeldLoads(StatefulProcessor):
 
 def changed_loads(readings: DataFrame, late: str | None = None) -> DataFrame:
     """A stream of ``zone_id, window_ms, status, load``: windows as they begin and whenever their status or load changes,
-    the load held from the windows before included. State is kept per zone. Without ``late`` no reading is too late
-    and all windows stay in the state (on disk); with it (an interval) windows close behind the watermark."""
+    the load held from the windows before included as far as they lie in the same span; ``latest_loads`` carries it on from
+    earlier spans. State is kept per zone and span. Without ``late`` no reading is too late and all windows stay in the
+    state (on disk); with it (an interval) windows close behind the watermark."""
     runs.with_state_store(readings.sparkSession)
     timed = readings if late is None else readings.withWatermark("ts", late)
-    keyed = timed.select(F.col("zone_id").cast("long").alias("zone_id"), "ts", F.col("reading_id").cast("long").alias("reading_id"), "status", F.col("load").cast("double").alias("load"))
-    return keyed.groupBy("zone_id").transformWithStateInPandas(HeldLoads(late is not None), HeldLoads.COLUMNS, "Update", "None" if late is None else "EventTime")
+    micros, window = F.unix_micros("ts"), F.lit(WINDOW_MS * 1000)
+    start = ((micros - F.pmod(micros, window)) / 1000).cast("long")
+    keyed = timed.where("ts is not null").select(F.col("zone_id").cast("long").alias("zone_id"), F.floor(start / SPAN_MS).alias("span"), "ts", F.col("reading_id").cast("long").alias("reading_id"), "status", F.col("load").cast("double").alias("load"))
+    return keyed.groupBy("zone_id", "span").transformWithStateInPandas(HeldLoads(late is not None), HeldLoads.COLUMNS, "Update", "None" if late is None else "EventTime")
 
 
 def load_stream(readings: DataFrame, base: str | None = None, late: str | None = None) -> DataFrame:
@@ -160,9 +166,10 @@ def load_stream(readings: DataFrame, base: str | None = None, late: str | None =
 
 
 def latest_loads(read) -> DataFrame:
+    """The windows as given last; where a span begins without a valid reading, the load comes from the spans before."""
     given = read("loads", T.StructType.fromDDL(HeldLoads.COLUMNS))
     newest = given.groupBy("zone_id", "window_ms").agg(F.max_by(F.struct("status", "load"), "batch").alias("l"))
-    return newest.select("zone_id", "window_ms", "l.status", "l.load")
+    return hold_last(newest.select("zone_id", "window_ms", "l.status", F.col("l.load").alias("own_load")))
 
 
 def hold_last(loads: DataFrame) -> DataFrame:

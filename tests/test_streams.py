@@ -91,3 +91,31 @@ def test_findings_appear_per_batch_and_once(spark, tmp_path):
     given = runs.reader(spark, base)("findings", want.schema)
     assert {r.batch for r in given.select("batch").distinct().collect()} == {0, 1}
     assert given.groupBy(*want.columns).agg(F.count("*").alias("n")).where("n > 1").count() == want.groupBy(*want.columns).agg(F.count("*").alias("n")).where("n > 1").count()
+
+
+def test_a_span_is_what_a_task_holds_and_loads_go_on_across_spans(spark, tmp_path):
+    begin, span = datetime(2024, 5, 1), timedelta(milliseconds=zones.SPAN_MS)
+    at = lambda k, seconds: begin + k * span + timedelta(seconds=seconds)
+    # One zone: a load, spans that are only offline, a late load in between, and windows that straddle the spans' borders.
+    first = [(1, at(0, 1), 1, "online", 50.0), (1, at(0, 9), 2, "offline", 60.0), (1, at(1, 0), 3, "offline", 60.0), (1, at(3, 0), 4, "warning", None), (1, at(5, 1), 5, "online", 70.0)]
+    second = [(1, at(1, 30), 6, "online", 80.0), (1, at(3, -1), 7, "offline", None), (1, at(5, 0), 8, "offline", None), (1, None, 9, "online", 90.0)]
+    source = tmp_path / "in"
+    source.mkdir()
+    in_batches(spark, source, [first, second])
+    schema = spark.createDataFrame([], READING).schema
+    for late in (None, "4 days"):
+        base = str(tmp_path / f"out{late is None}")
+        got = zones.load_stream(runs.source(spark, str(source), "?.parquet", schema, files_per_batch=1), base, late)
+        assert sorted(map(str, got.select("zone_id", "window_ms", "status", "load").collect())) == batch_form(spark, first + second)
+        state = spark.read.format("statestore").option("stateVarName", "windows").load(base + "/state")
+        assert state.groupBy("key").count().count() >= 4
+
+
+def test_closed_spans_leave_the_state(spark, tmp_path):
+    rows = [(1, datetime(2024, 5, 1) + timedelta(hours=h), h, "online" if h % 5 else "offline", 40.0 + h) for h in range(48)]
+    in_batches(spark, tmp_path, [rows[:16], rows[16:32], rows[32:]])
+    base = str(tmp_path / "out")
+    got = zones.load_stream(runs.source(spark, str(tmp_path), "?.parquet", spark.createDataFrame([], READING).schema, files_per_batch=1), base, "1 hour")
+    assert sorted(map(str, got.select("zone_id", "window_ms", "status", "load").collect())) == batch_form(spark, rows)
+    for name in ("windows", "closed"):
+        assert spark.read.format("statestore").option("stateVarName", name).load(base + "/state").select("key").distinct().count() <= 2
